@@ -148,17 +148,17 @@ def exclusion_points() -> list[tuple[float, float]]:
 
 
 def field_points(spark: SparkSession) -> DataFrame:
-    """16 rows: name, X, Y, unambiguous, priority."""
+    """16 rows: name, px, py (metres), unambiguous, priority."""
     rows = [(n, x, y, n in HALFWAY_POINTS, POINT_PRIORITY.get(n, DEFAULT_PRIORITY))
             for n, (x, y) in DETECTED_POINTS.items()]
-    return spark.createDataFrame(rows, "name string, X double, Y double, unambiguous boolean, priority int")
+    return spark.createDataFrame(rows, "name string, px double, py double, unambiguous boolean, priority int")
 
 
 def model_points(spark: SparkSession) -> DataFrame:
     """Calibration points in search order."""
     rows = [(i, n, x, y, n in CRITICAL_POINTS)
             for i, (n, (x, y)) in enumerate(calibration_points().items())]
-    return spark.createDataFrame(rows, "model_order int, name string, X double, Y double, critical boolean")
+    return spark.createDataFrame(rows, "model_order int, name string, px double, py double, critical boolean")
 
 
 def pitch_outline(spark: SparkSession, origin: str = "centre", scaled: bool = False) -> DataFrame:
