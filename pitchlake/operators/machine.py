@@ -339,8 +339,8 @@ def possession_step(window: int = 5, dominance: float = 0.6, confirm: int = 5, g
 
 def sticky_possession(frames: DataFrame, block_rows: int = 50_000, block_frames: int = 8192, **rules) -> DataFrame:
     """State per frame, with the frames credited to each team on it and the steps since it changed."""
-    states = run_blocks(frames, ["match_id"], ["frame"], possession_step(**rules), POSSESSION_SCHEMA,
-                        POSSESSION_START, block_rows)
+    states = durable(run_blocks(frames, ["match_id"], ["frame"], possession_step(**rules), POSSESSION_SCHEMA,
+                                POSSESSION_START, block_rows))
     block = scan.block_of("frame", block_frames)
     counted = scan.prefix_scan(states, ["match_id"], ["frame"], block,
                                {"__n": scan.total(F.col("entered").cast("long"))})

@@ -8,8 +8,7 @@ from ..functions import columns as fn
 from ..functions import pitch
 from ..functions.columns import rounded
 from ..operators import ownership as ow
-from ..operators import possession as po
-from . import possession_queries as pq
+from . import possession_queries  # noqa: F401  (its CTEs)
 from .registry import query
 from .views import CTES
 
@@ -312,7 +311,7 @@ def _(v):
       (PARTITION BY match_id ORDER BY frame, seq) AS g FROM poss)
     SELECT match_id, frame, seq, row_number() OVER (PARTITION BY match_id, g ORDER BY frame, seq) - 1 AS rows_since_change FROM r""")
 def _(v):
-    base = pq.frames(v).select("match_id", "frame", "seq", "current_team")
+    base = v.frames.select("match_id", "frame", "seq", "current_team")
     return ow.rows_since_change(base, ["current_team"]).select("match_id", "frame", "seq", "rows_since_change")
 
 

@@ -290,7 +290,7 @@ def _(v):
 
 
 def fits(v):
-    return kpt.fit_homographies(points(v))
+    return v.once("fits", lambda: kpt.fit_homographies(points(v)))
 
 
 @query("G1_fit_homography")

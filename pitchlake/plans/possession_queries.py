@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded
 from ..operators import possession as po
 from .registry import query
-from .views import BATCH, CTES, Views
+from .views import BATCH, CTES, HYSTERESIS, Views
 
-N = 3  # runs of five are rare in the driver's random events
+N = HYSTERESIS
 
 CTES.update({
     "runs0": """SELECT *, lag(team) OVER w AS lt, row_number() OVER w AS rn FROM obs
@@ -65,10 +65,6 @@ def frames(v: Views):
     return po.possession_frames(v.obs, n=N)
 
 
-def passed(v: Views):
-    return po.passes(frames(v))
-
-
 @query("E1_possession_hysteresis", "SELECT match_id, frame, seq, team, current_team FROM poss")
 def _(v):
     return frames(v).select("match_id", "frame", "seq", "team", "current_team")
@@ -81,7 +77,7 @@ def _(v):
 
 @query("E3_pass_detection", "SELECT match_id, frame, seq, team, from_player, to_player FROM pass")
 def _(v):
-    return passed(v)
+    return po.passes(v.frames)
 
 
 @query("E4_possession_change", "SELECT match_id, frame, seq, from_team, to_team, player AS player_id FROM chg")
@@ -91,20 +87,20 @@ def _(v):
 
 @query("E5_timeline", "SELECT match_id, start_frame, end_frame, team FROM tl")
 def _(v):
-    return po.timeline(frames(v)).drop("seq")
+    return po.timeline(v.frames).drop("seq")
 
 
 @query("A1_possession_stats", """SELECT match_id, CAST(team AS BIGINT) AS team, CAST(frames AS BIGINT) AS frames, total_frames,
     round(frames / 30.0::DOUBLE, 6) AS seconds,
     round(CASE WHEN total_frames > 0 THEN frames * 100.0::DOUBLE / total_frames ELSE 0 END, 6) AS percent FROM stats""")
 def possession_share(v):
-    out = po.possession_stats(frames(v))
+    out = po.possession_stats(v.frames)
     return out.withColumns({"seconds": rounded("seconds"), "percent": rounded("percent")})
 
 
 @query("A2_passes_by_team", "SELECT match_id, team, count(*) AS passes FROM pass GROUP BY 1, 2")
 def _(v):
-    return po.passes_by_team(passed(v))
+    return po.passes_by_team(v.passed)
 
 
 @query("A3_match_summary", """WITH c AS (SELECT match_id, sum(frames) AS possession_frames,
@@ -121,7 +117,7 @@ def _(v):
       round(coalesce(f1, 0) * 100.0::DOUBLE / possession_frames, 6) AS percent_1
     FROM e LEFT JOIN c USING (match_id) LEFT JOIN p USING (match_id) LEFT JOIN t USING (match_id)""")
 def _(v):
-    out = po.match_summary(frames(v), passed(v), v.det)
+    out = po.match_summary(v.frames, v.passed, v.det)
     return out.withColumns({n: rounded(n) for n in ("total_seconds", "percent_0", "percent_1")})
 
 
@@ -141,14 +137,14 @@ def _(v):
       changes + coalesce(p.n, 0) AS events_count FROM f LEFT JOIN d USING (match_id, batch_idx) LEFT JOIN p USING (match_id, batch_idx)""")
 def _(v):
     boxes = v.det.withColumn("frame", F.col("frame") * 240)
-    return po.chunk_stats(frames(v), passed(v), boxes, BATCH)
+    return po.chunk_stats(v.frames, v.passed, boxes, BATCH)
 
 
 @query("A30_coverage_check", """SELECT m.match_id, last_frame, CAST(coalesce(assigned, 0) AS BIGINT) AS assigned, coalesce(assigned, 0) = last_frame AS complete
     FROM (SELECT match_id, max(frame) AS last_frame FROM obs GROUP BY 1) m
     LEFT JOIN (SELECT match_id, sum(frames) AS assigned FROM credit GROUP BY 1) c USING (match_id)""")
 def _(v):
-    return po.coverage(frames(v))
+    return po.coverage(v.frames)
 
 
 @query("A38_current_state", """SELECT match_id, arg_max(current_team, frame * 1000000000 + seq) AS team, max(frame) AS frame,
@@ -159,24 +155,24 @@ def _(v):
 
 @query("E19_cumulative_progress", "SELECT match_id, batch_idx, team, frame, frames, passes, changes FROM cum")
 def _(v):
-    return po.cumulative_progress(frames(v), passed(v), BATCH)
+    return v.progress
 
 
 @query("T3_recent_passes", f"""SELECT match_id, frame // {BATCH} AS batch_idx, frame, seq, team, from_player, to_player,
     row_number() OVER (PARTITION BY match_id, frame // {BATCH} ORDER BY frame DESC, seq DESC) AS rank FROM pass QUALIFY rank <= 10""")
 def _(v):
-    return po.recent_passes(passed(v), BATCH)
+    return po.recent_passes(v.passed, BATCH)
 
 
 @query("T4_timeline_preview", """SELECT match_id, start_frame, end_frame, team FROM
     (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY start_frame, seq) AS a,
        row_number() OVER (PARTITION BY match_id ORDER BY start_frame DESC, seq DESC) AS b FROM tl) WHERE a <= 3 OR b <= 3""")
 def _(v):
-    return po.timeline_preview(po.timeline(frames(v))).drop("seq")
+    return po.timeline_preview(po.timeline(v.frames)).drop("seq")
 
 
 @query("T7_timeline_chart", """SELECT match_id, row_number() OVER (PARTITION BY match_id ORDER BY start_frame, seq) AS segment,
     team, round((end_frame - start_frame) / 30.0::DOUBLE, 6) AS duration FROM tl""")
 def _(v):
-    out = po.timeline_chart(po.timeline(frames(v)))
+    out = po.timeline_chart(po.timeline(v.frames))
     return out.select("match_id", "segment", "team", rounded("duration").alias("duration"))

@@ -32,11 +32,20 @@ def load() -> None:
         importlib.import_module(f"pitchlake.plans.{module}_queries")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+_VIEWS: dict[tuple[str, str], Views] = {}
+
+
+def views(spark: SparkSession, sf_dir: str) -> Views:
+    """One set of views per application and folder, so shared results are written once."""
+    return _VIEWS.setdefault((spark.sparkContext.applicationId, sf_dir), Views(spark, sf_dir))
+
+
+def queries(share: bool = True) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Registered queries. With `share` off every call starts from the tables (for timing)."""
     load()
 
     def bound(fn):
-        return lambda spark, sf_dir: fn(Views(spark, sf_dir))
+        return lambda spark, sf_dir: fn(views(spark, sf_dir) if share else Views(spark, sf_dir))
 
     return {name: bound(fn) for name, fn in QUERIES.items()}
 

@@ -43,7 +43,7 @@ def medians(v):
 
 
 def centres(v):
-    return tm.two_means(medians(v), "track_id")
+    return v.once("centres", lambda: tm.two_means(v.once("medians", lambda: medians(v)), "track_id"))
 
 
 def mapped(v):

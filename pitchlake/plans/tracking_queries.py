@@ -102,7 +102,8 @@ def ball_frames(v):
 
 
 def sticky(v):
-    return machine.sticky_possession(ball_frames(v), control=600.0, gap=10.0, hold_distance=400.0, dominance=0.4, window=4)
+    return v.once("sticky", lambda: machine.sticky_possession(
+        v.once("ball_frames", lambda: ball_frames(v)), control=600.0, gap=10.0, hold_distance=400.0, dominance=0.4, window=4))
 
 
 @query("ST2_possession_v1")

@@ -13,14 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pitch
+from ..operators import possession as po
+from ..session import durable
 
 POINT_NAMES = list(pitch.DETECTED_POINTS)
 BATCH = 720  # frames per micro-batch of `obs`
+HYSTERESIS = 3  # runs of five are rare in the driver's random events
 
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._written: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build) -> DataFrame:
+        """A result several queries read, written once to the shared folder."""
+        if name not in self._written:
+            self._written[name] = durable(build())
+        return self._written[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -39,6 +49,18 @@ class Views:
         return self.base.select("match_id", F.col("minute").alias("frame"), "seq",
                                 F.col("user_id").alias("player"), team.alias("team"), "k", "value")
 
+    @property
+    def frames(self) -> DataFrame:
+        return self.once("frames", lambda: po.possession_frames(self.obs.drop("k", "value"), n=HYSTERESIS))
+
+    @property
+    def passed(self) -> DataFrame:
+        return self.once("passed", lambda: po.passes(self.frames))
+
+    @property
+    def progress(self) -> DataFrame:
+        return self.once("progress", lambda: po.cumulative_progress(self.frames, self.passed, BATCH))
+
     @cached_property
     def det(self) -> DataFrame:
         kind = (F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", 2)
@@ -188,6 +210,5 @@ def with_ctes(sql: str) -> str:
         return body
     heads = ",\n".join(f"{n} AS ({CTES[n]})" for n in needed)
     match = re.match(r"WITH\s+(RECURSIVE\s+)?", body, flags=re.I)
-    if match:
-        return f"WITH {'RECURSIVE ' if match.group(1) else ''}{heads},\n{body[match.end():]}"
-    return f"WITH {heads}\n{body}"
+    rest = f",\n{body[match.end():]}" if match else f"\n{body}"
+    return f"WITH RECURSIVE {heads}{rest}"
