@@ -296,8 +296,9 @@ def by_priority(rows: DataFrame, sources: list[tuple[DataFrame, float | Column]]
     for i, (source, conf) in enumerate(sources):
         level = conf if isinstance(conf, Column) else F.lit(float(conf))
         inside = F.coalesce(inside_pitch("field_x", "field_y"), F.lit(False))
-        hit = source.filter(inside).select(*keys, F.struct(
-            F.col("field_x").alias("x"), F.col("field_y").alias("y"), level.alias("c")).alias(f"__s{i}"))
+        # a flag, not a filter: a filter would be pushed down and repeat the projection's arithmetic
+        hit = source.select(*keys, F.when(inside, F.struct(
+            F.col("field_x").alias("x"), F.col("field_y").alias("y"), level.alias("c"))).alias(f"__s{i}"))
         out = out.join(hit, keys, "left")
         picks.append(F.col(f"__s{i}"))
     best = F.coalesce(*picks)
@@ -315,8 +316,8 @@ def _solve(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], -1),
                         np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], -1)], -2)
     b = np.concatenate([u, v], -1)
-    scale = np.abs(a).max(axis=(1, 2), keepdims=True)
-    fine = np.linalg.cond(a / scale) < 1e12
+    size = np.abs(a).max(axis=2, keepdims=True)
+    fine = np.abs(np.linalg.det(a / np.where(size > 0, size, 1.0))) > 1e-13
     h = np.full((len(a), 9), np.nan)
     if fine.any():
         h[fine, :8] = np.linalg.solve(a[fine], b[fine][..., None])[..., 0]
@@ -349,13 +350,19 @@ def _errors(h: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
 
 def robust_homography(src: np.ndarray, dst: np.ndarray, threshold: float = 5.0, min_points: int = 4,
                       min_share: float = 0.5):
-    """Best of all four-point subsets (at most C(16, 4) = 1820), refitted on its inliers.
+    """Best of all four-point subsets (at most C(16, 4) = 1820), refitted on its inliers. A fit of
+    all points that leaves every one an inlier cannot be beaten, so it is tried first.
 
     Returns (H, inlier mask, mean inlier error), or None.
     """
     n = len(src)
     if n < max(4, min_points):
         return None
+    full = _refit(src, dst)
+    if full is not None:
+        errors = _errors(full, src, dst)
+        if (errors <= threshold).all():
+            return full, np.ones(n, dtype=bool), float(errors.mean())
     subsets = np.array(list(combinations(range(n), 4)))
     models, fine = _solve(src[subsets], dst[subsets])
     if not fine.any():
@@ -383,11 +390,13 @@ def fit_homographies(points: DataFrame, threshold: float = 5.0, min_points: int
                      min_share: float = 0.5, resolve_flip: bool = True) -> DataFrame:
     """Image -> pitch homography per frame; null matrix where none is good enough.
 
-    Rows are frames that already hold their points, so no shuffle precedes the Python step.
     Orientation comes from pixel order; a frame that fails is retried on halfway-line points alone.
     """
     ready = orientation_votes(points) if resolve_flip else points.withColumn("flip", F.lit(False))
-    ready = ready.select(*FRAME, "flip", "points")
+    # a fit costs far more than its few bytes of input, so tasks are counted, not sized
+    session = points.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    ready = ready.select(*FRAME, "flip", "points").repartition(tasks, *FRAME)
     length = pitch.LENGTH
 
     def fit(batches):

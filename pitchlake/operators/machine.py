@@ -70,9 +70,14 @@ def run_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step:
         state = step(json.loads(entry), ordered(left))[1]
         return pd.DataFrame([(*key, entry, dump(state))], columns=[*block, "entry", "exit"])
 
+    def entry_groups(states: DataFrame):
+        """States grouped by block, under fresh names: both sides come from the same rows."""
+        named = states.select(*[F.col(b).alias(f"{b}_of") for b in block], "entry")
+        return named.groupBy(*[f"{b}_of" for b in block])
+
     def evaluate(entries: DataFrame) -> DataFrame:
         wanted = cut.join(entries.select(*block), block, "left_semi")
-        return durable(wanted.groupBy(*block).cogroup(entries.groupBy(*block))
+        return durable(wanted.groupBy(*block).cogroup(entry_groups(entries))
                        .applyInPandas(exits, f"{key_schema}, entry string, exit string"))
 
     chain = Window.partitionBy(*keys).orderBy(scan.BLOCK)  # one row per block
@@ -93,7 +98,7 @@ def run_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step:
     def emit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return step(json.loads(right["entry"].iloc[0]), ordered(left))[0]
 
-    return cut.groupBy(*block).cogroup(known.groupBy(*block)).applyInPandas(emit, out_schema)
+    return cut.groupBy(*block).cogroup(entry_groups(known)).applyInPandas(emit, out_schema)
 
 
 # ---- trajectory validation -------------------------------------------------------------------

@@ -92,7 +92,8 @@ def match_states(v):
 @query("S5_read_match_state", "SELECT match_id, team, CAST(frames AS BIGINT) AS frames, passes FROM stats")
 def _(v):
     path = scratch_path(v.spark, "states")
-    match_states(v).repartition("match_id").write.json(path)
+    # one document per match, in a folder of its own
+    match_states(v).withColumn("m", F.col("match_id")).write.partitionBy("m").json(path)
     return readers.team_counters(readers.read_match_state(v.spark, path)).withColumn("match_id", F.col("match_id").cast("long"))
 
 
