@@ -393,10 +393,7 @@ def fit_homographies(points: DataFrame, threshold: float = 5.0, min_points: int
     Orientation comes from pixel order; a frame that fails is retried on halfway-line points alone.
     """
     ready = orientation_votes(points) if resolve_flip else points.withColumn("flip", F.lit(False))
-    # a fit costs far more than its few bytes of input, so tasks are counted, not sized
-    session = points.sparkSession
-    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    ready = ready.select(*FRAME, "flip", "points").repartition(tasks, *FRAME)
+    ready = scan.spread_tasks(ready.select(*FRAME, "flip", "points"), FRAME)
     length = pitch.LENGTH
 
     def fit(batches):
@@ -438,36 +435,31 @@ def calibration_info(fits: DataFrame) -> DataFrame:
 def line_crossings(segments: DataFrame, cell: float = 64.0) -> DataFrame:
     """Where horizontal and vertical segments of a frame cross.
 
-    A crossing point lies in one grid cell that both bounding boxes cover, so the join is on
-    (frame, cell) and each crossing is kept in its own cell only: exact, without pairing all
-    segments of a frame.
+    Segments that cross have overlapping bounding boxes, so they share grid cells. The join is on
+    (frame, cell), and a pair is looked at in the lowest cell it shares only: exact, without pairing
+    all segments of a frame.
     """
     lo = lambda a, b: F.floor(F.least(a, b) / cell).cast("long")
     hi = lambda a, b: F.floor(F.greatest(a, b) / cell).cast("long")
 
     def spread(kind: str, tag: str) -> DataFrame:
-        rows = segments.filter(F.col("orientation") == kind)
-        rows = rows.withColumn("cx", F.explode(F.sequence(lo("x1", "x2"), hi("x1", "x2"))))
-        rows = rows.withColumn("cy", F.explode(F.sequence(lo("y1", "y2"), hi("y1", "y2"))))
-        return rows.select(*FRAME, "cx", "cy", *[F.col(n).alias(f"{tag}_{n}") for n in ("seq", "x1", "y1", "x2", "y2")])
-
-    both = spread("horizontal", "h").join(spread("vertical", "v"), [*FRAME, "cx", "cy"])
+        rows = segments.filter(F.col("orientation") == kind).select(
+            *FRAME, *[F.col(n).alias(f"{tag}_{n}") for n in ("seq", "x1", "y1", "x2", "y2")],
+            lo("x1", "x2").alias(f"{tag}_cx"), hi("x1", "x2").alias("__hx"),
+            lo("y1", "y2").alias(f"{tag}_cy"), hi("y1", "y2").alias("__hy"))
+        rows = rows.withColumn("cx", F.explode(F.sequence(f"{tag}_cx", "__hx")))
+        return rows.withColumn("cy", F.explode(F.sequence(f"{tag}_cy", "__hy"))).drop("__hx", "__hy")
+
+    both = spread("horizontal", "h").join(spread("vertical", "v"), [*FRAME, "cx", "cy"]).filter(
+        (F.col("cx") == F.greatest("h_cx", "v_cx")) & (F.col("cy") == F.greatest("h_cy", "v_cy")))
     dxh, dyh = F.col("h_x1") - F.col("h_x2"), F.col("h_y1") - F.col("h_y2")
     dxv, dyv = F.col("v_x1") - F.col("v_x2"), F.col("v_y1") - F.col("v_y2")
     ox, oy = F.col("h_x1") - F.col("v_x1"), F.col("h_y1") - F.col("v_y1")
     den = dxh * dyv - dyh * dxv
-    both = both.withColumn("den", den).filter(F.abs("den") >= 1e-10)
-    both = both.withColumns({"t": (ox * dyv - oy * dxv) / F.col("den"),
-                             "u": -(dxh * oy - dyh * ox) / F.col("den")})
-    both = both.filter(F.col("t").between(0, 1) & F.col("u").between(0, 1)).withColumns({
-        "x": F.col("h_x1") - F.col("t") * dxh, "y": F.col("h_y1") - F.col("t") * dyh})
-    # the cell of the point, kept within the box both segments cover against rounding at its edge
-    inside = lambda v, a1, a2, b1, b2: F.least(
-        F.greatest(F.floor(F.col(v) / cell).cast("long"), F.greatest(lo(a1, a2), lo(b1, b2))),
-        F.least(hi(a1, a2), hi(b1, b2)))
-    home = ((F.col("cx") == inside("x", "h_x1", "h_x2", "v_x1", "v_x2"))
-            & (F.col("cy") == inside("y", "h_y1", "h_y2", "v_y1", "v_y2")))
-    return both.filter(home).select(*FRAME, "h_seq", "v_seq", "x", "y")
+    some = F.abs(den) >= 1e-10
+    t, u = F.when(some, (ox * dyv - oy * dxv) / den), F.when(some, -(dxh * oy - dyh * ox) / den)
+    return both.filter(t.between(0, 1) & u.between(0, 1)).select(
+        *FRAME, "h_seq", "v_seq", (F.col("h_x1") - t * dxh).alias("x"), (F.col("h_y1") - t * dyh).alias("y"))
 
 
 def merge_collinear(segments: DataFrame, gap: float = 10.0, key: str = "orientation") -> DataFrame:

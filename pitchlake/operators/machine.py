@@ -61,9 +61,9 @@ def run_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step:
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
             return step(json.loads(first), ordered(pdf))[0]
 
-        return cut.groupBy(*keys).applyInPandas(whole, out_schema)
+        return scan.spread_tasks(cut, keys).groupBy(*keys).applyInPandas(whole, out_schema)
 
-    cut = durable(cut)
+    cut = durable(scan.spread_tasks(cut, block))
 
     def exits(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         entry = right["entry"].iloc[0]

@@ -166,3 +166,11 @@ def halo_range(df: DataFrame, keys: Sequence[str], column: str, lookback: int,
 
 def drop_halo(df: DataFrame) -> DataFrame:
     return df.filter(~F.col(HALO)).drop(HALO, BLOCK)
+
+
+def spread_tasks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition by the keys a Python step groups by, into a fixed number of tasks. Such steps
+    cost far more than the few bytes of their input, by which adaptive execution would merge them."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *keys)

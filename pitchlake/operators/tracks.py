@@ -126,7 +126,7 @@ def kalman_smooth(rows: DataFrame, q: float = 0.01, r: float = 1.0, single_updat
         res = pdf[[*TRACK, *ORDER]].assign(smooth_x=out[:, 0], smooth_y=out[:, 1], vel_x=out[:, 2], vel_y=out[:, 3])
         return res[~pdf[scan.HALO].to_numpy()]
 
-    return cut.groupBy(*TRACK, scan.BLOCK).applyInPandas(
+    return scan.spread_tasks(cut, [*TRACK, scan.BLOCK]).groupBy(*TRACK, scan.BLOCK).applyInPandas(
         smooth, "match_id long, track_id long, frame long, seq long, smooth_x double, smooth_y double, "
                 "vel_x double, vel_y double")
 

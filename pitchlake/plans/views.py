@@ -37,7 +37,9 @@ class Views:
 
     @cached_property
     def base(self) -> DataFrame:
-        k = F.get_json_object("props", "$.k").cast("long")
+        # props is always {"k": n}. Views over `k` are pushed into filters, which repeats this
+        # expression, so it is cut out as text instead of parsed as JSON.
+        k = F.substring_index(F.substring_index("props", ":", -1), "}", 1).cast("long")
         return self.table("events").select(
             F.expr("user_id div 15").alias("match_id"),
             F.expr("timestampdiff(MINUTE, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").alias("minute"),
