@@ -174,3 +174,15 @@ def spread_tasks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(tasks, *keys)
+
+
+def join_one_per_key(rows: DataFrame, one: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
+                     salts: int = 32) -> DataFrame:
+    """Inner join with a table of one row per key, where an aggregation by the same key follows.
+
+    Adaptive execution does not split a skewed join whose output must stay partitioned by the join
+    key, so the hot key is spread here: rows are salted, the small side is repeated per salt.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.hash(*spread_by), F.lit(salts)))
+    repeated = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*keys, "__salt"]).drop("__salt")

@@ -47,14 +47,14 @@ def two_means(samples: DataFrame, order: str, channels=tuple(COLOUR), rounds: in
     """Two-cluster Lloyd iteration for all matches at once: start from the first sample and the one
     farthest from it, stop a match when a cluster runs empty. One row per match with both centres.
 
-    Each round is a broadcast-or-shuffle join with one row per match and a partial aggregation, so a
-    hot match costs no more than a scan. Centres never reach the driver.
+    Each round joins the samples with one row per match, salted so that a hot match is spread, and
+    aggregates partially before its shuffle. Centres never reach the driver.
     """
     points = samples.select("match_id", order, *channels)
     box = F.struct(*channels)
     seed = points.groupBy("match_id").agg(F.min_by(box, order).alias("p"))
     seed = seed.select("match_id", *[F.col(f"p.{c}").alias(f"c0_{c}") for c in channels])
-    far = points.join(seed, "match_id").groupBy("match_id").agg(
+    far = scan.join_one_per_key(points, seed, ["match_id"], [order]).groupBy("match_id").agg(
         F.max_by(F.struct(*channels, *[f"c0_{c}" for c in channels]),
                  F.struct(_square_distance("", "c0_", channels), -F.col(order))).alias("p"))
     centres = far.select("match_id", *[F.col(f"p.c0_{c}").alias(f"c0_{c}") for c in channels],
@@ -62,7 +62,7 @@ def two_means(samples: DataFrame, order: str, channels=tuple(COLOUR), rounds: in
     names = [f"c{i}_{c}" for i in (0, 1) for c in channels]
     for i in range(rounds):
         near_1 = _square_distance("", "c1_", channels) < _square_distance("", "c0_", channels)
-        means = points.join(centres, "match_id").withColumn("one", near_1).groupBy("match_id").agg(
+        means = scan.join_one_per_key(points, centres, ["match_id"], [order]).withColumn("one", near_1).groupBy("match_id").agg(
             F.first("stopped").alias("stopped"), F.sum(F.col("one").cast("long")).alias("n1"),
             F.count(F.lit(1)).alias("n"), *[F.first(n).alias(f"old_{n}") for n in names],
             *[F.avg(F.when(F.col("one") == bool(j), F.col(c))).alias(f"new_{j}_{c}")

@@ -137,14 +137,30 @@ def _(v):
     return all_alerts(v).select("id", "title", "message")
 
 
-@query("A35_alert_summary")
+CTES["sums"] = """SELECT match_id, min(frame) AS frame FROM chp GROUP BY 1
+    UNION ALL SELECT match_id, nf FROM (SELECT s.match_id, (SELECT min(e.frame) FROM chp e WHERE e.match_id = s.match_id AND e.frame >= s.frame + 2700) AS nf FROM sums s) WHERE nf IS NOT NULL"""
+CTES["basic"] = """SELECT match_id, frame, 'dominance_' || team AS alert_key FROM (SELECT * FROM chkside WHERE pct >= 60 QUALIFY row_number() OVER (PARTITION BY match_id, frame ORDER BY team) = 1)
+    UNION ALL SELECT match_id, frame, 'drought_0' FROM past WHERE n >= 2 AND passes_0 - past_0 < 4
+    UNION ALL SELECT match_id, frame, 'drought_1' FROM past WHERE n >= 2 AND passes_1 - past_1 < 4
+    UNION ALL SELECT match_id, frame, 'swing_' || team FROM (SELECT * FROM chkside WHERE n >= 2 AND abs(pct - before) >= 15 QUALIFY row_number() OVER (PARTITION BY match_id, frame ORDER BY team) = 1)
+    UNION ALL SELECT match_id, frame, 'intensity' FROM checks WHERE total_frames >= 1800 AND (changes / (total_frames / 1800.0::DOUBLE) > 15 OR changes / (total_frames / 1800.0::DOUBLE) < 4)
+    UNION ALL SELECT match_id, frame, 'summary' FROM sums WHERE frame >= 1800"""
+
+
+def basic_alerts(v):
+    """Alerts that need possession figures only."""
+    return v.once("basic_alerts", lambda: al.alert_table(checks(v)))
+
+
+@query("A35_alert_summary", """SELECT c.match_id, count(*) AS checks, max(frame) AS last_check_frame, any_value(coalesce(a.n, 0)) AS total_alerts
+    FROM checks c LEFT JOIN (SELECT match_id, count(*) AS n FROM basic GROUP BY 1) a ON a.match_id = c.match_id GROUP BY 1""")
 def _(v):
-    return al.alert_summary(all_alerts(v), checks(v))
+    return al.alert_summary(basic_alerts(v), checks(v))
 
 
-@query("T6_alert_feed")
+@query("T6_alert_feed", "SELECT match_id, frame, alert_key FROM basic ORDER BY frame DESC, match_id, alert_key LIMIT 50")
 def _(v):
-    return al.alert_feed(all_alerts(v).select("match_id", "frame", "alert_key", "type", "severity", "team"))
+    return al.alert_feed(basic_alerts(v).select("match_id", "frame", "alert_key"))
 
 
 CTES["rl0"] = "SELECT match_id, k % 5 AS alert_key, frame, seq, row_number() OVER (PARTITION BY match_id, k % 5 ORDER BY frame, seq) AS rn FROM obs"
