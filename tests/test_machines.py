@@ -134,3 +134,31 @@ def test_streaming_step_equals_restatement():
                     got[team] = got.get(team, 0) + gain
         assert got == {t: v for t, v in frames.items() if v}
         assert [(o[1], o[5], o[10], o[4]) for o in out if o[10] is not None] == passes
+
+
+def test_team_hold_and_centroids_in_blocks(spark):
+    rng = random.Random(8)
+    rows = [(1, t, 3 * i, i, rng.choice([0, 1, 1]), rng.uniform(5, 30), rng.uniform(5, 30)) for t in (1, 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "match_id long, track_id long, frame long, seq long, team long, d0 double, d1 double")
+    whole = sorted(map(tuple, machine.hold_team(df).collect()))
+    assert whole == sorted(map(tuple, machine.hold_team(df, block_rows=7).collect()))
+    colours = [(1, i, rng.uniform(90, 110), rng.uniform(120, 136), rng.uniform(120, 136)) for i in range(60)]
+    df = spark.createDataFrame(colours, "match_id long, seq long, L double, a double, b double")
+    start = ((95.0, 125.0, 125.0), (105.0, 131.0, 131.0))
+    whole = sorted(map(tuple, machine.drifting_centroids(df, start).collect()))
+    assert whole == sorted(map(tuple, machine.drifting_centroids(df, start, block_rows=13).collect()))
+    assert {r[2] for r in whole} <= {-1, 0, 1} and len(whole) == 60
+
+
+def test_sticky_hold_keeps_the_owner(spark):
+    """A holds the ball, it is lost for three frames, comes back near A, then is far from everyone."""
+    near, far = [(1, 100.0, 100.0, 0), (2, 400.0, 100.0, 1)], (900.0, 900.0)
+    rows = [(1, f, 102.0, 100.0, near) for f in range(6)] + [(1, f, None, None, near) for f in range(6, 9)]
+    rows += [(1, 9, 110.0, 100.0, near)] + [(1, f, *far, near) for f in range(10, 14)]
+    rows += [(1, f, None, None, near) for f in range(14, 22)]
+    schema = "match_id long, frame long, ball_x double, ball_y double, players array<struct<track_id:long,x:double,y:double,team:int>>"
+    got = {r.frame: r for r in machine.sticky_possession(spark.createDataFrame(rows, schema)).collect()}
+    assert got[3].state == "no_possession" and got[4].state == "team_A_possession" and got[4].player == 1
+    assert [got[f].credit_0 for f in (6, 7, 8)] == [1, 1, 1]     # credited while hidden
+    assert got[8].state == "team_A_possession"
+    assert got[20].state == "dead_ball"                          # seventh frame without a ball
