@@ -25,9 +25,9 @@ BLOCK_FRAMES = 8192
 def possession_frames(obs: DataFrame, n: int = 5, block_frames: int = BLOCK_FRAMES) -> DataFrame:
     """Adds `current_team, prev_team, prev_frame, changed, frames_prev, frames_first`.
 
-    One shuffle by (match, block) carries the rows. Each block is reduced to one summary row (its
-    first and last run, its last confirmation), the summaries are chained per match, and the chain
-    state at block entry is joined back.
+    Rows are shuffled by (match, block), never by match alone. Each block is reduced to one summary
+    row (its first and last run, its last confirmation), the summaries are chained per match, and the
+    chain state at block entry is joined back on the same partitioning.
     """
     keyed = [*KEYS, scan.BLOCK]
     inside = Window.partitionBy(*keyed).orderBy(*ORDER)
