@@ -136,6 +136,25 @@ def rolling(code: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * down[:len(code) - k + 1] + np.uint64(k))
 
 
+def hash_spans(code: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the word spans [start, stop)."""
+    up, down = _WORD_POWERS.get(len(code) + 1)
+    total = np.zeros(len(code) + 1, dtype=np.uint64)
+    np.cumsum(code * up[:-1], out=total[1:])
+    return mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of the `width` values from each place on."""
+    if len(values) < width:
+        return values[:0]
+    have = 1
+    while have * 2 <= width:
+        values, have = np.minimum(values[:len(values) - have], values[have:]), have * 2
+    rest = width - have
+    return np.minimum(values[:len(values) - rest], values[rest:]) if rest else values
+
+
 def whole_within(words: Words, k: int) -> np.ndarray:
     """True for the positions from which k words lie within one row; as long as `rolling(code, k)`."""
     n = max(len(words.start) - k + 1, 0)

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import credentials, decontam, licences, mixing, personal, quality, toxicity
+from . import credentials, decontam, jaccard, licences, mixing, personal, quality, repeats, toxicity
 from .sql import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,13 @@ def _(spark, sf_dir):
 @query("op10_toxicity")
 def _(spark, sf_dir):
     return toxicity.tag_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+@query("op7_jaccard_join")
+def _(spark, sf_dir):
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op2_repeats")
+def _(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
