@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import credentials, decontam, jaccard, licences, mixing, personal, quality, repeats, toxicity
+from . import credentials, decontam, jaccard, licences, mixing, neighbours, personal, quality, repeats, toxicity
 from .sql import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def _(spark, sf_dir):
 @query("op2_repeats")
 def _(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_nearest")
+def _(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
