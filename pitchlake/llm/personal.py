@@ -65,9 +65,9 @@ def _scored(kind: str, order: int) -> str:
         'stop', m.stop, 'score', CASE WHEN regexp({near}, r'{CONTEXT[kind]}') THEN {START_SCORE[kind] + BOOST}D ELSE {START_SCORE[kind]}D END))"""
 
 
-def find_personal(docs: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """The rows of `docs` (doc_id and text) with `spans`: array of (start, order, kind, stop, score), by start and kind."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("given"),
+def find_personal(docs: DataFrame, kinds: tuple[str, ...] = KINDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, `kept` (struct of the `carry` columns) and `spans`: array of (start, order, kind, stop, score), by start and kind."""
+    rows = docs.select(F.struct(*carry, F.lit(0).alias("__")).alias("kept"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("given"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def when(kind: str, value: Column, other: Column) -> Column:
@@ -76,7 +76,7 @@ def find_personal(docs: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     rows = rows.withColumns({f"found_{k}": when(k, F.regexp_extract_all("text", F.lit(f"({PATTERNS[k]})"), F.lit(0)), F.array().cast("array<string>")) for k in kinds})
     rows = rows.withColumns({f"pieces_{k}": F.when(F.size(f"found_{k}") > 0, F.split("text", PATTERNS[k], -1)) for k in kinds})
     spans = ", ".join(_scored(k, KINDS.index(k)) for k in kinds)
-    return rows.select("doc_id", F.col("given").alias("text"), F.expr(f"array_sort(concat({spans}))").alias("spans"))
+    return rows.select("kept", "doc_id", F.col("given").alias("text"), F.expr(f"array_sort(concat({spans}))").alias("spans"))
 
 
 def joined(condition: str = "true") -> Column:
@@ -84,6 +84,15 @@ def joined(condition: str = "true") -> Column:
     return F.expr(f"array_join(transform(filter(spans, s -> {condition}), s -> concat(s.kind, ':', s.start, ':', s.stop)), ',')")
 
 
+def redact(docs: DataFrame) -> DataFrame:
+    """`docs` with the personal data of each text replaced; n_chars, where there is one, follows a text that changes."""
+    found = find_personal(docs, carry=tuple(docs.columns)).withColumn("changed", F.when(F.size("spans") > 0, redacted()))
+    new = {"text": F.coalesce("changed", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length("changed").cast(docs.schema["n_chars"].dataType), "kept.n_chars")
+    return found.select(*[new.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns])
+
+
 def redacted() -> Column:
     """The text with every span replaced by its kind in brackets; of overlapping spans the first one counts."""
     return F.expr("""aggregate(spans, named_struct('at', 0, 'out', ''), (a, s) -> CASE WHEN s.start < a.at THEN a ELSE named_struct('at', s.stop,
