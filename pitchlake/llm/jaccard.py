@@ -1,17 +1,18 @@
 """N-gram Jaccard join by parity sketches.
 
 A document is its set of distinct word 3-shingles (hashed to 64 bits). Two sets A, B of similarity at least 0.9 differ in
-at most (|A| + |B|) / 19 elements. Sets are sketched per size band: every element toggles one bit of the sketch, so the
-Hamming distance of two sketches of a band is at most the size of the symmetric difference. The sketch of a band has one
-64-bit part more than two sets of that band may differ in, hence some part of two linked sets is equal: sets meet in
-buckets by (band, part, bits). A set joins the next band too when a partner of it may lie there.
+at most (|A| + |B|) / 19 elements. Sets are sketched per size band: every element toggles one bit of one part of the
+sketch, so the Hamming distance of two sketches of a band is at most the size of the symmetric difference. A part is
+carried as the XOR of the hashes of its elements. A band has two parts more than two sets of it may differ in, hence two
+parts at least of linked sets are equal: sets meet in buckets by (band, part, bits), or by (band, two empty parts), as
+one empty part alone says little. A set joins the next band too when a partner of it may lie there.
 
 Exact copies collapse first: nodes of the join are distinct sets. No bucket is expanded into pairs. Its least set is the
-pivot; every member is compared with the pivot only, which gives its difference to the pivot as a set. Two members that
-are linked, but not both with the pivot, must share elements of those differences: at least half of what both
-differences have beyond the allowed distance. They are found through the rarest elements of the differences (prefix
-filter, rarest first within the pivot's group), so a family of near copies costs its changes, not its pairs.
-Every link is verified on the sets. Components come from alternating star contraction.
+pivot; every member is compared with the pivot only. Two members that are linked, but not both with the pivot, must
+share elements of their differences to the pivot: at least half of what both differences have beyond the allowed
+distance. They meet through the first elements of the differences (prefix filter; elements that the pivot lacks come
+first, as they are rare), so a family of near copies costs its changes, not its pairs. Every link is verified on the
+sets. Components come from alternating star contraction.
 
 Documents without words have the empty set and are linked with nothing; fewer than 3 words are one shingle. A null
 doc_id takes part and never names a component, unless the whole component has none. Rows that repeat are copies.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import arrays
 from .tables import documents_of, stored, without
@@ -59,18 +60,22 @@ def set_code(s: np.ndarray) -> int:
     return int(arrays.signed(arrays.mix(total))[0])
 
 
-def sketch(s: np.ndarray, parts: int) -> np.ndarray:
-    """The parity sketch in 64-bit parts: an element toggles one bit of one part."""
-    out = np.zeros(parts, dtype=np.uint64)
+def buckets(s: np.ndarray, band: int, parts: int) -> np.ndarray:
+    """The buckets of a set in a band: a part with its bits for every part that holds elements, and every two empty parts."""
     spread = arrays.mix(s ^ _PART)
-    np.bitwise_xor.at(out, ((spread >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), np.uint64(1) << (spread & np.uint64(63)))
-    return out
+    part = ((spread >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    bits, filled = np.zeros(parts, dtype=np.uint64), np.zeros(parts, dtype=bool)
+    np.bitwise_xor.at(bits, part, spread)
+    filled[part] = True
+    label = arrays.mix(np.arange(parts, dtype=np.uint64) + np.array([band << 40], dtype=np.uint64))
+    one, two = np.triu_indices(int((~filled).sum()), 1)
+    empty = label[~filled]
+    return np.concatenate([arrays.mix(bits[filled] ^ label[filled]), arrays.mix(empty[one] * np.uint64(3) ^ empty[two])])
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_shingles, code, sketches): the sketches of the one or two bands of each set, as (band, parts)."""
-    kind = pa.list_(pa.struct([("band", pa.int32()), ("parts", pa.list_(pa.int64()))]))
-    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("code", pa.int64()), ("sketches", kind)])
+    """(doc_id, text_key, n_shingles, code, buckets) of each document; bands in which only equal sets are linked need no buckets."""
+    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("code", pa.int64()), ("buckets", pa.list_(pa.int64()))])
 
     def run(batches):
         lows, highs = bands(1 << 40)
@@ -79,17 +84,15 @@ def sketched(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(arrays.words_of(part.column("text"), arrays.SPACES, fold=True))
                 rows = []
                 for s in sets:
-                    mine = []
-                    if len(s):
-                        band = int(np.searchsorted(lows, len(s), side="right")) - 1
-                        reach = int(np.searchsorted(lows, len(s) * 10 // 9, side="right")) - 1
-                        mine = [{"band": b, "parts": arrays.signed(sketch(s, 2 * int(highs[b]) // FACTOR + 1))} for b in range(band, reach + 1)]
-                    rows.append(mine)
+                    first, last = (int(np.searchsorted(lows, n, side="right")) - 1 for n in (len(s), len(s) * 10 // 9))
+                    apart = {b: 2 * int(highs[b]) // FACTOR for b in range(first, last + 1)} if len(s) else {}
+                    mine = [buckets(s, b, d + 2) for b, d in apart.items() if d]
+                    rows.append(arrays.signed(np.concatenate(mine)) if mine else [])
                 yield pa.record_batch([part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
-                                       pa.array([set_code(s) for s in sets], pa.int64()), pa.array(rows, kind)], schema=out)
+                                       pa.array([set_code(s) for s in sets], pa.int64()), pa.array(rows, pa.list_(pa.int64()))], schema=out)
 
     return documents_of(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(
-        run, "doc_id long, text_key long, n_shingles long, code long, sketches array<struct<band: int, parts: array<long>>>")
+        run, "doc_id long, text_key long, n_shingles long, code long, buckets array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -109,46 +112,44 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "code long, n long, items array<long>").dropDuplicates(["code"])
 
 
-def differences(rows: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(pivot, code, n, size, linked, items): each member of a bucket against the bucket's pivot; items is the difference."""
-    band = F.explode("sketches").alias("s")
-    keys = rows.filter("n_shingles > 0").select("code", band).groupBy("code", F.col("s.band").alias("band")).agg(F.first("s.parts").alias("parts"))
-    keys = stored(keys.select("code", "band", "parts"), "sketches").select("code", "band", F.posexplode("parts").alias("part", "bits"))
-    keys = keys.select("code", F.xxhash64("band", "part", "bits").alias("bucket"))
+def pivot_pairs(rows: DataFrame) -> DataFrame:
+    """(pivot, code): each member of a bucket with the bucket's least set."""
+    keys = rows.select("code", F.explode("buckets").alias("bucket"))
     pivots = keys.groupBy("bucket").agg(F.min("code").alias("pivot"), F.max("code").alias("last")).filter("pivot < last").drop("last")
-    pairs = stored(keys.join(pivots, "bucket").filter("code != pivot").select("pivot", "code").distinct(), "pivot_pairs")
-    involved = pairs.select(F.col("pivot").alias("code")).union(pairs.select("code")).distinct()
-    sets = stored(sets_of(docs, classes.join(involved, "code").select("doc", "text_key")), "shingle_sets")
+    return keys.join(pivots, "bucket").filter("code != pivot").select("pivot", "code").distinct()
+
+
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, code, n, size, linked, prefix): members against their pivots; `size` of the difference, and its first elements."""
     others = sets.select(F.col("code").alias("pivot"), F.col("n").alias("pivot_n"), F.col("items").alias("pivot_items"))
     both = pairs.join(sets, "code").join(others, "pivot")
-    both = both.withColumn("items", F.array_union(F.array_except("items", "pivot_items"), F.array_except("pivot_items", "items")))
-    size = F.size("items").cast("long")
-    return both.select("pivot", "code", "n", "pivot_n", size.alias("size"), (size * FACTOR <= F.col("n") + F.col("pivot_n")).alias("linked"), "items")
+    both = both.withColumns({"added": F.array_except("items", "pivot_items"), "removed": F.array_except("pivot_items", "items")})
+    size = (F.size("added") + F.size("removed")).cast("long")
+    both = both.select("pivot", "code", "n", "pivot_n", "added", "removed", size.alias("size"), (size * FACTOR <= F.col("n") + F.col("pivot_n")).alias("linked"))
+    # what a partner may differ at most, t <= n / 9; a linked member needs partners that aren't, which lie further from the pivot
+    reach = F.when(F.col("linked"), F.floor((F.col("size") - F.floor(1.8 * F.col("n") / FACTOR) - 1 + F.floor(F.col("n") / 9)) / 2)).otherwise(F.floor(F.col("n") / 9))
+    order = F.concat(F.sort_array("added"), F.sort_array("removed"))
+    return both.select("pivot", "code", "n", "size", "linked", F.slice(order, 1, F.greatest(F.lit(0), reach + 1).cast("int")).alias("prefix"))
 
 
-def links(found: DataFrame) -> DataFrame:
-    """(a, b): enough verified links to connect whatever is linked, from the differences to the pivots."""
+def links(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): enough verified links to connect whatever is linked."""
     star = found.filter("linked").select(F.col("pivot").alias("a"), F.col("code").alias("b"))
     strays = found.groupBy("pivot").agg(F.min("linked").alias("all_linked"), F.count("*").alias("members")).filter("NOT all_linked AND members > 1").select("pivot")
-    rest = found.join(strays, "pivot")
-    # what a partner may differ at most, t <= n / 9; a linked member needs partners that aren't, which lie further from the pivot
-    reach = F.when(F.col("linked"), F.floor((F.col("size") - F.floor(1.8 * F.col("n") / FACTOR) - 1 + F.floor(F.col("n") / 9)) / 2)).otherwise(F.floor(F.col("n") / 9))
-    flat = rest.select("pivot", "code", "n", "size", "linked", reach.alias("reach"), F.explode("items").alias("item"))
-    counts = flat.groupBy("pivot", "item").agg(F.count("*").alias("times")).filter("times > 1")
-    ranked = flat.join(counts, ["pivot", "item"], "left").withColumn(
-        "at", F.row_number().over(Window.partitionBy("pivot", "code").orderBy(F.coalesce("times", F.lit(1)), "item")) - 1)
-    # an element that one member alone has takes a place in the order, and meets nobody
-    kept = stored(ranked.filter("at <= reach AND times > 1").select("pivot", "item", "code", "n", "size", "linked", "at"), "prefixes")
+    flat = found.join(strays, "pivot").select("pivot", "code", "n", "size", "linked", F.posexplode("prefix").alias("at", "item"))
+    shared = flat.groupBy("pivot", "item").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
+    kept = stored(flat.join(shared, ["pivot", "item"]), "prefixes")
     x, y = kept.alias("x"), kept.alias("y")
     most = "floor((x.n + y.n) / 19)"
     met = x.join(y, F.expr(f"""x.pivot = y.pivot AND x.item = y.item AND x.code < y.code AND NOT (x.linked AND y.linked)
         AND 10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n)
         AND x.at <= floor((x.size - y.size + {most}) / 2) AND y.at <= floor((y.size - x.size + {most}) / 2)"""))
-    met = met.select(F.col("x.pivot").alias("pivot"), F.col("x.code").alias("a"), F.col("y.code").alias("b")).distinct()
-    side = lambda c: found.select("pivot", F.col("code").alias(c), F.col("items").alias(f"{c}_items"), F.col("n").alias(f"{c}_n"))
-    tried = met.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
-    apart = F.size("a_items") + F.size("b_items") - 2 * F.size(F.array_intersect("a_items", "b_items"))
-    return star.unionByName(tried.filter(apart * FACTOR <= F.col("a_n") + F.col("b_n")).select("a", "b")).distinct()
+    met = stored(met.select(F.col("x.code").alias("a"), F.col("y.code").alias("b")).distinct(), "met")
+    side = lambda c: sets.select(F.col("code").alias(c), F.col("items").alias(f"{c}_items"), F.col("n").alias(f"{c}_n"))
+    tried = met.join(side("a"), "a").join(side("b"), "b")
+    total = F.col("a_n") + F.col("b_n")
+    apart = total - 2 * F.size(F.array_intersect("a_items", "b_items"))
+    return star.unionByName(tried.filter(apart * FACTOR <= total).select("a", "b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -175,12 +176,15 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     rows = stored(sketched(docs), "sketched")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc"), "text_key"))
     classes = stored(rows.filter("n_shingles > 0").groupBy("code").agg(first.alias("m")).select("code", "m.*"), "classes")
-    found = stored(differences(rows, docs, classes), "differences")
-    roots = components(links(found))
+    pairs = stored(pivot_pairs(rows), "pivot_pairs")
+    involved = pairs.select(F.col("pivot").alias("code")).union(pairs.select("code")).distinct()
+    sets = stored(sets_of(docs, classes.join(involved, "code").select("doc", "text_key")), "shingle_sets")
+    found = stored(differences(pairs, sets), "differences")
+    roots = components(links(found, sets))
     joined = classes.join(roots, classes["code"] == roots["node"], "left").select("code", F.coalesce("root", "code").alias("root"), "unnamed", "doc", "text_key")
     heads = joined.groupBy("root").agg(F.min(F.struct("unnamed", "doc", "text_key")).alias("h"))
     named = joined.join(heads, "root").select("code", F.col("h.doc").alias("head"), F.col("h.text_key").alias("head_key"))
-    out = rows.drop("sketches").join(named, "code", "left")
+    out = rows.drop("buckets").join(named, "code", "left")
     alone = F.col("n_shingles") == 0
     return out.select("doc_id", "text_key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("head")).alias("component_id"),
                       F.when(alone, F.col("doc_id")).otherwise(F.col("head")).alias("keeper"),

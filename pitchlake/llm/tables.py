@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -9,9 +11,15 @@ from ..session import scratch_path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once as Parquet in the shared folder and read again, so that later steps and lost executors reread them."""
+    """The rows written once as Parquet in the shared folder and read again, so that later steps and lost executors reread them.
+
+    What the step shuffled isn't needed any more. Spark frees it when the driver collects its garbage, which may be
+    long after the disks are full, so that is asked for here.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
