@@ -180,7 +180,7 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE,
             sizes = sizes_of[rows]
             at = arrays.spread(offsets[rows], sizes)
             first = np.concatenate([[0], np.cumsum(sizes)])
-            score = field.bias + field.weights[slots[:, at]].sum(axis=0)
+            score = field.bias + sum(field.weights[s[at]] for s in slots)
             prob, moves = marginals(score, first, field.change)
             miss = prob - label[at]
             slope = sum(np.bincount(s[at], miss, SLOTS) for s in slots)
@@ -194,8 +194,12 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE,
             push = moves - seen
             change_squares += push ** 2
             field.change -= 0.1 * push / np.sqrt(change_squares)
-    prob, _ = marginals(field.bias + field.weights[slots].sum(axis=0), offsets, field.change)
-    x, y = document_evidence(prob, offsets), toxic.astype(float)
+    evidence = []
+    for k in range(0, len(toxic), BATCH):
+        first = offsets[k:k + BATCH + 1]
+        score = field.bias + sum(field.weights[s[first[0]:first[-1]]] for s in slots)
+        evidence.append(document_evidence(marginals(score, first - first[0], field.change)[0], first - first[0]))
+    x, y = np.concatenate(evidence), toxic.astype(float)
     for _ in range(50):  # Newton steps of a lightly penalised logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ field.top, -_LIMIT, _LIMIT)))
         slope = x.T @ (p - y) + 1e-2 * field.top
