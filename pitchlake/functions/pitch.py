@@ -58,19 +58,23 @@ POINT_PRIORITY = {
 DEFAULT_PRIORITY = 50
 
 
-def side_point_priority() -> dict[str, int]:
-    """Priorities for detectors whose classes name the side of the pitch."""
-    table = {}
-    for side in ("left", "right"):
-        for level, pattern in ((90, "penalty_arc_intersection_{v}"), (80, "bigbox_{v}_inner"),
-                               (75, "bigbox_{v}_outer"), (70, "smallbox_{v}_inner"),
-                               (65, "smallbox_{v}_outer")):
-            for v in ("top", "bottom"):
-                table[f"{side}_{pattern.format(v=v)}"] = level
-        for v in ("top", "bottom"):
-            table[f"corner_{side}_{v}"] = 40
-    centre = {n: p for n, p in POINT_PRIORITY.items() if p >= 95}
-    return {**centre, **table}
+# The same for detectors whose classes name the side of the pitch.
+SIDE_POINT_PRIORITY = {
+    "midline_top_intersection": 100, "midline_bottom_intersection": 100,
+    "halfcircle_top": 95, "halfcircle_bottom": 95,
+    "left_penalty_arc_intersection_top": 90, "left_penalty_arc_intersection_bottom": 90,
+    "left_bigbox_top_inner": 80, "left_bigbox_bottom_inner": 80,
+    "left_bigbox_top_outer": 75, "left_bigbox_bottom_outer": 75,
+    "left_smallbox_top_inner": 70, "left_smallbox_bottom_inner": 70,
+    "left_smallbox_top_outer": 65, "left_smallbox_bottom_outer": 65,
+    "corner_left_top": 40, "corner_left_bottom": 40,
+    "right_penalty_arc_intersection_top": 90, "right_penalty_arc_intersection_bottom": 90,
+    "right_bigbox_top_inner": 80, "right_bigbox_bottom_inner": 80,
+    "right_bigbox_top_outer": 75, "right_bigbox_bottom_outer": 75,
+    "right_smallbox_top_inner": 70, "right_smallbox_bottom_inner": 70,
+    "right_smallbox_top_outer": 65, "right_smallbox_bottom_outer": 65,
+    "corner_right_top": 40, "corner_right_bottom": 40,
+}
 
 
 def calibration_points() -> dict[str, tuple[float, float]]:

@@ -9,27 +9,30 @@ a whole key into one task. Rows of a key are cut into blocks of consecutive rows
   first block is always right and each round settles at least one more per key, so the result is
   exact; such rules settle in two or three rounds;
 * rules that never forget (`forgets=False`, running ids) advance one block per key and round, all
-  keys side by side.
+  keys side by side; the blocks are stored by their number, so a round reads those due only.
 
-A last pass emits the output. States must leave out running totals: those are summed afterwards.
+A run of a block yields its output and its exit state together. States must leave out running
+totals: those are summed afterwards.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import durable
+from ..session import durable, scratch_path
 from . import scan
 
 Step = Callable[[dict, pd.DataFrame], tuple[pd.DataFrame, dict]]
+RANK, ENTRY, EXIT = "__rank", "__entry", "__exit"
 
 
 def dump(state: dict) -> str:
@@ -44,61 +47,61 @@ def run_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step:
     `out_schema` lists the output columns; states must survive JSON. `whole_frames` cuts blocks every
     so many frames instead of rows, for rules that need all rows of a frame together.
     """
-    keys, block = list(keys), [*keys, scan.BLOCK]
+    keys = list(keys)
+    block = [*keys, scan.BLOCK]
     pos = scan.with_position(rows, keys, list(order), scan.block_of(order[0], block_frames))
     where = scan.block_of(order[0], whole_frames) if whole_frames else scan.block_of("__pos", block_rows)
-    cut = pos.withColumn(scan.BLOCK, where)
+    cut = durable(pos.withColumn(scan.BLOCK, where))
     first = dump(start)
-    key_types = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
-    key_schema = ", ".join(f"{k} {key_types[k]}" for k in block)
-
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values("__pos").reset_index(drop=True)
-
-    # one small row, to skip the rounds where every key fits one block
-    longest = pos.groupBy(*keys).agg(F.max("__pos").alias("n")).agg(F.max("n").alias("n")).first()["n"]
-    if longest is None or longest < block_rows:
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            return step(json.loads(first), ordered(pdf))[0]
-
-        return scan.spread_tasks(cut, keys).groupBy(*keys).applyInPandas(whole, out_schema)
-
-    cut = durable(scan.spread_tasks(cut, block))
-
-    def exits(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        entry = right["entry"].iloc[0]
-        state = step(json.loads(entry), ordered(left))[1]
-        return pd.DataFrame([(*key, entry, dump(state))], columns=[*block, "entry", "exit"])
-
-    def entry_groups(states: DataFrame):
-        """States grouped by block, under fresh names: both sides come from the same rows."""
-        named = states.select(*[F.col(b).alias(f"{b}_of") for b in block], "entry")
-        return named.groupBy(*[f"{b}_of" for b in block])
-
-    def evaluate(entries: DataFrame) -> DataFrame:
-        wanted = cut.join(entries.select(*block), block, "left_semi")
-        return durable(wanted.groupBy(*block).cogroup(entry_groups(entries))
-                       .applyInPandas(exits, f"{key_schema}, entry string, exit string"))
-
     chain = Window.partitionBy(*keys).orderBy(scan.BLOCK)  # one row per block
-    names = durable(cut.select(*block).distinct().withColumn("__before", F.lag(scan.BLOCK).over(chain)))
-    opening = names.filter("__before IS NULL" if not forgets else "true").select(
-        *block, F.lit(first).alias("entry"))
-    known = evaluate(opening)
-    while True:
-        left = known.select(*keys, F.col(scan.BLOCK).alias("__before"), F.col("exit").alias("true_entry"))
-        due = names.join(left, [*keys, "__before"]).join(known.select(*block, "entry"), block, "left")
-        stale = due.filter(~F.col("true_entry").eqNullSafe(F.col("entry"))).select(
-            *block, F.col("true_entry").alias("entry"))
-        if stale.isEmpty():
-            break
-        fresh = evaluate(stale)
-        known = durable(known.join(fresh.select(*block), block, "left_anti").unionByName(fresh))
-
-    def emit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return step(json.loads(right["entry"].iloc[0]), ordered(left))[0]
-
-    return cut.groupBy(*block).cogroup(entry_groups(known)).applyInPandas(emit, out_schema)
+    names = durable(cut.select(*block).distinct().withColumn(RANK, F.row_number().over(chain)))
+    marks = [f"__of_{b}" for b in block]
+    kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
+    schema = f"{out_schema}, {', '.join(f'{m} {kinds[b]}' for m, b in zip(marks, block))}, {ENTRY} string, {EXIT} string"
+    columns = [c.split()[0] for c in out_schema.split(", ")]
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        entry = right[ENTRY].iloc[0]
+        out, state = step(json.loads(entry), left.sort_values("__pos").reset_index(drop=True))
+        out = out.assign(**{m: k for m, k in zip(marks, key)}, **{ENTRY: None, EXIT: None})
+        last = pd.DataFrame([(*key, entry, dump(state))], columns=[*marks, ENTRY, EXIT])
+        return pd.concat([out.astype(object), last.astype(object)])[[*columns, *marks, ENTRY, EXIT]]
+
+    def evaluate(source: DataFrame, entries: DataFrame) -> DataFrame:
+        """Output rows, and a row with entry and exit per block; `entries`: block columns and entry."""
+        given = entries.select(*[F.col(b).alias(m) for b, m in zip(block, marks)], ENTRY)
+        wanted = source.join(entries.select(*block), block, "left_semi")
+        return durable(scan.spread_tasks(wanted, block).groupBy(*block).cogroup(given.groupBy(*marks)).applyInPandas(run, schema))
+
+    def exits(done: DataFrame) -> DataFrame:
+        return done.filter(F.col(EXIT).isNotNull()).select(*[F.col(m).alias(b) for b, m in zip(block, marks)], ENTRY, EXIT)
+
+    def output(done: DataFrame) -> DataFrame:
+        return done.filter(F.col(EXIT).isNull()).select(*columns)
+
+    if forgets:
+        done = evaluate(cut, names.select(*block, F.lit(first).alias(ENTRY)))
+        while True:
+            states = exits(done)
+            before = names.join(states.select(*block, EXIT), block).select(*keys, (F.col(RANK) + 1).alias(RANK), F.col(EXIT).alias("__true"))
+            due = names.join(before, [*keys, RANK]).join(states.select(*block, ENTRY), block)
+            stale = durable(due.filter(F.col("__true") != F.col(ENTRY)).select(*block, F.col("__true").alias(ENTRY)))
+            if stale.isEmpty():
+                return output(done)
+            old = stale.select(*[F.col(b).alias(m) for b, m in zip(block, marks)])
+            done = durable(done.join(old, marks, "left_anti").unionByName(evaluate(cut, stale)))
+
+    path = scratch_path(rows.sparkSession, "blocks")
+    ranked = cut.join(names, block)
+    ranked.repartition(*block).write.partitionBy(RANK).parquet(path)
+    stored = rows.sparkSession.read.schema(ranked.schema).parquet(path)
+    last = names.agg(F.max(RANK).alias("n")).first()["n"] or 0
+    entries, results = names.filter(F.col(RANK) == 1).select(*block, F.lit(first).alias(ENTRY)), None
+    for rank in range(1, last + 1):
+        done = evaluate(stored.filter(F.col(RANK) == rank), entries)
+        results = output(done) if results is None else results.unionByName(output(done))
+        entries = names.filter(F.col(RANK) == rank + 1).join(exits(done).select(*keys, F.col(EXIT).alias(ENTRY)), keys).select(*block, ENTRY)
+    return output(evaluate(cut, entries)) if results is None else results
 
 
 # ---- trajectory validation -------------------------------------------------------------------
@@ -173,13 +176,13 @@ def check_points(batch_ends: DataFrame, gate: int, block_rows: int = 50_000) ->
 
 def hold_team(rows: DataFrame, hold: int = 12, factor: float = 0.85, block_rows: int = 50_000) -> DataFrame:
     """Confirmed team per track. Within `hold` frames of the last confirmation another team must be
-    closer by `factor`. Rows: match_id, track_id, frame, seq, team (majority), d0, d1."""
+    closer by `factor`; a vote of -1 (no team) changes nothing. Rows: match_id, track_id, frame, seq, team (majority), d0, d1."""
     def step(state, pdf):
         team, since, out = state["team"], state["since"], []
         for frame, vote, d0, d1 in zip(pdf["frame"], pdf["team"], pdf["d0"], pdf["d1"]):
             dist = (d0, d1)
             free = team is None or since is None or frame - since >= hold
-            if vote != team and (free or dist[vote] < factor * dist[team]):
+            if vote in (0, 1) and vote != team and (free or dist[vote] < factor * dist[team]):
                 team, since = int(vote), int(frame)
             out.append(team)
         if since is not None and len(pdf) and pdf["frame"].iloc[-1] - since >= hold:
@@ -369,68 +372,72 @@ def assigned_share(states: DataFrame) -> DataFrame:
 
 # ---- greedy track matching -------------------------------------------------------------------
 
-def greedy_step(max_age: float = 5.0, max_lost: float = 120.0, history: int = 20, recover: float = 0.5,
-                accept: float = 0.4, fps: float = 30.0) -> Step:
-    """Detections of a frame in order take the best free track by 0.8 similarity + 0.2 overlap;
-    a lost track that looks alike is recovered first, anything else opens a new id."""
-    def alike(vec, seen) -> float:
-        norm = math.sqrt(sum(v * v for v in vec))
-        return max((sum(a * b for a, b in zip(vec, h)) / (norm * math.sqrt(sum(b * b for b in h)) + 1e-6)
-                    for h in seen), default=0.0)
-
-    def overlap(a, b) -> float:
-        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-        shared = max(0.0, w) * max(0.0, h)
-        return shared / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared + 1e-6)
+def similarities(vectors: np.ndarray, tracks: Sequence[dict]) -> np.ndarray:
+    """Largest cosine of each vector with the remembered vectors of each track."""
+    if not len(tracks):
+        return np.zeros((len(vectors), 0))
+    seen = np.array([v for t in tracks for v in t["vecs"]])
+    lengths = np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(seen, axis=1)
+    starts = np.concatenate([[0], np.cumsum([len(t["vecs"]) for t in tracks])[:-1]])
+    return np.maximum.reduceat(vectors @ seen.T / (lengths + 1e-6), starts, axis=1)
+
+
+def overlaps(boxes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Intersection over union of each box with each other box."""
+    a, b = boxes[:, None, :], others[None, :, :]
+    shared = np.prod(np.maximum(np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2]), 0.0), axis=-1)
+    area = lambda r: np.prod(r[..., 2:] - r[..., :2], axis=-1)
+    return shared / (area(a) + area(b) - shared + 1e-6)
 
-    def step(state, pdf):
-        active = {k: dict(t) for k, t in state["active"].items()}
-        lost = {k: dict(t) for k, t in state["lost"].items()}
-        next_id, out = state["next_id"], []
 
-        def touch(track, box, vec, now):
-            track.update(box=box, seen=now, vecs=[*track["vecs"], vec][-history:])
+def first_come(scores: np.ndarray, floor: float) -> dict[int, int]:
+    """Row -> column: rows in order take their best column above `floor` among those left, ties to the first."""
+    left, taken = scores.copy(), {}
+    for i in range(len(left) if left.shape[1] else 0):
+        best = int(np.argmax(left[i]))
+        if left[i, best] > floor:
+            taken[i] = best
+            left[:, best] = -np.inf
+    return taken
 
+
+def greedy_step(max_age: float = 5.0, max_lost: float = 120.0, history: int = 20, recover: float = 0.5,
+                accept: float = 0.4, fps: float = 30.0) -> Step:
+    """Per frame: lost tracks go to the first detection whose best lost track they are; the other
+    detections in order take the best free active track by 0.8 similarity + 0.2 overlap; whatever is
+    left opens a new id. Every detection gets an id. Ties go to the lower id."""
+    def step(state, pdf):
+        tracks = {int(k): t for k, t in state["tracks"].items()}
+        next_id, ids = state["next_id"], []
         for frame, group in pdf.groupby("frame", sort=True):
             now = float(frame) / fps
-            lost = {k: t for k, t in lost.items() if now - t["seen"] <= max_lost}
-            dets = [([float(b) for b in box], [float(x) for x in vec]) for *box, vec in
-                    zip(group["x1"], group["y1"], group["x2"], group["y2"], group["vec"])]
-            taken, got, fresh = set(), {}, []
-            for i, (_, vec) in enumerate(dets):
-                best = max(((alike(vec, t["vecs"]), -int(k)) for k, t in lost.items()), default=(0.0, 0))
-                if best[0] > recover:
-                    got[i] = str(-best[1])
-            for i, (box, vec) in enumerate(dets):
-                if i in got:
-                    track = lost.pop(got[i], None)
-                    if track is None:  # recovered by an earlier detection of this frame
-                        continue
-                    active[got[i]] = track
-                    touch(track, box, vec, now)
-                    taken.add(got[i])
-                    out.append((group["match_id"].iloc[0], frame, group["seq"].iloc[i], int(got[i])))
-                    continue
-                scores = [(0.8 * alike(vec, t["vecs"]) + 0.2 * overlap(box, t["box"]), -int(k))
-                          for k, t in active.items() if k not in taken]
-                best = max(scores, default=(0.0, 0))
-                if best[0] > accept:
-                    key = str(-best[1])
-                    touch(active[key], box, vec, now)
-                    taken.add(key)
-                    out.append((group["match_id"].iloc[0], frame, group["seq"].iloc[i], int(key)))
-                else:
-                    fresh.append(i)
-            for i in fresh:
-                box, vec = dets[i]
-                active[str(next_id)] = {"box": box, "seen": now, "vecs": [vec]}
-                taken.add(str(next_id))
-                out.append((group["match_id"].iloc[0], frame, group["seq"].iloc[i], next_id))
-                next_id += 1
-            for key in [k for k, t in active.items() if k not in taken and now - t["seen"] > max_age]:
-                lost[key] = active.pop(key)
-        res = pd.DataFrame(out, columns=["match_id", "frame", "seq", "track_id"])
-        return res, {"active": active, "lost": lost, "next_id": next_id}
+            boxes, vectors = group[["x1", "y1", "x2", "y2"]].to_numpy(float), np.stack(group["vec"]).astype(float)
+            tracks = {k: t for k, t in tracks.items() if not t["lost"] or now - t["seen"] <= max_lost}
+            gone = sorted(k for k, t in tracks.items() if t["lost"])
+            wish = similarities(vectors, [tracks[k] for k in gone])
+            owner: dict[int, int] = {}
+            if gone:
+                best = wish.argmax(axis=1)
+                for i in np.flatnonzero(wish.max(axis=1) > recover):
+                    if gone[best[i]] not in owner.values():
+                        owner[int(i)] = gone[best[i]]
+            free = sorted(k for k, t in tracks.items() if not t["lost"])
+            rest = [i for i in range(len(group)) if i not in owner]
+            if free and rest:
+                known = [tracks[k] for k in free]
+                score = 0.8 * similarities(vectors[rest], known) + 0.2 * overlaps(boxes[rest], np.array([t["box"] for t in known]))
+                owner |= {rest[i]: free[j] for i, j in first_come(score, accept).items()}
+            for i in range(len(group)):
+                if i not in owner:
+                    owner[i], next_id = next_id, next_id + 1
+                past = tracks.get(owner[i], {"vecs": []})["vecs"]
+                tracks[owner[i]] = {"box": boxes[i].tolist(), "seen": now, "vecs": [*past, vectors[i].tolist()][-history:], "lost": False}
+            for k, t in tracks.items():
+                t["lost"] = t["lost"] or now - t["seen"] > max_age
+            ids += [owner[i] for i in range(len(group))]
+        ordered = pdf.sort_values("frame", kind="stable")
+        out = ordered[["match_id", "frame", "seq"]].assign(track_id=ids)
+        return out, {"tracks": tracks, "next_id": next_id}
 
     return step
 
@@ -439,5 +446,5 @@ def greedy_match(detections: DataFrame, block_rows: int = 50_000, block_frames:
     """Track ids per detection (match_id, frame, seq, x1..y2, vec). Ids run on, so this never forgets."""
     return run_blocks(detections, ["match_id"], ["frame", "seq"], greedy_step(**rules),
                       "match_id long, frame long, seq long, track_id long",
-                      {"active": {}, "lost": {}, "next_id": 1}, block_rows, forgets=False,
+                      {"tracks": {}, "next_id": 1}, block_rows, forgets=False,
                       whole_frames=block_frames)

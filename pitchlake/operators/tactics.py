@@ -57,8 +57,8 @@ def zone_shift(focus: DataFrame, order: str = "frame", block: int = 8192) -> Dat
 
 def shift_text(new="new_zones", lost="lost_zones"):
     return F.concat_ws(" and ",
-                       F.when(F.size(new) > 0, F.concat(F.lit("focusing on "), F.array_join(new, ", "))),
-                       F.when(F.size(lost) > 0, F.concat(F.lit("reducing play in "), F.array_join(lost, ", "))))
+                       F.when(F.size(new) > 0, F.concat(F.lit("more in "), F.array_join(new, ", "))),
+                       F.when(F.size(lost) > 0, F.concat(F.lit("less in "), F.array_join(lost, ", "))))
 
 
 def cumulative_zones(positions: DataFrame, batches: DataFrame, size: int, num_zones: int = 9) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,11 +74,11 @@ def two_means(samples: DataFrame, order: str, channels=tuple(COLOUR), rounds: in
     return centres.drop("stopped")
 
 
-def pooled_kmeans(medians: DataFrame, channels=tuple(COLOUR), seed: int = 1):
-    """Library k-means (k = 2) over the medians of one match or of pooled matches in equal kit."""
-    features = VectorAssembler(inputCols=list(channels), outputCol="features").transform(medians)
-    model = KMeans(k=2, seed=seed, featuresCol="features", predictionCol="cluster").fit(features)
-    return model.transform(features).drop("features")
+def match_kmeans(medians: DataFrame, channels=tuple(COLOUR), rounds: int = 10) -> DataFrame:
+    """Two-cluster k-means over the track medians of each match: `cluster` 0 or 1 (0 on ties) per track.
+    The numbers mean nothing beyond the match; `darker_first` or `side_mapping` turn them into teams."""
+    assigned = nearest_centre(medians, two_means(medians, "track_id", channels, rounds), channels)
+    return assigned.select(*TRACK, F.col("team").alias("cluster"))
 
 
 def darker_first(centres: DataFrame, channels=tuple(COLOUR), by: str = "L") -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import cosine
+from ..session import durable
 from . import scan
 
 TRACK = ["match_id", "track_id"]
@@ -85,13 +83,31 @@ def smoothing_stats(rows: DataFrame, n: int = 30) -> DataFrame:
 
 # ---- Kalman smoothing ------------------------------------------------------------------------
 
-def warm_up_rows(q: float, r: float) -> int:
-    """Rows after which the filter has forgotten where it started.
+def _gains(noise: np.ndarray, p: float, q: float) -> np.ndarray:
+    """Gain of every update from the error before the first one; the error follows from the noise alone."""
+    out = np.empty(len(noise))
+    for i, level in enumerate(noise.tolist()):
+        out[i] = k = (p + q) / (p + q + level)
+        p = (1.0 - k) * (p + q)
+    return out
 
-    The start's influence shrinks by (1 - gain) per row, and the gain settles no lower than about
-    sqrt(q / r) for the largest noise in use, r / 0.1. Forty e-foldings are below double precision.
-    """
-    return math.ceil(40.0 / min(0.5, math.sqrt(q / (10.0 * r))))
+
+def _updates(pdf: pd.DataFrame, r: float, single_update: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Noise and row number of each update of a block's rows."""
+    conf = pdf["conf"].to_numpy()
+    noise = np.where(conf < 1.0, r / (conf + 0.1), r)
+    rows = np.arange(len(pdf))
+    return (noise, rows) if single_update else (np.stack([np.full(len(noise), r), noise], axis=1).ravel(), np.repeat(rows, 2))
+
+
+#: The error after a block is (a p + b) / (c p + d); summaries of blocks compose as 2 x 2 matrices, scaled to stay finite.
+_ERROR_BEFORE = """aggregate(collect_list(struct(a, b, c, d)) OVER (PARTITION BY match_id, track_id ORDER BY __block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    1.0D, (p, m) -> (m.a * p + m.b) / (m.c * p + m.d))"""
+#: (position, velocity) after a block is linear in the state before it.
+_STATE_BEFORE = """aggregate(collect_list(struct(pp, pv, vp, vv, ox, ux, oy, uy)) OVER (PARTITION BY match_id, track_id ORDER BY __block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    named_struct('px', x0, 'vx', 0.0D, 'py', y0, 'vy', 0.0D), (s, m) -> named_struct(
+    'px', m.pp * s.px + m.pv * s.vx + m.ox, 'vx', m.vp * s.px + m.vv * s.vx + m.ux,
+    'py', m.pp * s.py + m.pv * s.vy + m.oy, 'vy', m.vp * s.py + m.vv * s.vy + m.uy))"""
 
 
 def kalman_smooth(rows: DataFrame, q: float = 0.01, r: float = 1.0, single_update: bool = False,
@@ -100,33 +116,57 @@ def kalman_smooth(rows: DataFrame, q: float = 0.01, r: float = 1.0, single_updat
 
     Per axis the state is (position, velocity) with one scalar error shared by both axes. Each
     measurement is applied twice, the second time with noise r / (conf + 0.1) where conf < 1;
-    `single_update` keeps the second only. Tracks up to `block_rows` are filtered from their first
-    row; longer ones are cut into blocks that warm up on the rows before them, so no task holds more
-    than one block of a track.
+    `single_update` keeps the second only. Tracks are cut into blocks of `block_rows` rows. The error
+    after a block is a fractional linear function of the error before it, and given the gains the
+    state after it is a linear function of the state before it: one row per block carries either
+    across blocks, so the blocks of a track are filtered side by side and exactly.
     """
-    warm = warm_up_rows(q, r)
     pos = scan.with_position(rows.select(*TRACK, *ORDER, "x", "y", "conf"), TRACK, ORDER,
                              scan.block_of("frame", block_frames))
-    cut, _ = scan.halo_rows(pos, TRACK, "__pos", warm, max(block_rows, 2 * warm))
+    block = [*TRACK, scan.BLOCK]
+    cut = durable(scan.spread_tasks(pos.withColumn(scan.BLOCK, F.floor((F.col("__pos") - 1) / block_rows)), block))
+    keys = f"match_id long, track_id long, {scan.BLOCK} long"
 
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+    def error_summary(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__pos")
-        zx, zy, conf = pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["conf"].to_numpy()
-        noise = np.where(conf < 1.0, r / (conf + 0.1), r)
-        px, py, vx, vy, p = zx[0], zy[0], 0.0, 0.0, 1.0
-        out = np.empty((len(pdf), 4))
-        for i in range(len(pdf)):
-            for level in ((noise[i],) if single_update else (r, noise[i])):
-                k = (p + q) / (p + q + level)
-                p = (1.0 - k) * (p + q)
-                dx, dy = zx[i] - (px + vx), zy[i] - (py + vy)
-                px, py = px + vx + k * dx, py + vy + k * dy
-                vx, vy = vx + k * dx, vy + k * dy
-            out[i] = px, py, vx, vy
-        res = pdf[[*TRACK, *ORDER]].assign(smooth_x=out[:, 0], smooth_y=out[:, 1], vel_x=out[:, 2], vel_y=out[:, 3])
-        return res[~pdf[scan.HALO].to_numpy()]
-
-    return scan.spread_tasks(cut, [*TRACK, scan.BLOCK]).groupBy(*TRACK, scan.BLOCK).applyInPandas(
+        a, b, c, d = 1.0, 0.0, 0.0, 1.0
+        for level in _updates(pdf, r, single_update)[0].tolist():  # p -> level (p + q) / (p + q + level)
+            a, b, c, d = level * (a + q * c), level * (b + q * d), a + (q + level) * c, b + (q + level) * d
+            scale = c + d
+            a, b, c, d = a / scale, b / scale, c / scale, d / scale
+        return pd.DataFrame([(*key, a, b, c, d, pdf["x"].iloc[0], pdf["y"].iloc[0])], columns=[*block, "a", "b", "c", "d", "x0", "y0"])
+
+    def filtered(pdf: pd.DataFrame, p: float, state: np.ndarray) -> np.ndarray:
+        """States after each row; `state` has position and velocity in its columns, one row per sequence to run."""
+        noise, row = _updates(pdf, r, single_update)
+        z = np.stack([pdf["x"].to_numpy(), pdf["y"].to_numpy(), np.zeros(len(pdf)), np.zeros(len(pdf))], axis=1)
+        out = np.empty((len(pdf), *state.shape))
+        for k, i in zip(_gains(noise, p, q).tolist(), row.tolist()):
+            ahead = state[:, 0] + state[:, 1]
+            miss = k * (z[i, :len(state)] - ahead)
+            state = np.stack([ahead + miss, state[:, 1] + miss], axis=1)
+            out[i] = state
+        return out
+
+    def state_summary(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        # x and y from rest, and the two unit states without measurements
+        end = filtered(left.sort_values("__pos"), right["p"].iloc[0], np.array([[0.0, 0], [0, 0], [1, 0], [0, 1]]))[-1]
+        (ox, ux), (oy, uy), (pp, vp), (pv, vv) = end
+        return pd.DataFrame([(*key, pp, pv, vp, vv, ox, ux, oy, uy)], columns=[*block, "pp", "pv", "vp", "vv", "ox", "ux", "oy", "uy"])
+
+    def smooth(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, s = left.sort_values("__pos"), right.iloc[0]
+        out = filtered(left, s["p"], np.array([[s["px"], s["vx"]], [s["py"], s["vy"]]]))
+        return left[[*TRACK, *ORDER]].assign(smooth_x=out[:, 0, 0], smooth_y=out[:, 1, 0], vel_x=out[:, 0, 1], vel_y=out[:, 1, 1])
+
+    groups = cut.groupBy(*block)
+    errors = groups.applyInPandas(error_summary, f"{keys}, a double, b double, c double, d double, x0 double, y0 double")
+    first = Window.partitionBy(*TRACK).orderBy(scan.BLOCK)  # one row per block
+    errors = durable(errors.select(*block, F.expr(_ERROR_BEFORE).alias("p"), F.first("x0").over(first).alias("x0"), F.first("y0").over(first).alias("y0")))
+    states = groups.cogroup(errors.select(*block, "p").groupBy(*block)).applyInPandas(
+        state_summary, f"{keys}, pp double, pv double, vp double, vv double, ox double, ux double, oy double, uy double")
+    entries = durable(states.join(errors, block).select(*block, "p", F.expr(_STATE_BEFORE).alias("s")).select(*block, "p", "s.*"))
+    return groups.cogroup(entries.groupBy(*block)).applyInPandas(
         smooth, "match_id long, track_id long, frame long, seq long, smooth_x double, smooth_y double, "
                 "vel_x double, vel_y double")
 
@@ -142,12 +182,14 @@ def recover_tracks(new: DataFrame, lost: DataFrame, threshold: float = 0.5, max_
     one per detection before the next shuffle. `new`: det_id, t, vec. `lost`: track_id, last_seen, vec.
     """
     bucket = lambda col: F.floor(F.col(col) / max_lost).cast("long")
-    held = lost.select("match_id", "track_id", "last_seen", F.col("vec").alias("old"),
+    unit = lambda c: F.expr(f"named_struct('v', transform({c}, x -> CAST(x AS DOUBLE)), 'n', sqrt(aggregate({c}, 0D, (s, x) -> s + x * x)))")
+    held = lost.select("match_id", "track_id", "last_seen", unit("vec").alias("old"),
                        F.explode(F.array(bucket("last_seen"), bucket("last_seen") + 1)).alias("bucket"))
-    asked = new.withColumn("bucket", bucket("t"))
+    asked = new.withColumn("vec", unit("vec")).withColumn("bucket", bucket("t"))
     near = asked.join(held, ["match_id", "bucket"]).filter(
         (F.col("t") >= F.col("last_seen")) & (F.col("t") - F.col("last_seen") <= max_lost))
-    scored = near.withColumn("similarity", cosine("vec", "old")).filter(F.col("similarity") > threshold)
+    scored = near.withColumn("similarity", F.expr(
+        "aggregate(zip_with(vec.v, old.v, (a, b) -> a * b), 0D, (s, x) -> s + x) / (vec.n * old.n + 1e-6D)")).filter(F.col("similarity") > threshold)
     return scored.groupBy("match_id", "det_id").agg(
         F.max_by(F.struct("track_id", "similarity"), F.struct("similarity", -F.col("track_id"))).alias("b")
     ).select("match_id", "det_id", "b.track_id", "b.similarity")

@@ -100,7 +100,7 @@ def _(v):
 
 
 @query("AL8_tactical_shift", f"""WITH {tq._FOCUS_AT.format(src='zchk')}
-    SELECT match_id, frame, team, concat_ws(' and ', CASE WHEN len(nz) > 0 THEN 'focusing on ' || array_to_string(nz, ', ') END, CASE WHEN len(lz) > 0 THEN 'reducing play in ' || array_to_string(lz, ', ') END) AS shift
+    SELECT match_id, frame, team, concat_ws(' and ', CASE WHEN len(nz) > 0 THEN 'more in ' || array_to_string(nz, ', ') END, CASE WHEN len(lz) > 0 THEN 'less in ' || array_to_string(lz, ', ') END) AS shift
     FROM sx WHERE len(nz) + len(lz) > 0""")
 def _(v):
     focus = ta.zone_focus(zones_at(v, checks(v)), keys=("match_id", "frame", "team"))

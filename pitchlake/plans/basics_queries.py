@@ -172,10 +172,10 @@ def _(v):
     return v.base.select("seq", fn.pattern_label(F.col("seq") % 4, F.col("k") / 100.0).alias("pattern"))
 
 
-@query("P33_style_summary", """WITH s AS (SELECT seq, concat_ws('; ', CASE WHEN seq % 3 = 0 THEN 'Focusing on a, b, c' END,
-        CASE WHEN seq % 2 = 0 THEN CASE WHEN k % 10 >= 5 THEN 'Building effective play sequences' ELSE 'Playing short passing style' END END,
-        CASE WHEN k >= 60 THEN 'Dominating possession' WHEN k <= 40 THEN 'Counter-attacking focus' END) AS t FROM base)
-    SELECT seq, CASE WHEN t = '' THEN 'Balanced style' ELSE t END AS style FROM s""")
+@query("P33_style_summary", """WITH s AS (SELECT seq, concat_ws('; ', CASE WHEN seq % 3 = 0 THEN 'Active in a, b, c' END,
+        CASE WHEN seq % 2 = 0 THEN CASE WHEN k % 10 >= 5 THEN 'Long passing chains' ELSE 'Brief passing chains' END END,
+        CASE WHEN k >= 60 THEN 'Mostly on the ball' WHEN k <= 40 THEN 'Mostly off the ball' END) AS t FROM base)
+    SELECT seq, CASE WHEN t = '' THEN 'No clear style' ELSE t END AS style FROM s""")
 def _(v):
     zones = F.when(F.col("seq") % 3 == 0, F.array(*[F.lit(z) for z in "abcd"])).otherwise(
         F.array().cast("array<string>"))
@@ -183,9 +183,14 @@ def _(v):
     return v.base.select("seq", fn.style_summary(zones, avg, "k").alias("style"))
 
 
-@query("P31_to_json_safe", """SELECT seq, '{"track_id":' || track_id || ',"class_id":' || class_id || ',"team_id":' || team_id || '}' AS doc FROM det""")
+@query("P31_to_json_safe", """SELECT seq, '{"track_id":' || track_id || ',"box":{"side":' || CASE WHEN seq % 3 = 0 THEN 'null' ELSE CAST((seq % 100) / 2.0::DOUBLE AS VARCHAR) END
+    || ',"ids":[' || class_id || ',' || team_id || ']},"marks":[null,' || CAST((seq % 50) / 4.0::DOUBLE AS VARCHAR) || ',null],"by":{"a":null,"b":0.5}}' AS doc FROM det""")
 def _(v):
-    return v.det.select("seq", fn.json_safe("track_id", "class_id", "team_id").alias("doc"))
+    bad, worse = F.lit(float("nan")), F.lit(float("inf"))
+    rows = v.det.select("seq", "track_id", F.struct(F.when(F.col("seq") % 3 == 0, bad).otherwise((F.col("seq") % 100) / 2.0).alias("side"),
+                                                    F.array("class_id", "team_id").alias("ids")).alias("box"),
+                        F.array(bad, (F.col("seq") % 50) / 4.0, worse).alias("marks"), F.create_map(F.lit("a"), -worse, F.lit("b"), F.lit(0.5)).alias("by"))
+    return rows.select("seq", fn.json_safe(rows, "track_id", "box", "marks", "by").alias("doc"))
 
 
 @query("P24_angle_class", """WITH s AS (SELECT seq, atan2(y2 - y1, x2 - x1) AS a0, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM lines),

@@ -83,6 +83,22 @@ def _(v):
     return v.kp.select("seq", R(fn.keypoint_score("name", d)).alias("score"))
 
 
+_SIDED = "map {" + ", ".join(f"'{n}': {p}" for n, p in pitch.SIDE_POINT_PRIORITY.items()) + "}"
+_SIDE = "CASE WHEN x < 640 THEN 'left' ELSE 'right' END"
+
+
+@query("P18_keypoint_score_sides", f"""WITH s AS (SELECT seq, x, y, CASE WHEN name = 'corner' THEN 'corner_' || {_SIDE} || CASE WHEN y < 360 THEN '_bottom' ELSE '_top' END
+      ELSE regexp_replace(replace(name, 'outter', 'outer'), '^(big|small)area_', {_SIDE} || '_\\1box_') END AS name FROM kp)
+    SELECT seq, name, round(coalesce(({_SIDED})[name], 50) * (0.3::DOUBLE + 0.7::DOUBLE * greatest(0, 1 - sqrt((x - 640) * (x - 640) + (y - 360) * (y - 360)) / 500)), 6) AS score FROM s""")
+def _(v):
+    side = F.when(F.col("x") < 640, "left").otherwise("right")
+    corner = F.concat(F.lit("corner_"), side, F.when(F.col("y") < 360, "_bottom").otherwise("_top"))
+    area = F.regexp_replace(F.regexp_replace("name", "outter", "outer"), F.lit("^(big|small)area_"), F.concat(side, F.lit("_$1box_")))
+    d = fn.distance("x", "y", F.lit(640.0), F.lit(360.0))
+    rows = v.kp.withColumn("name", F.when(F.col("name") == "corner", corner).otherwise(area))
+    return rows.select("seq", "name", R(fn.keypoint_score("name", d, pitch.SIDE_POINT_PRIORITY)).alias("score"))
+
+
 _RAW_SQL = """SELECT DISTINCT CASE k % 5 WHEN 0 THEN name WHEN 1 THEN upper(replace(name, '_', ' ')) WHEN 2 THEN CAST(k AS VARCHAR)
     WHEN 3 THEN 'left-' || replace(name, '_', '-') ELSE 'x' || k END AS raw FROM kp JOIN base USING (seq)"""
 

@@ -38,20 +38,20 @@ def _(v):
 def _(v):
     cx, cy = fn.box_centre()
     path = scratch_path(v.spark, "positions")
-    (v.players.select("match_id", F.expr("frame div 30").alias("batch_idx"), "frame", (F.col("frame") / 30.0).alias("timestamp"),
-                      F.col("track_id").alias("player_id"), "team_id", F.array("x1", "y1", "x2", "y2").alias("bbox"), F.array(cx, cy).alias("position"))
-     .repartition("match_id", "batch_idx").write.partitionBy("match_id", "batch_idx").json(path))
-    rows = v.spark.read.schema("match_id long, batch_idx long, frame long, player_id long, team_id int, position array<double>").json(path)
-    return rows.select("match_id", "batch_idx", "frame", "player_id", "team_id", R(F.col("position")[0]).alias("x"), R(F.col("position")[1]).alias("y"))
+    rows = v.players.withColumn("batch_idx", F.expr("frame div 30"))
+    writers.write_batch_documents(rows, path, "frame", (F.col("frame") / 30.0).alias("timestamp"), F.col("track_id").alias("player_id"), "team_id",
+                                  F.array("x1", "y1", "x2", "y2").alias("bbox"), F.array(cx, cy).alias("position"))
+    back = readers.read_positions(v.spark, path, "*.txt")
+    return back.select(F.col("match_id").cast("long").alias("match_id"), "batch_idx", "frame", "player_id", "team_id", R("x").alias("x"), R("y").alias("y"))
 
 
 @query("S3_read_events", """SELECT match_id, frame, 'pass' AS type, team, from_player, to_player FROM pass""")
 def _(v):
     path = scratch_path(v.spark, "events")
     rows = v.passed.withColumns({"type": F.lit("pass"), "batch_idx": F.expr(f"frame div {BATCH}")})
-    rows.repartition("match_id").write.partitionBy("match_id").json(path)
-    back = v.spark.read.schema("match_id long, type string, frame long, team int, from_player long, to_player long").json(path)
-    return back.select("match_id", "frame", "type", "team", "from_player", "to_player")
+    writers.write_batch_documents(rows, path, "type", "frame", "team", "from_player", "to_player")
+    back = readers.read_events(v.spark, path, "*.txt")
+    return back.select(F.col("match_id").cast("long").alias("match_id"), "frame", "type", "team", "from_player", "to_player")
 
 
 CTES["cstat"] = """SELECT match_id, frame // 30 AS batch_idx, min(frame) AS start_frame, max(frame) AS end_frame, count(DISTINCT frame) AS frames_processed, count(*) AS detections_count,
@@ -63,8 +63,11 @@ def stored_stats(v):
     stats = batched(v).groupBy("match_id", "batch_idx").agg(
         F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.countDistinct("frame").alias("frames_processed"),
         F.count(F.lit(1)).alias("detections_count"), F.sum(F.col("seq") % 100 + 1).cast("double").alias("processing_time_ms"))
-    writers.write_chunk_outputs(path, stats=stats)
-    return v.spark.read.parquet(f"{path}/stats").withColumns({n: F.col(n).cast("long") for n in ("match_id", "batch_idx")})
+    batch = F.col("batch_idx").alias("batch_idx")
+    writers.write_batch_documents(stats, path, batch, "start_frame", "end_frame", "processing_time_ms",
+                                  F.struct("frames_processed", "detections_count").alias("chunk_stats"))
+    return readers.read_chunk_stats(v.spark, path, "*.txt").withColumn("match_id", F.col("match_id").cast("long")).drop(
+        "events_count", "possession_team", "possession_player")
 
 
 @query("S4_read_chunk_stats", "SELECT * FROM cstat")
@@ -158,8 +161,7 @@ def streamed(v):
     """Observations written as files and streamed back through guard, possession and sinks."""
     root = scratch_path(v.spark, "stream")
     source = f"{root}/observations"
-    v.obs.select("match_id", "frame", "seq", "team", "player").repartitionByRange(3, "frame").sortWithinPartitions(
-        "frame").write.parquet(source)
+    v.obs.select("match_id", "frame", "seq", "team", "player").write.parquet(source)
     stream = v.spark.readStream.schema(live.OBSERVATION).parquet(source)
     job = live.start_job(live.possession_stream(stream, HYSTERESIS), f"{root}/checkpoint", live.publish_stats(root))
     job.awaitTermination()
@@ -177,22 +179,24 @@ def _(v):
     return v.spark.read.parquet(f"{streamed(v)}/possession").select("match_id", "frame", "seq", "current_team")
 
 
-@query("ST11_order_guard")
+@query("ST11_order_guard", """WITH m AS (SELECT match_id, max(frame) AS mark FROM obs WHERE seq % 7 <> 0 GROUP BY 1)
+    SELECT obs.match_id, frame, seq, CASE WHEN seq % 7 = 0 AND frame < mark THEN 'late' ELSE 'taken' END AS fate FROM obs LEFT JOIN m USING (match_id)""")
 def _(v):
-    """Every seventh observation arrives in a second file, after later frames of its match."""
+    """Every seventh observation arrives in a later run, after later frames of its match."""
     root = scratch_path(v.spark, "guard")
     rows = v.obs.select("match_id", "frame", "seq", "team", "player")
-    rows.filter("seq % 7 <> 0").coalesce(1).write.parquet(f"{root}/in")
-    stream = v.spark.readStream.schema(live.OBSERVATION).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    rows.filter("seq % 7 <> 0").write.parquet(f"{root}/in")
+    stream = v.spark.readStream.schema(live.OBSERVATION).parquet(f"{root}/in")
     sink = live.guard_order(root, lambda df, epoch: live.write_epoch(df, f"{root}/taken", epoch))
     live.start_job(stream, f"{root}/checkpoint", sink).awaitTermination()
-    rows.filter("seq % 7 = 0").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    rows.filter("seq % 7 = 0").write.mode("append").parquet(f"{root}/in")
     live.start_job(stream, f"{root}/checkpoint", sink).awaitTermination()
     taken = v.spark.read.parquet(f"{root}/taken").select("match_id", "frame", "seq", F.lit("taken").alias("fate"))
     return taken.unionByName(v.spark.read.parquet(f"{root}/late").select("match_id", "frame", "seq", F.lit("late").alias("fate")))
 
 
-@query("S14_match_lifecycle")
+@query("S14_match_lifecycle", """SELECT DISTINCT match_id, CASE WHEN match_id % 4 = 0 THEN 'failed' ELSE 'completed' END AS status,
+    CASE WHEN match_id % 4 = 0 THEN 'source ended' END AS error FROM obs""")
 def _(v):
     path = scratch_path(v.spark, "status")
     ids = readers.list_matches(v.obs)

@@ -154,9 +154,9 @@ def shares(v):
     ac AS (SELECT match_id, team, max(length) AS active_length FROM chains WHERE closed_frame IS NULL GROUP BY 1, 2),
     s AS (SELECT match_id, team, CASE WHEN total_frames > 0 THEN frames * 100.0::DOUBLE / total_frames ELSE 0 END AS percent FROM stats)
     SELECT s.match_id, s.team, round(percent, 6) AS percent, array_to_string(dominant_zones, ',') AS dominant_zones, pattern, active_length, lens AS notable_lengths, total_chains, max_length,
-      coalesce(nullif(concat_ws('; ', CASE WHEN len(dominant_zones) > 0 THEN 'Focusing on ' || array_to_string(dominant_zones[1:3], ', ') END,
-        CASE WHEN a >= 5 THEN 'Building effective play sequences' WHEN a IS NOT NULL THEN 'Playing short passing style' END,
-        CASE WHEN percent >= 60 THEN 'Dominating possession' WHEN percent <= 40 THEN 'Counter-attacking focus' END), ''), 'Balanced style') AS style
+      coalesce(nullif(concat_ws('; ', CASE WHEN len(dominant_zones) > 0 THEN 'Active in ' || array_to_string(dominant_zones[1:3], ', ') END,
+        CASE WHEN a >= 5 THEN 'Long passing chains' WHEN a IS NOT NULL THEN 'Brief passing chains' END,
+        CASE WHEN percent >= 60 THEN 'Mostly on the ball' WHEN percent <= 40 THEN 'Mostly off the ball' END), ''), 'No clear style') AS style
     FROM s LEFT JOIN pat p ON p.match_id = s.match_id AND p.team = s.team LEFT JOIN n ON n.match_id = s.match_id AND n.team = s.team
       LEFT JOIN st ON st.match_id = s.match_id AND st.team = s.team LEFT JOIN ac ON ac.match_id = s.match_id AND ac.team = s.team""")
 def _(v):

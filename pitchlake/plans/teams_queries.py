@@ -85,9 +85,12 @@ def _(v):
     return medians(v).select("match_id", "track_id", "samples", *[R(c).alias(c) for c in CH])
 
 
-@query("A17_team_kmeans")
+_D = {i: " + ".join(f"({c} - c{i}_{c}) * ({c} - c{i}_{c})" for c in CH) for i in (0, 1)}
+
+
+@query("A17_team_kmeans", f"SELECT match_id, track_id, CASE WHEN sqrt({_D[0]}) <= sqrt({_D[1]}) THEN 0 ELSE 1 END AS cluster FROM meds JOIN cen10 USING (match_id)")
 def _(v):
-    return tm.pooled_kmeans(medians(v)).select("match_id", "track_id", "cluster")
+    return tm.match_kmeans(medians(v))
 
 
 _NAMES = [f"c{i}_{c}" for i in (0, 1) for c in CH]
@@ -152,12 +155,31 @@ def _(v):
     return tm.vote_majority(votes, history=4, needed=2, keep_on_tie=False, block=512).drop("team")
 
 
-@query("ST14_team_hold")
+CTES["hold0"] = "SELECT match_id, track_id, seq, team, d0, d1, row_number() OVER (PARTITION BY match_id, track_id ORDER BY seq) AS rn FROM voted"
+
+
+@query("ST14_team_hold", """WITH RECURSIVE h AS (SELECT match_id, track_id, seq, rn, CASE WHEN team IN (0, 1) THEN team END AS held, CASE WHEN team IN (0, 1) THEN seq END AS since FROM hold0 WHERE rn = 1
+      UNION ALL SELECT match_id, track_id, seq, rn, CASE WHEN moves THEN team ELSE held END, CASE WHEN moves THEN seq ELSE since END FROM (
+        SELECT e.*, h.held, h.since, e.team IN (0, 1) AND e.team IS DISTINCT FROM h.held AND (h.held IS NULL OR e.seq - h.since >= 12
+          OR CASE e.team WHEN 0 THEN e.d0 ELSE e.d1 END < 0.85::DOUBLE * CASE h.held WHEN 0 THEN e.d0 ELSE e.d1 END) AS moves
+        FROM h JOIN hold0 e ON e.match_id = h.match_id AND e.track_id = h.track_id AND e.rn = h.rn + 1))
+    SELECT match_id, track_id, seq AS frame, seq, held AS held_team FROM h""")
 def _(v):
     rows = voted(v).withColumn("frame", F.col("seq"))
-    return machine.hold_team(rows.select("match_id", "track_id", "frame", "seq", "team", "d0", "d1"))
+    return machine.hold_team(rows.select("match_id", "track_id", "frame", "seq", "team", "d0", "d1"), block_rows=16)
+
+
+CTES["drift0"] = "SELECT match_id, seq, L, a, b, row_number() OVER (PARTITION BY match_id ORDER BY seq) AS rn FROM colour"
+_START = {0: (90.0, 120.0, 120.0), 1: (110.0, 135.0, 135.0)}
+_OLD = {i: ", ".join(f"h.c{i}_{c}" for c in CH) for i in (0, 1)}
+_FIRST = ", ".join(f"{x}::DOUBLE AS c{i}_{c}" for i in (0, 1) for c, x in zip(CH, _START[i]))
+_FAR = {i: "sqrt(" + " + ".join(f"(e.{c} - h.c{i}_{c}) * (e.{c} - h.c{i}_{c})" for c in CH) + ")" for i in (0, 1)}
+_MOVED = ", ".join(f"CASE WHEN pick = {i} THEN 0.8::DOUBLE * c{i}_{c} + 0.2::DOUBLE * {c} ELSE c{i}_{c} END" for i in (0, 1) for c in CH)
 
 
-@query("ST15_centroid_update")
+@query("ST15_centroid_update", f"""WITH RECURSIVE h AS (SELECT DISTINCT match_id, 0::BIGINT AS seq, 0::BIGINT AS rn, 0 AS pick, {_FIRST} FROM drift0
+      UNION ALL SELECT match_id, seq, rn, pick, {_MOVED} FROM (SELECT *, CASE WHEN least(f0, f1) > 60 THEN -1 WHEN f0 <= f1 THEN 0 ELSE 1 END AS pick FROM (
+        SELECT e.*, {_OLD[0]}, {_OLD[1]}, {_FAR[0]} AS f0, {_FAR[1]} AS f1 FROM h JOIN drift0 e ON e.match_id = h.match_id AND e.rn = h.rn + 1)))
+    SELECT match_id, seq, pick::BIGINT AS team FROM h WHERE rn > 0""")
 def _(v):
-    return machine.drifting_centroids(v.colour.select("match_id", "seq", *CH), ((90.0, 120.0, 120.0), (110.0, 135.0, 135.0)), limit=60.0)
+    return machine.drifting_centroids(v.colour.select("match_id", "seq", *CH), ((90.0, 120.0, 120.0), (110.0, 135.0, 135.0)), limit=60.0, block_rows=40)

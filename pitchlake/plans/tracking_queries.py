@@ -46,11 +46,36 @@ def _(v):
                     R(F.expr("aggregate(trajectory, 0D, (s, p) -> s + p.x)"), 4).alias("sum_x"))
 
 
-@query("A28_smoothing_stats", """SELECT match_id, track_id, round(avg(px), 6) AS avg_velocity, round(max(px), 6) AS max_velocity, round(avg(conf), 6) AS avg_conf, round(min(conf), 6) AS min_conf
-    FROM (SELECT * FROM pts QUALIFY row_number() OVER (PARTITION BY match_id, track_id ORDER BY frame DESC, seq DESC) <= 30) GROUP BY 1, 2""")
+# one measurement per row, applied with noise 1, then with 1 / (conf + 0.1) where conf < 1; gains follow from the error p
+CTES["kal0"] = "SELECT match_id, track_id, frame, seq, px AS zx, py AS zy, conf, row_number() OVER (PARTITION BY match_id, track_id ORDER BY frame, seq) AS rn FROM pts"
+
+
+def _updated(rows: str, noise: str) -> str:
+    """SQL: one update of (x, y, vx, vy, p) by the measurement (zx, zy)."""
+    gain = f"(p + 0.01::DOUBLE) / (p + 0.01::DOUBLE + {noise})"
+    keep = "match_id, track_id, frame, seq, rn, zx, zy, conf"
+    return f"""SELECT {keep}, x + vx + g * (zx - (x + vx)) AS x, y + vy + g * (zy - (y + vy)) AS y, vx + g * (zx - (x + vx)) AS vx, vy + g * (zy - (y + vy)) AS vy,
+        (1 - g) * (p + 0.01::DOUBLE) AS p FROM (SELECT *, {gain} AS g FROM ({rows}))"""
+
+
+def _filtered(rows: str) -> str:
+    return _updated(_updated(rows, "1.0::DOUBLE"), "CASE WHEN conf < 1 THEN 1.0::DOUBLE / (conf + 0.1::DOUBLE) ELSE 1.0::DOUBLE END")
+
+
+_KAL = f"""WITH RECURSIVE kal AS ({_filtered("SELECT *, zx AS x, zy AS y, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 1.0::DOUBLE AS p FROM kal0 WHERE rn = 1")}
+    UNION ALL {_filtered("SELECT e.*, h.x, h.y, h.vx, h.vy, h.p FROM kal h JOIN kal0 e ON e.match_id = h.match_id AND e.track_id = h.track_id AND e.rn = h.rn + 1")})"""
+
+
+def smoothed(v):
+    return v.once("smoothed", lambda: tr.kalman_smooth(pts(v), block_rows=16))
+
+
+@query("A28_smoothing_stats", f"""{_KAL} SELECT match_id, track_id, round(avg(sqrt(vx * vx + vy * vy)), 4) AS avg_velocity, round(max(sqrt(vx * vx + vy * vy)), 4) AS max_velocity, round(avg(conf), 6) AS avg_conf, round(min(conf), 6) AS min_conf
+    FROM (SELECT * FROM kal QUALIFY row_number() OVER (PARTITION BY match_id, track_id ORDER BY frame DESC, seq DESC) <= 30) GROUP BY 1, 2""")
 def _(v):
-    out = tr.smoothing_stats(pts(v).withColumnRenamed("x", "velocity"))
-    return out.select("match_id", "track_id", *[R(n).alias(n) for n in ("avg_velocity", "max_velocity", "avg_conf", "min_conf")])
+    speed = smoothed(v).withColumn("velocity", F.hypot("vel_x", "vel_y")).join(pts(v), ["match_id", "track_id", "frame", "seq"])
+    out = tr.smoothing_stats(speed)
+    return out.select("match_id", "track_id", *[R(n, 4).alias(n) for n in ("avg_velocity", "max_velocity")], *[R(n).alias(n) for n in ("avg_conf", "min_conf")])
 
 
 @query("A29_track_counts", """WITH l AS (SELECT match_id, track_id, max(frame) AS f FROM det GROUP BY 1, 2), e AS (SELECT match_id, max(frame) AS m FROM det GROUP BY 1)
@@ -59,14 +84,24 @@ def _(v):
     return tr.track_counts(v.det, fps=1.0, max_age_seconds=5.0, max_lost=10.0)
 
 
-@query("ST3_kalman_smooth")
+@query("ST3_kalman_smooth", f"""{_KAL} SELECT match_id, track_id, frame, seq, round(x, 4) AS smooth_x, round(y, 4) AS smooth_y, round(vx, 4) AS vel_x, round(vy, 4) AS vel_y FROM kal""")
 def _(v):
-    return tr.kalman_smooth(pts(v))
+    return smoothed(v).select("match_id", "track_id", "frame", "seq", *[R(n, 4).alias(n) for n in ("smooth_x", "smooth_y", "vel_x", "vel_y")])
+
+
+_SPEED = "sqrt((e.zx - h.ax) * (e.zx - h.ax) + (e.zy - h.ay) * (e.zy - h.ay)) / ((e.frame - h.a_frame) / 0.5::DOUBLE)"
+_WAS = "sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)) / ((a_frame - b_frame) / 0.5::DOUBLE)"
 
 
-@query("ST4_trajectory_valid")
+@query("ST4_trajectory_valid", f"""WITH RECURSIVE val AS (SELECT match_id, track_id, frame, seq, rn, zx AS ax, zy AS ay, frame AS a_frame, NULL::DOUBLE AS bx, NULL::DOUBLE AS by, NULL::BIGINT AS b_frame, NULL::VARCHAR AS reason FROM kal0 WHERE rn = 1
+      UNION ALL SELECT match_id, track_id, frame, seq, rn, CASE WHEN why IS NULL THEN zx ELSE ax END, CASE WHEN why IS NULL THEN zy ELSE ay END, CASE WHEN why IS NULL THEN frame ELSE a_frame END,
+        CASE WHEN why IS NULL THEN ax ELSE bx END, CASE WHEN why IS NULL THEN ay ELSE by END, CASE WHEN why IS NULL THEN a_frame ELSE b_frame END, why FROM (
+        SELECT *, CASE WHEN frame > a_frame AND speed > 20 THEN 'velocity' WHEN frame > a_frame AND a_frame > b_frame AND abs(speed - {_WAS}) / ((frame - a_frame) / 0.5::DOUBLE) > 8 THEN 'acceleration' END AS why FROM (
+          SELECT e.*, h.ax, h.ay, h.a_frame, h.bx, h.by, h.b_frame, CASE WHEN e.frame > h.a_frame THEN {_SPEED} END AS speed
+          FROM val h JOIN kal0 e ON e.match_id = h.match_id AND e.track_id = h.track_id AND e.rn = h.rn + 1)))
+    SELECT match_id, track_id, frame, seq, reason IS NULL AS valid, reason FROM val""")
 def _(v):
-    return machine.validate_trajectories(pts(v), fps=0.5, max_speed=20.0, max_accel=8.0)
+    return machine.validate_trajectories(pts(v), fps=0.5, max_speed=20.0, max_accel=8.0, block_rows=16)
 
 
 @query("ST7_track_lifecycle", """WITH n AS (SELECT match_id, track_id, frame AS t, lead(frame) OVER (PARTITION BY match_id, track_id ORDER BY frame, seq) AS nx FROM det),

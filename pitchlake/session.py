@@ -33,24 +33,40 @@ def build_session(master: str | None = None, app: str = "pitchlake", **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's `spark.checkpoint.dir`.
 
-    Only where the cluster names none (tests, a laptop) a local folder is made and set.
+    Only a local session (tests, a laptop) that names none gets a folder of its own; on a cluster a folder of one
+    machine would be unreadable for the others, so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not path:
-        current = spark.sparkContext.getCheckpointDir()
-        path = current or tempfile.mkdtemp(prefix="pitchlake-")
+        path = spark.sparkContext.getCheckpointDir()
+    if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="pitchlake-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage on reliable storage, so a lost executor does not replay the whole chain."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage on reliable storage, so a lost executor does not replay the whole chain.
+
+    The rows are written as Parquet: later plans prune columns, push filters down and know the size.
+    """
+    path = scratch_path(df.sparkSession, "durable")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a table written by a job."""
-    return os.path.join(shared_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(shared_dir(spark), "tables", spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables this application wrote below the shared folder; frames that read them are void afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), "tables", spark.sparkContext.applicationId))
+    path.getFileSystem(conf).delete(path, True)

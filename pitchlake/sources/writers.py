@@ -37,6 +37,12 @@ def write_detection_documents(detections: DataFrame, path: str) -> None:
     docs.repartition("match_id", "batch_idx").write.mode("overwrite").partitionBy("match_id", "batch_idx").text(path)
 
 
+def write_batch_documents(rows: DataFrame, path: str, *columns) -> None:
+    """One JSON array of the rows per match and batch (a batch is a fixed number of frames)."""
+    docs = rows.groupBy("match_id", "batch_idx").agg(F.to_json(F.collect_list(F.struct(*columns))).alias("value"))
+    docs.repartition("match_id", "batch_idx").write.mode("overwrite").partitionBy("match_id", "batch_idx").text(path)
+
+
 def save_state(states: DataFrame, path: str) -> None:
     """Insert or replace the state of each match in `states`."""
     _overwrite(states.withColumn("deleted", F.lit(False)), path, "match_id")

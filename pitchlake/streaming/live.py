@@ -108,9 +108,9 @@ def watch(spark: SparkSession, hooks: Callbacks) -> StreamingQueryListener:
 
 
 def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
-    """Rows of one micro-batch in their own partition: a replay overwrites itself."""
-    (df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path))
+    """Rows of one micro-batch in a folder of their own: a replay overwrites itself, and an epoch
+    without rows still leaves an empty file with the schema."""
+    df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
 def publish_stats(root: str, alerts: Callable[[DataFrame], DataFrame] | None = None,
@@ -153,10 +153,10 @@ def guard_order(root: str, accept: Callable[[DataFrame, int], None]) -> Callable
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         marks = f"{root}/marks"
-        if epoch == 0:
-            before = batch.select("match_id", F.col("frame").alias("mark")).limit(0)
-        else:
-            before = spark.read.parquet(marks).filter(F.col("epoch") == epoch - 1).select("match_id", "mark")
+        before = batch.select("match_id", F.col("frame").alias("mark")).limit(0)
+        if epoch > 0:
+            # one epoch's folder only; the schema is given, so an epoch without rows reads as empty
+            before = spark.read.schema(before.schema).parquet(f"{marks}/epoch={epoch - 1}")
         rows = batch.join(before, "match_id", "left")
         late = F.coalesce(F.col("frame") < F.col("mark"), F.lit(False))
         write_epoch(rows.filter(late).drop("mark"), f"{root}/late", epoch)

@@ -48,10 +48,10 @@ def test_kalman_worked_example(spark):
 
 def test_kalman_in_blocks(spark):
     rng = random.Random(1)
-    rows = walk(rng, 1, 6000)
+    rows = walk(rng, 1, 3000)
     df = spark.createDataFrame(rows, SCHEMA)
     want = restated.kalman([r[4] for r in rows], [r[6] for r in rows])
-    got = {r.seq: r.smooth_x for r in tracks.kalman_smooth(df, block_rows=1).collect()}
+    got = {r.seq: r.smooth_x for r in tracks.kalman_smooth(df, block_rows=250).collect()}
     assert len(got) == len(rows)
     assert [got[r[3]] for r in rows] == pytest.approx(want, abs=1e-9)
 
