@@ -90,14 +90,14 @@ def _(v):
 
 
 _SPEED = "sqrt((e.zx - h.ax) * (e.zx - h.ax) + (e.zy - h.ay) * (e.zy - h.ay)) / ((e.frame - h.a_frame) / 0.5::DOUBLE)"
-_WAS = "sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)) / ((a_frame - b_frame) / 0.5::DOUBLE)"
+_WAS = "sqrt((ax - bx) * (ax - bx) + (ay - b_y) * (ay - b_y)) / ((a_frame - b_frame) / 0.5::DOUBLE)"
 
 
-@query("ST4_trajectory_valid", f"""WITH RECURSIVE val AS (SELECT match_id, track_id, frame, seq, rn, zx AS ax, zy AS ay, frame AS a_frame, NULL::DOUBLE AS bx, NULL::DOUBLE AS by, NULL::BIGINT AS b_frame, NULL::VARCHAR AS reason FROM kal0 WHERE rn = 1
+@query("ST4_trajectory_valid", f"""WITH RECURSIVE val AS (SELECT match_id, track_id, frame, seq, rn, zx AS ax, zy AS ay, frame AS a_frame, NULL::DOUBLE AS bx, NULL::DOUBLE AS b_y, NULL::BIGINT AS b_frame, NULL::VARCHAR AS reason FROM kal0 WHERE rn = 1
       UNION ALL SELECT match_id, track_id, frame, seq, rn, CASE WHEN why IS NULL THEN zx ELSE ax END, CASE WHEN why IS NULL THEN zy ELSE ay END, CASE WHEN why IS NULL THEN frame ELSE a_frame END,
-        CASE WHEN why IS NULL THEN ax ELSE bx END, CASE WHEN why IS NULL THEN ay ELSE by END, CASE WHEN why IS NULL THEN a_frame ELSE b_frame END, why FROM (
+        CASE WHEN why IS NULL THEN ax ELSE bx END, CASE WHEN why IS NULL THEN ay ELSE b_y END, CASE WHEN why IS NULL THEN a_frame ELSE b_frame END, why FROM (
         SELECT *, CASE WHEN frame > a_frame AND speed > 20 THEN 'velocity' WHEN frame > a_frame AND a_frame > b_frame AND abs(speed - {_WAS}) / ((frame - a_frame) / 0.5::DOUBLE) > 8 THEN 'acceleration' END AS why FROM (
-          SELECT e.*, h.ax, h.ay, h.a_frame, h.bx, h.by, h.b_frame, CASE WHEN e.frame > h.a_frame THEN {_SPEED} END AS speed
+          SELECT e.*, h.ax, h.ay, h.a_frame, h.bx, h.b_y, h.b_frame, CASE WHEN e.frame > h.a_frame THEN {_SPEED} END AS speed
           FROM val h JOIN kal0 e ON e.match_id = h.match_id AND e.track_id = h.track_id AND e.rn = h.rn + 1)))
     SELECT match_id, track_id, frame, seq, reason IS NULL AS valid, reason FROM val""")
 def _(v):

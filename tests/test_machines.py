@@ -136,18 +136,38 @@ def test_streaming_step_equals_restatement():
         assert [(o[1], o[5], o[10], o[4]) for o in out if o[10] is not None] == passes
 
 
-def test_team_hold_and_centroids_in_blocks(spark):
+@pytest.mark.parametrize("block", [7, 50_000])
+def test_team_hold_and_centroids(spark, block):
     rng = random.Random(8)
-    rows = [(1, t, 3 * i, i, rng.choice([0, 1, 1]), rng.uniform(5, 30), rng.uniform(5, 30)) for t in (1, 2) for i in range(50)]
+    rows = [(1, t, 3 * i, i, rng.choice([0, 1, 1, -1]), rng.uniform(5, 30), rng.uniform(5, 30)) for t in (1, 2) for i in range(50)]
     df = spark.createDataFrame(rows, "match_id long, track_id long, frame long, seq long, team long, d0 double, d1 double")
-    whole = sorted(map(tuple, machine.hold_team(df).collect()))
-    assert whole == sorted(map(tuple, machine.hold_team(df, block_rows=7).collect()))
+    got = {(r.track_id, r.seq): r.held_team for r in machine.hold_team(df, block_rows=block).collect()}
+    for t in (1, 2):
+        assert [got[t, i] for i in range(50)] == restated.held_teams([(r[2], *r[4:]) for r in rows if r[1] == t])
     colours = [(1, i, rng.uniform(90, 110), rng.uniform(120, 136), rng.uniform(120, 136)) for i in range(60)]
     df = spark.createDataFrame(colours, "match_id long, seq long, L double, a double, b double")
     start = ((95.0, 125.0, 125.0), (105.0, 131.0, 131.0))
-    whole = sorted(map(tuple, machine.drifting_centroids(df, start).collect()))
-    assert whole == sorted(map(tuple, machine.drifting_centroids(df, start, block_rows=13).collect()))
-    assert {r[2] for r in whole} <= {-1, 0, 1} and len(whole) == 60
+    got = {r.seq: r.team for r in machine.drifting_centroids(df, start, limit=9.0, block_rows=block).collect()}
+    want = restated.drifted([c[2:] for c in colours], start, 0.2, 9.0)
+    assert [got[i] for i in range(60)] == want and set(want) == {-1, 0, 1}
+
+
+@pytest.mark.parametrize("frames", [6, 1800])
+def test_greedy_match_gives_every_detection_an_id(spark, frames):
+    """Tracks that vanish and come back, and two detections that look like the same lost track."""
+    rng = random.Random(12)
+    looks = [[rng.uniform(-1, 1) for _ in range(5)] for _ in range(4)]
+    rows = []
+    for f in range(40):
+        for i in range(6):
+            if rng.random() < 0.6 and not 12 <= f < 20:
+                x = rng.uniform(0, 60)
+                rows.append((1, f, i, x, 0.0, x + 8, 20.0, [v + rng.uniform(-.3, .3) for v in looks[i % 4]]))
+    df = spark.createDataFrame(rows, "match_id long, frame long, seq long, x1 double, y1 double, x2 double, y2 double, vec array<double>")
+    rules = dict(fps=1.0, max_age=3.0, max_lost=100.0)
+    got = {(r.frame, r.seq): r.track_id for r in machine.greedy_match(df, block_frames=frames, **rules).collect()}
+    assert len(got) == len(rows)
+    assert got == restated.greedy_ids([(r[1], r[2], r[3:7], r[7]) for r in rows], 3.0, 100.0, 1.0)
 
 
 def test_sticky_hold_keeps_the_owner(spark):
