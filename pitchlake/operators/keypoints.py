@@ -432,34 +432,27 @@ def calibration_info(fits: DataFrame) -> DataFrame:
 
 # ---- field lines -----------------------------------------------------------------------------
 
-def line_crossings(segments: DataFrame, cell: float = 64.0) -> DataFrame:
+_DEN = "((a.x1 - a.x2) * (b.y1 - b.y2) - (a.y1 - a.y2) * (b.x1 - b.x2))"
+_ALONG_H = f"((a.x1 - b.x1) * (b.y1 - b.y2) - (a.y1 - b.y1) * (b.x1 - b.x2)) / {_DEN}"
+_ALONG_V = f"-((a.x1 - a.x2) * (a.y1 - b.y1) - (a.y1 - a.y2) * (a.x1 - b.x1)) / {_DEN}"
+_BOXES_MEET = " AND ".join(f"least({p}.{k}1, {p}.{k}2) <= greatest({q}.{k}1, {q}.{k}2)" for k in "xy" for p, q in ("ab", "ba"))
+
+
+def line_crossings(segments: DataFrame) -> DataFrame:
     """Where horizontal and vertical segments of a frame cross.
 
-    Segments that cross have overlapping bounding boxes, so they share grid cells. The join is on
-    (frame, cell), and a pair is looked at in the lowest cell it shares only: exact, without pairing
-    all segments of a frame.
+    The segments of a frame, those of one image, are two arrays in one row; they are crossed inside
+    the row, pairs whose bounding boxes are apart left out first.
     """
-    lo = lambda a, b: F.floor(F.least(a, b) / cell).cast("long")
-    hi = lambda a, b: F.floor(F.greatest(a, b) / cell).cast("long")
-
-    def spread(kind: str, tag: str) -> DataFrame:
-        rows = segments.filter(F.col("orientation") == kind).select(
-            *FRAME, *[F.col(n).alias(f"{tag}_{n}") for n in ("seq", "x1", "y1", "x2", "y2")],
-            lo("x1", "x2").alias(f"{tag}_cx"), hi("x1", "x2").alias("__hx"),
-            lo("y1", "y2").alias(f"{tag}_cy"), hi("y1", "y2").alias("__hy"))
-        rows = rows.withColumn("cx", F.explode(F.sequence(f"{tag}_cx", "__hx")))
-        return rows.withColumn("cy", F.explode(F.sequence(f"{tag}_cy", "__hy"))).drop("__hx", "__hy")
-
-    both = spread("horizontal", "h").join(spread("vertical", "v"), [*FRAME, "cx", "cy"]).filter(
-        (F.col("cx") == F.greatest("h_cx", "v_cx")) & (F.col("cy") == F.greatest("h_cy", "v_cy")))
-    dxh, dyh = F.col("h_x1") - F.col("h_x2"), F.col("h_y1") - F.col("h_y2")
-    dxv, dyv = F.col("v_x1") - F.col("v_x2"), F.col("v_y1") - F.col("v_y2")
-    ox, oy = F.col("h_x1") - F.col("v_x1"), F.col("h_y1") - F.col("v_y1")
-    den = dxh * dyv - dyh * dxv
-    some = F.abs(den) >= 1e-10
-    t, u = F.when(some, (ox * dyv - oy * dxv) / den), F.when(some, -(dxh * oy - dyh * ox) / den)
-    return both.filter(t.between(0, 1) & u.between(0, 1)).select(
-        *FRAME, "h_seq", "v_seq", (F.col("h_x1") - t * dxh).alias("x"), (F.col("h_y1") - t * dyh).alias("y"))
+    part = F.struct("seq", "x1", "y1", "x2", "y2")
+    one = lambda kind: F.collect_list(F.when(F.col("orientation") == kind, part))
+    images = segments.filter(F.col("orientation").isin("horizontal", "vertical")).groupBy(*FRAME).agg(
+        one("horizontal").alias("h"), one("vertical").alias("v")).filter("size(h) > 0 AND size(v) > 0")
+    met = F.expr(f"""flatten(transform(h, a -> transform(filter(v, b -> {_BOXES_MEET} AND abs({_DEN}) >= 1e-10), b -> named_struct(
+        'h_seq', a.seq, 'v_seq', b.seq, 't', {_ALONG_H}, 'u', {_ALONG_V}, 'a', a))))""")
+    rows = images.select(*FRAME, F.explode(met).alias("c")).filter("c.t BETWEEN 0 AND 1 AND c.u BETWEEN 0 AND 1")
+    return rows.select(*FRAME, "c.h_seq", "c.v_seq", F.expr("c.a.x1 - c.t * (c.a.x1 - c.a.x2)").alias("x"),
+                       F.expr("c.a.y1 - c.t * (c.a.y1 - c.a.y2)").alias("y"))
 
 
 def merge_collinear(segments: DataFrame, gap: float = 10.0, key: str = "orientation") -> DataFrame:

@@ -101,40 +101,43 @@ def normalise(cells: DataFrame, how: str | None = "max", frames: DataFrame | Non
     ).drop("__by")
 
 
-def _kernel(spark, n: int, sigma: float) -> list[tuple[int, int, float]]:
-    """(source, target, weight) of a truncated Gaussian on n cells with reflected edges."""
+def normalised(cells: DataFrame, frames: DataFrame) -> DataFrame:
+    """The three ways of `normalise` side by side as by_max, by_sum and by_frames, from one pass over the cells."""
+    team = Window.partitionBy(*GROUP)  # <= nx * ny rows
+    share = lambda d: F.when(d > 0, F.col("weight") / d).otherwise(F.col("weight"))
+    return cells.withColumns({"__max": F.max("weight").over(team), "__sum": F.sum("weight").over(team)}).join(frames, "match_id").select(
+        *CELL, share(F.col("__max")).alias("by_max"), share(F.col("__sum")).alias("by_sum"), share(F.col("num_frames")).alias("by_frames"))
+
+
+def _kernel(n: int, sigma: float) -> list[list[float]]:
+    """weight[source][target] of a truncated Gaussian on n cells with reflected edges."""
     radius = int(4.0 * sigma + 0.5)
     raw = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-radius, radius + 1)]
     norm = sum(raw)
-    table: dict[tuple[int, int], float] = {}
+    table = [[0.0] * n for _ in range(n)]
     for target in range(n):
         for d in range(-radius, radius + 1):
             source = (target + d) % (2 * n)
             source = 2 * n - 1 - source if source >= n else source
-            table[source, target] = table.get((source, target), 0.0) + raw[d + radius] / norm
-    return [(s, t, w) for (s, t), w in sorted(table.items())]
-
-
-def dense(cells: DataFrame, nx: int = NX, ny: int = NY) -> DataFrame:
-    """Every cell of every (match, team) present, absent ones with weight 0."""
-    full = (cells.select(*GROUP).distinct()
-            .withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))))
-            .withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(nx - 1)))))
-    return full.join(cells, CELL, "left").fillna(0.0, subset=["weight"])
+            table[source][target] += raw[d + radius] / norm
+    return table
 
 
 def gaussian(cells: DataFrame, sigma: float = 2.0, nx: int = 50, ny: int = 50) -> DataFrame:
-    """Separable Gaussian smoothing over cells. Each axis is an equi-join with a kernel table of at
-    most n * (8 sigma + 1) rows, whose size depends on the grid only, and a sum."""
-    spark = cells.sparkSession
-    out = cells.select(*CELL, F.col("weight").cast("double").alias("weight"))
-    for axis, n in (("iy", ny), ("ix", nx)):
-        kernel = spark.createDataFrame(_kernel(spark, n, sigma), f"{axis} int, target int, k double")
-        other = "ix" if axis == "iy" else "iy"
-        out = (out.join(F.broadcast(kernel), axis)
-               .groupBy(*GROUP, other, "target").agg(F.sum(F.col("weight") * F.col("k")).alias("weight"))
-               .withColumnRenamed("target", axis))
-    return dense(out.select(*CELL, "weight"), nx, ny)
+    """Separable Gaussian smoothing over cells; every cell of a (match, team) comes out.
+
+    A column of the grid is one row with its cells as an array, smoothed along y; the columns of a
+    team are then one row, smoothed along x. A row never holds more than the grid.
+    """
+    down, along = F.lit(_kernel(ny, sigma)), F.lit(_kernel(nx, sigma))
+    total = lambda entries, part: F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + part(e))
+    column = cells.groupBy(*GROUP, "ix").agg(F.collect_list(F.struct("iy", F.col("weight").cast("double").alias("w"))).alias("e"))
+    column = column.select(*GROUP, "ix", F.transform(F.sequence(F.lit(0), F.lit(ny - 1)), lambda t: total(
+        F.col("e"), lambda e: e["w"] * F.get(F.get(down, e["iy"]), t))).alias("col"))
+    grid = column.groupBy(*GROUP).agg(F.collect_list(F.struct("ix", "col")).alias("e"))
+    line = grid.select(*GROUP, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(ny - 1)), lambda y: F.transform(
+        F.sequence(F.lit(0), F.lit(nx - 1)), lambda t: total(F.col("e"), lambda e: F.get(e["col"], y) * F.get(F.get(along, e["ix"]), t))))).alias("iy", "line"))
+    return line.select(*GROUP, "iy", F.posexplode("line").alias("ix", "weight")).select(*CELL, "weight")
 
 
 def masked_cells(spark, nx: int = 50, ny: int = 50, goal_margin: float = pitch.GOAL_LINE_MARGIN,

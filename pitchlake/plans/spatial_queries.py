@@ -93,13 +93,8 @@ def _(v):
       round(weight / sum(weight) OVER (PARTITION BY match_id, team), 6) AS by_sum, round(weight / nf, 6) AS by_frames
     FROM cells JOIN f USING (match_id)""")
 def _(v):
-    base = sp.heatmap(placed(v))
-    frames = placed(v).groupBy("match_id").agg(F.countDistinct("frame").alias("num_frames"))
-    a = sp.normalise(base, "max").withColumnRenamed("weight", "by_max")
-    b = sp.normalise(base, "sum").withColumnRenamed("weight", "by_sum")
-    d = sp.normalise(base, "frames", frames).withColumnRenamed("weight", "by_frames")
-    out = a.join(b, sp.CELL).join(d, sp.CELL)
-    return out.select(*sp.CELL, *[R(n).alias(n) for n in ("by_max", "by_sum", "by_frames")])
+    return sp.normalised(sp.heatmap(placed(v)), placed(v).groupBy("match_id").agg(F.countDistinct("frame").alias("num_frames"))).select(
+        *sp.CELL, *[R(n).alias(n) for n in ("by_max", "by_sum", "by_frames")])
 
 
 @query("A13_histogram2d", "SELECT match_id, team, iy, ix, weight FROM hist")
