@@ -8,11 +8,10 @@ parts at least of linked sets are equal: sets meet in buckets by (band, part, bi
 one empty part alone says little. A set joins the next band too when a partner of it may lie there.
 
 Exact copies collapse first: nodes of the join are distinct sets. No bucket is expanded into pairs. Its least set is the
-pivot; every member is compared with the pivot only. Two members that are linked, but not both with the pivot, must
-share elements of their differences to the pivot: at least half of what both differences have beyond the allowed
-distance. They meet through the first elements of the differences (prefix filter; elements that the pivot lacks come
-first, as they are rare), so a family of near copies costs its changes, not its pairs. Every link is verified on the
-sets. Components come from alternating star contraction.
+pivot, and every member is compared with the pivot. Where all members are linked with their pivot, as in most groups of
+copies, that is all. Only for a pivot with strays (members not linked with it) the members are compared with each other,
+in blocks of at most `block` sets: a task gets two blocks, counts shared elements as products of 0/1 matrices, and
+returns the sets that the links connect, one row a set. Components come from alternating star contraction.
 
 Documents without words have the empty set and are linked with nothing; fewer than 3 words are one shingle. A null
 doc_id takes part and never names a component, unless the whole component has none. Rows that repeat are copies.
@@ -21,6 +20,7 @@ doc_id takes part and never names a component, unless the whole component has no
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,6 +31,9 @@ SHINGLE = 3
 RATIO = 1.4  # upper size of a band over its lower size
 #: Similar enough: 19 * |A xor B| <= |A| + |B|, which is 100 * |A and B| >= 90 * |A or B|.
 FACTOR = 19
+BLOCK = 1000              # members of one pivot that are compared at once
+TASK_ITEMS = 2_000_000    # elements of the sets that a task gets, about
+CELLS = 20_000_000        # entries of a matrix
 _PART = np.uint64(0xA0761D6478BD642F)
 
 
@@ -119,37 +122,67 @@ def pivot_pairs(rows: DataFrame) -> DataFrame:
     return keys.join(pivots, "bucket").filter("code != pivot").select("pivot", "code").distinct()
 
 
-def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(pivot, code, n, size, linked, prefix): members against their pivots; `size` of the difference, and its first elements."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, code, n, linked): members against their pivots."""
     others = sets.select(F.col("code").alias("pivot"), F.col("n").alias("pivot_n"), F.col("items").alias("pivot_items"))
-    both = pairs.join(sets, "code").join(others, "pivot")
-    both = both.withColumns({"added": F.array_except("items", "pivot_items"), "removed": F.array_except("pivot_items", "items")})
-    size = (F.size("added") + F.size("removed")).cast("long")
-    both = both.select("pivot", "code", "n", "pivot_n", "added", "removed", size.alias("size"), (size * FACTOR <= F.col("n") + F.col("pivot_n")).alias("linked"))
-    # what a partner may differ at most, t <= n / 9; a linked member needs partners that aren't, which lie further from the pivot
-    reach = F.when(F.col("linked"), F.floor((F.col("size") - F.floor(1.8 * F.col("n") / FACTOR) - 1 + F.floor(F.col("n") / 9)) / 2)).otherwise(F.floor(F.col("n") / 9))
-    order = F.concat(F.sort_array("added"), F.sort_array("removed"))
-    return both.select("pivot", "code", "n", "size", "linked", F.slice(order, 1, F.greatest(F.lit(0), reach + 1).cast("int")).alias("prefix"))
-
-
-def links(found: DataFrame, sets: DataFrame) -> DataFrame:
+    total = F.col("n") + F.col("pivot_n")
+    apart = total - 2 * F.size(F.array_intersect("items", "pivot_items"))
+    return pairs.join(sets, "code").join(others, "pivot").select("pivot", "code", "n", (apart * FACTOR <= total).alias("linked"))
+
+
+def connected(sizes: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
+    """For each set the first of the sets that links connect it with, all pairs counted by matrix products of bounded size."""
+    names, token, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(items)), sizes)
+    shared = times[token] > 1
+    place = np.cumsum(times > 1) - 1
+    owner, token, width = owner[shared], place[token[shared]], int((times > 1).sum())
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    common = np.zeros((len(items), len(items)), dtype=np.float32)
+    step = max(1, CELLS // len(items))
+    for begin in range(0, width, step):
+        part = slice(*np.searchsorted(token, [begin, begin + step]))
+        matrix = np.zeros((len(items), min(step, width - begin)), dtype=np.float32)
+        matrix[owner[part], token[part] - begin] = 1
+        common += matrix @ matrix.T
+    total = sizes[:, None] + sizes[None, :]
+    linked = (total - 2 * common) * FACTOR <= total
+    np.fill_diagonal(linked, True)
+    label = np.arange(len(items))
+    while True:
+        least = np.where(linked, label[None, :], len(items)).min(axis=1)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def among_members(frame: pd.DataFrame) -> pd.DataFrame:
+    """(a, b): sets that links connect within each cell, a pivot's pair of blocks."""
+    a, b = [], []
+    for _, cell in frame.groupby(["pivot", "low", "high"]):
+        codes = cell["code"].to_numpy()
+        label = connected(cell["n"].to_numpy(), list(cell["items"]))
+        rest = np.flatnonzero(label != np.arange(len(label)))
+        a.append(codes[label[rest]])
+        b.append(codes[rest])
+    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def links(found: DataFrame, sets: DataFrame, block: int = BLOCK, task_items: int = TASK_ITEMS) -> DataFrame:
     """(a, b): enough verified links to connect whatever is linked."""
     star = found.filter("linked").select(F.col("pivot").alias("a"), F.col("code").alias("b"))
-    strays = found.groupBy("pivot").agg(F.min("linked").alias("all_linked"), F.count("*").alias("members")).filter("NOT all_linked AND members > 1").select("pivot")
-    flat = found.join(strays, "pivot").select("pivot", "code", "n", "size", "linked", F.posexplode("prefix").alias("at", "item"))
-    shared = flat.groupBy("pivot", "item").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
-    kept = stored(flat.join(shared, ["pivot", "item"]), "prefixes")
-    x, y = kept.alias("x"), kept.alias("y")
-    most = "floor((x.n + y.n) / 19)"
-    met = x.join(y, F.expr(f"""x.pivot = y.pivot AND x.item = y.item AND x.code < y.code AND NOT (x.linked AND y.linked)
-        AND 10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n)
-        AND x.at <= floor((x.size - y.size + {most}) / 2) AND y.at <= floor((y.size - x.size + {most}) / 2)"""))
-    met = stored(met.select(F.col("x.code").alias("a"), F.col("y.code").alias("b")).distinct(), "met")
-    side = lambda c: sets.select(F.col("code").alias(c), F.col("items").alias(f"{c}_items"), F.col("n").alias(f"{c}_n"))
-    tried = met.join(side("a"), "a").join(side("b"), "b")
-    total = F.col("a_n") + F.col("b_n")
-    apart = total - 2 * F.size(F.array_intersect("a_items", "b_items"))
-    return star.unionByName(tried.filter(apart * FACTOR <= total).select("a", "b")).distinct()
+    strays = found.groupBy("pivot").agg(F.min("linked").alias("all_linked"), F.count("*").alias("members"), F.sum("n").alias("items")).filter(
+        "NOT all_linked AND members > 1").select("pivot", F.ceil(F.col("members") / block).cast("int").alias("blocks"), "items")
+    strays = stored(strays, "strays")
+    tasks = max(1, -(-(strays.agg(F.sum(F.col("items") * F.col("blocks"))).first()[0] or 0) // task_items))
+    own, other = F.pmod(F.xxhash64("code"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    members = found.join(strays.drop("items"), "pivot").select("pivot", "code", own.alias("own"), other.alias("other"))
+    cells = members.select("pivot", "code", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    cells = cells.withColumn("task", F.pmod(F.xxhash64("pivot", "low", "high"), F.lit(tasks)))
+    inner = cells.join(sets, "code").groupBy("task").applyInPandas(among_members, "a long, b long")
+    return star.unionByName(inner).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,16 +204,15 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
+def jaccard_join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, component_id, and the document of the component that stands for it (keeper, keeper_key)."""
     rows = stored(sketched(docs), "sketched")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc"), "text_key"))
     classes = stored(rows.filter("n_shingles > 0").groupBy("code").agg(first.alias("m")).select("code", "m.*"), "classes")
-    pairs = stored(pivot_pairs(rows), "pivot_pairs")
+    pairs = stored(pivot_pairs(rows), "pairs")
     involved = pairs.select(F.col("pivot").alias("code")).union(pairs.select("code")).distinct()
     sets = stored(sets_of(docs, classes.join(involved, "code").select("doc", "text_key")), "shingle_sets")
-    found = stored(differences(pairs, sets), "differences")
-    roots = components(links(found, sets))
+    roots = components(links(stored(compared(pairs, sets), "compared"), sets, block))
     joined = classes.join(roots, classes["code"] == roots["node"], "left").select("code", F.coalesce("root", "code").alias("root"), "unnamed", "doc", "text_key")
     heads = joined.groupBy("root").agg(F.min(F.struct("unnamed", "doc", "text_key")).alias("h"))
     named = joined.join(heads, "root").select("code", F.col("h.doc").alias("head"), F.col("h.text_key").alias("head_key"))
