@@ -30,3 +30,11 @@ _MIX = rf"""s AS (SELECT {{keep}}, source, len(regexp_extract_all(coalesce(text,
   mixed AS (SELECT *, CAST(epochs * size + greatest(0, least(size, floor(target - epochs * source_size) - before)) AS BIGINT) AS taken FROM cut)"""
 
 ORACLES["op6_mix_sources"] = f"WITH {_MIX.format(keep='doc_id', docs='documents')} SELECT doc_id, size, source_size, target, taken FROM mixed"
+
+ORACLES["op2_repeats"] = rf"""WITH d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+  win AS (SELECT uid, doc_id, p, sha256(array_to_string(list_slice(w, p, p + 49), ' ')) AS h FROM d, unnest(range(1, greatest(len(w) - 48, 1))) AS u(p) WHERE doc_id IS NOT NULL),
+  least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+  gone AS (SELECT DISTINCT uid, q FROM win JOIN least USING (h), unnest(range(p, p + 50)) AS u(q) WHERE m < doc_id),
+  removed AS (SELECT uid, list(q) AS qs FROM gone GROUP BY uid)
+SELECT doc_id, len(w) AS n_words, coalesce(len(qs), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN qs IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(qs, i)) END, ' ')) AS kept_sha256 FROM d LEFT JOIN removed USING (uid)"""

@@ -73,7 +73,8 @@ def test_jaccard_join_equals_brute_force(spark, seed):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == components_by_brute_force(rows)
 
 
-def test_jaccard_join_in_a_dense_family(spark):
+@pytest.mark.parametrize("block", [7, 1000])
+def test_jaccard_join_in_a_dense_family(spark, block):
     """Copies of copies: chains of links in which most members are not linked with the bucket's pivot."""
     import random
     rng = random.Random(5)
@@ -81,7 +82,7 @@ def test_jaccard_join_in_a_dense_family(spark):
     for _ in range(60):
         family.append(fx.changed(rng, rng.choice(family), rng.choice([1, 1, 2, 4])))
     rows = list(enumerate(family))
-    got = jaccard.jaccard_join(fx.documents(spark, rows)).collect()
+    got = jaccard.jaccard_join(fx.documents(spark, rows), block).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == components_by_brute_force(rows)
 
 
