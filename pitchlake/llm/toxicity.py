@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, functions as F
 from . import arrays
 from .labelled import held_out, training_texts
 
-SLOTS = 1 << 18
-SAMPLE = 2000       # labelled documents of each label, at most
+SLOTS = 1 << 21
+SAMPLE = 1500       # labelled documents of each label, at most
 EPOCHS, RATE, BATCH = 3, 0.5, 128
 EVIDENCE = np.log(20.0)  # token labels: at least so much commoner in toxic documents,
-LEAST_DOCUMENTS = 3      # and in so many of them,
-LEAST_SHARE = 0.02       # and in this share of them
+LEAST_DOCUMENTS = 3      # and there in so many places,
+LEAST_SHARE = 0.02       # and in so many for each toxic document
 SKETCH = 4               # documents with the same so many smallest word hashes count as copies; one of them is learnt from
 THRESHOLD = 0.5
 _LIMIT = 30.0
@@ -130,17 +130,21 @@ def document_evidence(prob: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def label_tokens(slots: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Token labels from document labels, by how much commoner a word or its beginning is in toxic documents."""
-    marked = np.zeros(slots.shape[1], dtype=bool)
+    """Token labels from document labels, by how much commoner a word or its beginning is in toxic documents.
+
+    What is counted are the different pairs of neighbours of a word: a word that copies of one toxic text repeat has few.
+    """
+    marked, bad = np.zeros(slots.shape[1], dtype=bool), toxic[row]
     n_toxic, n_clean = toxic.sum(), (~toxic).sum()
+    between = slots[4].astype(np.int64) * SLOTS + slots[5]
     for kind in slots[:3]:
-        seen = np.unique(row.astype(np.int64) * SLOTS + kind)
-        bad = toxic[seen // SLOTS]
-        in_toxic = np.bincount(seen[bad] % SLOTS, minlength=SLOTS)
-        in_clean = np.bincount(seen[~bad] % SLOTS, minlength=SLOTS)
+        place = kind.astype(np.int64) * SLOTS * SLOTS + between
+        (ids, in_toxic), (others, times) = (np.unique(np.unique(place[p]) // (SLOTS * SLOTS), return_counts=True) for p in (bad, ~bad))
+        at = np.minimum(np.searchsorted(others, ids), max(len(others) - 1, 0))
+        in_clean = np.where(others[at] == ids, times[at], 0) if len(others) else np.zeros(len(ids))
         strength = np.log((in_toxic + 0.1) / (n_toxic + 1)) - np.log((in_clean + 0.5) / (n_clean + 1))
-        marked |= ((strength >= EVIDENCE) & (in_toxic >= max(LEAST_DOCUMENTS, LEAST_SHARE * n_toxic)))[kind]
-    return marked & toxic[row]
+        marked |= np.isin(kind, ids[(strength >= EVIDENCE) & (in_toxic >= max(LEAST_DOCUMENTS, LEAST_SHARE * n_toxic))])
+    return marked & bad
 
 
 def sample_tokens(sample: list[tuple[str, int]], at_once: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,8 +174,8 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE,
     sizes_of = np.diff(offsets)
     row = np.repeat(np.arange(len(toxic)), sizes_of)
     label = label_tokens(slots, row, toxic)
-    field = Field(np.zeros(SLOTS), np.zeros((2, 2)), -3.0, np.zeros(3))
-    squares, change_squares = np.full(SLOTS, 1e-3), np.full((2, 2), 1e-3)
+    field = Field(np.zeros(SLOTS, np.float32), np.zeros((2, 2)), -3.0, np.zeros(3))
+    squares, change_squares = np.full(SLOTS, 1e-3, np.float32), np.full((2, 2), 1e-3)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         shuffled = rng.permutation(len(toxic))
@@ -183,9 +187,10 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE,
             score = field.bias + sum(field.weights[s[at]] for s in slots)
             prob, moves = marginals(score, first, field.change)
             miss = prob - label[at]
-            slope = sum(np.bincount(s[at], miss, SLOTS) for s in slots)
-            squares += slope ** 2
-            field.weights -= rate * slope / np.sqrt(squares)
+            used, place = np.unique(slots[:, at], return_inverse=True)
+            slope = np.bincount(place.ravel(), np.tile(miss, len(slots)))
+            squares[used] += slope ** 2
+            field.weights[used] -= rate * slope / np.sqrt(squares[used])
             y = label[at].astype(int)
             inner = np.ones(len(at), dtype=bool)
             inner[first[:-1][sizes > 0]] = False
@@ -204,7 +209,6 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE,
         p = 1 / (1 + np.exp(-np.clip(x @ field.top, -_LIMIT, _LIMIT)))
         slope = x.T @ (p - y) + 1e-2 * field.top
         field.top = field.top - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), slope)
-    field.weights = field.weights.astype(np.float32)
     return field
 
 
