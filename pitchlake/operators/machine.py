@@ -64,8 +64,9 @@ def run_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step:
         entry = right[ENTRY].iloc[0]
         out, state = step(json.loads(entry), left.sort_values("__pos").reset_index(drop=True))
         out = out.assign(**{m: k for m, k in zip(marks, key)}, **{ENTRY: None, EXIT: None})
-        last = pd.DataFrame([(*key, entry, dump(state))], columns=[*marks, ENTRY, EXIT])
-        return pd.concat([out.astype(object), last.astype(object)])[[*columns, *marks, ENTRY, EXIT]]
+        # objects and None throughout: a missing value of a map or array column must not become a float
+        last = pd.DataFrame([(*[None] * len(columns), *key, entry, dump(state))], columns=[*columns, *marks, ENTRY, EXIT], dtype=object)
+        return pd.concat([out.astype(object)[last.columns], last]) if len(out) else last
 
     def evaluate(source: DataFrame, entries: DataFrame) -> DataFrame:
         """Output rows, and a row with entry and exit per block; `entries`: block columns and entry."""
