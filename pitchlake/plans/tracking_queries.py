@@ -67,7 +67,7 @@ _KAL = f"""WITH RECURSIVE kal AS ({_filtered("SELECT *, zx AS x, zy AS y, 0.0::D
 
 
 def smoothed(v):
-    return v.once("smoothed", lambda: tr.kalman_smooth(pts(v), block_rows=16))
+    return v.once("smoothed", lambda: tr.kalman_smooth(pts(v), block_rows=64))
 
 
 @query("A28_smoothing_stats", f"""{_KAL} SELECT match_id, track_id, round(avg(sqrt(vx * vx + vy * vy)), 4) AS avg_velocity, round(max(sqrt(vx * vx + vy * vy)), 4) AS max_velocity, round(avg(conf), 6) AS avg_conf, round(min(conf), 6) AS min_conf
@@ -101,7 +101,7 @@ _WAS = "sqrt((ax - bx) * (ax - bx) + (ay - b_y) * (ay - b_y)) / ((a_frame - b_fr
           FROM val h JOIN kal0 e ON e.match_id = h.match_id AND e.track_id = h.track_id AND e.rn = h.rn + 1)))
     SELECT match_id, track_id, frame, seq, reason IS NULL AS valid, reason FROM val""")
 def _(v):
-    return machine.validate_trajectories(pts(v), fps=0.5, max_speed=20.0, max_accel=8.0, block_rows=16)
+    return machine.validate_trajectories(pts(v), fps=0.5, max_speed=20.0, max_accel=8.0, block_rows=64)
 
 
 @query("ST7_track_lifecycle", """WITH n AS (SELECT match_id, track_id, frame AS t, lead(frame) OVER (PARTITION BY match_id, track_id ORDER BY frame, seq) AS nx FROM det),
