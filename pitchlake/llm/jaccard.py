@@ -32,8 +32,8 @@ RATIO = 1.4  # upper size of a band over its lower size
 #: Similar enough: 19 * |A xor B| <= |A| + |B|, which is 100 * |A and B| >= 90 * |A or B|.
 FACTOR = 19
 BLOCK = 1000              # members of one pivot that are compared at once
-TASK_ITEMS = 2_000_000    # elements of the sets that a task gets, about
-CELLS = 20_000_000        # entries of a matrix
+TASK_ITEMS = 1_000_000    # elements of the sets that a task gets, about
+CELLS = 8_000_000        # entries of a matrix
 _PART = np.uint64(0xA0761D6478BD642F)
 
 
