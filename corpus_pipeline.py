@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by similar 3-word shingles (0.9 or more) the one with the least doc_id stays."""
-    return jaccard.one_of_each(docs)
+    """Of each group of documents linked by similar 5-word shingles (0.8 or more) the one with the least doc_id stays."""
+    return jaccard.one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

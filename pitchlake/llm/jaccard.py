@@ -1,11 +1,13 @@
 """N-gram Jaccard join by parity sketches.
 
-A document is its set of distinct word 3-shingles (hashed to 64 bits). Two sets A, B of similarity at least 0.9 differ in
-at most (|A| + |B|) / 19 elements. Sets are sketched per size band: every element toggles one bit of one part of the
-sketch, so the Hamming distance of two sketches of a band is at most the size of the symmetric difference. A part is
-carried as the XOR of the hashes of its elements. A band has two parts more than two sets of it may differ in, hence two
-parts at least of linked sets are equal: sets meet in buckets by (band, part, bits), or by (band, two empty parts), as
-one empty part alone says little. A set joins the next band too when a partner of it may lie there.
+A document is its set of distinct word shingles (3 words unless told otherwise, hashed to 64 bits). Two sets A, B of
+similarity at least t = p / q (0.9 unless told otherwise) differ in at most (|A| + |B|) (q - p) / (q + p) elements. Sets
+are sketched per size band: every element toggles one bit of one part of the sketch, so the Hamming distance of two
+sketches of a band is at most the size of the symmetric difference. A part is carried as the XOR of the hashes of its
+elements. A band has two parts more than two sets of it may differ in, hence two parts at least of linked sets are
+equal: sets meet in buckets by (band, part, bits). A set with more filled parts than it may differ in meets all its
+partners there. One with fewer (bands have spare parts, so few have) goes by (band, two empty parts) too, as one empty
+part alone says little. A set joins further bands too when a partner of it, of at most |A| / t elements, may lie there.
 
 Exact copies collapse first: nodes of the join are distinct sets. No bucket is expanded into pairs. Its least set is the
 pivot, and every member is compared with the pivot. Where all members are linked with their pivot, as in most groups of
@@ -13,12 +15,14 @@ copies, that is all. Only for a pivot with strays (members not linked with it) t
 in blocks of at most `block` sets: a task gets two blocks, counts shared elements as products of 0/1 matrices, and
 returns the sets that the links connect, one row a set. Components come from alternating star contraction.
 
-Documents without words have the empty set and are linked with nothing; fewer than 3 words are one shingle. A null
+Documents without words have the empty set and are linked with nothing; fewer words than a shingle are one shingle. A null
 doc_id takes part and never names a component, unless the whole component has none. Rows that repeat are copies.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,14 +33,19 @@ from .tables import documents_of, stored, without
 
 SHINGLE = 3
 RATIO = 1.4  # upper size of a band over its lower size
-#: Similar enough: 19 * |A xor B| <= |A| + |B|, which is 100 * |A and B| >= 90 * |A or B|.
-FACTOR = 19
+SIMILARITY = 0.9
 BLOCK = 1000              # members of one pivot that are compared at once
 TASK_ITEMS = 1_000_000    # elements of the sets that a task gets, about
 CELLS = 8_000_000        # entries of a matrix
 _PART = np.uint64(0xA0761D6478BD642F)
 
 
+def bound(similarity: float) -> tuple[int, int]:
+    """(m, n): sets are similar enough if m * |A xor B| <= n * (|A| + |B|); 19 and 1 for 0.9, which is 100 * |A and B| >= 90 * |A or B|."""
+    t = Fraction(str(similarity))
+    return t.denominator + t.numerator, t.denominator - t.numerator
+
+
 def bands(largest: int) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper set sizes of all bands up to `largest`."""
     lows = [1]
@@ -63,33 +72,46 @@ def set_code(s: np.ndarray) -> int:
     return int(arrays.signed(arrays.mix(total))[0])
 
 
-def buckets(s: np.ndarray, band: int, parts: int) -> np.ndarray:
-    """The buckets of a set in a band: a part with its bits for every part that holds elements, and every two empty parts."""
+def parts_of(high: int, apart: int) -> int:
+    """Parts of a band: two more than sets of it may differ in, and as many as the largest sets are likely to leave empty."""
+    empty = (apart + 2) * np.exp(-high / (apart + 2))
+    return apart + 2 + int(empty + 3 * np.sqrt(empty))
+
+
+def buckets(s: np.ndarray, band: int, parts: int, apart: int) -> np.ndarray:
+    """The buckets of a set in a band: a part with its bits for every part that holds elements; every two empty parts, unless more than `apart` are filled."""
     spread = arrays.mix(s ^ _PART)
     part = ((spread >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
     bits, filled = np.zeros(parts, dtype=np.uint64), np.zeros(parts, dtype=bool)
     np.bitwise_xor.at(bits, part, spread)
     filled[part] = True
     label = arrays.mix(np.arange(parts, dtype=np.uint64) + np.array([band << 40], dtype=np.uint64))
-    one, two = np.triu_indices(int((~filled).sum()), 1)
+    one, two = np.triu_indices(int((~filled).sum()) if filled.sum() <= apart else 0, 1)
     empty = label[~filled]
     return np.concatenate([arrays.mix(bits[filled] ^ label[filled]), arrays.mix(empty[one] * np.uint64(3) ^ empty[two])])
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_key, n_shingles, code, buckets) of each document; bands in which only equal sets are linked need no buckets."""
     out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("code", pa.int64()), ("buckets", pa.list_(pa.int64()))])
 
+    m, n = bound(similarity)
+    t = Fraction(str(similarity))
+
+    def most(size: int, high: int) -> int:
+        """Elements in which a set may differ from a partner of a band."""
+        return n * (size + min(high, size * t.denominator // t.numerator)) // m
+
     def run(batches):
         lows, highs = bands(1 << 40)
         for batch in batches:
             for part in arrays.slices(batch, "text"):
-                sets = shingle_sets(arrays.words_of(part.column("text"), arrays.SPACES, fold=True))
+                sets = shingle_sets(arrays.words_of(part.column("text"), arrays.SPACES, fold=True), shingle)
                 rows = []
                 for s in sets:
-                    first, last = (int(np.searchsorted(lows, n, side="right")) - 1 for n in (len(s), len(s) * 10 // 9))
-                    apart = {b: 2 * int(highs[b]) // FACTOR for b in range(first, last + 1)} if len(s) else {}
-                    mine = [buckets(s, b, d + 2) for b, d in apart.items() if d]
+                    first, last = (int(np.searchsorted(lows, x, side="right")) - 1 for x in (len(s), len(s) * t.denominator // t.numerator))
+                    apart = {b: 2 * n * int(highs[b]) // m for b in range(first, last + 1)} if len(s) else {}
+                    mine = [buckets(s, b, parts_of(int(highs[b]), d), most(len(s), int(highs[b]))) for b, d in apart.items() if d]
                     rows.append(arrays.signed(np.concatenate(mine)) if mine else [])
                 yield pa.record_batch([part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
                                        pa.array([set_code(s) for s in sets], pa.int64()), pa.array(rows, pa.list_(pa.int64()))], schema=out)
@@ -98,7 +120,7 @@ def sketched(docs: DataFrame) -> DataFrame:
         run, "doc_id long, text_key long, n_shingles long, code long, buckets array<long>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(code, n, items) of the sets of the documents named in `wanted` (doc, text_key), one row per set."""
     wanted = wanted.select(F.col("doc").alias("__doc"), F.col("text_key").alias("__key")).distinct()
     rows = documents_of(docs)
@@ -108,7 +130,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in arrays.slices(batch, "text"):
-                sets = shingle_sets(arrays.words_of(part.column("text"), arrays.SPACES, fold=True))
+                sets = shingle_sets(arrays.words_of(part.column("text"), arrays.SPACES, fold=True), shingle)
                 yield pa.record_batch([pa.array([set_code(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                                        pa.array([arrays.signed(s) for s in sets], pa.list_(pa.int64()))], schema=out)
 
@@ -122,15 +144,16 @@ def pivot_pairs(rows: DataFrame) -> DataFrame:
     return keys.join(pivots, "bucket").filter("code != pivot").select("pivot", "code").distinct()
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(pivot, code, n, linked): members against their pivots."""
+    most, least = bound(similarity)
     others = sets.select(F.col("code").alias("pivot"), F.col("n").alias("pivot_n"), F.col("items").alias("pivot_items"))
     total = F.col("n") + F.col("pivot_n")
     apart = total - 2 * F.size(F.array_intersect("items", "pivot_items"))
-    return pairs.join(sets, "code").join(others, "pivot").select("pivot", "code", "n", (apart * FACTOR <= total).alias("linked"))
+    return pairs.join(sets, "code").join(others, "pivot").select("pivot", "code", "n", (apart * most <= total * least).alias("linked"))
 
 
-def connected(sizes: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
+def connected(sizes: np.ndarray, items: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
     """For each set the first of the sets that links connect it with, all pairs counted by matrix products of bounded size."""
     names, token, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(items)), sizes)
@@ -147,7 +170,8 @@ def connected(sizes: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
         matrix[owner[part], token[part] - begin] = 1
         common += matrix @ matrix.T
     total = sizes[:, None] + sizes[None, :]
-    linked = (total - 2 * common) * FACTOR <= total
+    m, n = bound(similarity)
+    linked = (total - 2 * common) * m <= total * n
     np.fill_diagonal(linked, True)
     label = np.arange(len(items))
     while True:
@@ -158,19 +182,19 @@ def connected(sizes: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
         label = least
 
 
-def among_members(frame: pd.DataFrame) -> pd.DataFrame:
+def among_members(frame: pd.DataFrame, similarity: float = SIMILARITY) -> pd.DataFrame:
     """(a, b): sets that links connect within each cell, a pivot's pair of blocks."""
     a, b = [], []
     for _, cell in frame.groupby(["pivot", "low", "high"]):
         codes = cell["code"].to_numpy()
-        label = connected(cell["n"].to_numpy(), list(cell["items"]))
+        label = connected(cell["n"].to_numpy(), list(cell["items"]), similarity)
         rest = np.flatnonzero(label != np.arange(len(label)))
         a.append(codes[label[rest]])
         b.append(codes[rest])
     return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
-def links(found: DataFrame, sets: DataFrame, block: int = BLOCK, task_items: int = TASK_ITEMS) -> DataFrame:
+def links(found: DataFrame, sets: DataFrame, block: int = BLOCK, task_items: int = TASK_ITEMS, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): enough verified links to connect whatever is linked."""
     star = found.filter("linked").select(F.col("pivot").alias("a"), F.col("code").alias("b"))
     strays = found.groupBy("pivot").agg(F.min("linked").alias("all_linked"), F.count("*").alias("members"), F.sum("n").alias("items")).filter(
@@ -181,7 +205,7 @@ def links(found: DataFrame, sets: DataFrame, block: int = BLOCK, task_items: int
     members = found.join(strays.drop("items"), "pivot").select("pivot", "code", own.alias("own"), other.alias("other"))
     cells = members.select("pivot", "code", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     cells = cells.withColumn("task", F.pmod(F.xxhash64("pivot", "low", "high"), F.lit(tasks)))
-    inner = cells.join(sets, "code").groupBy("task").applyInPandas(among_members, "a long, b long")
+    inner = cells.join(sets, "code").groupBy("task").applyInPandas(lambda frame: among_members(frame, similarity), "a long, b long")
     return star.unionByName(inner).distinct()
 
 
@@ -204,15 +228,15 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def jaccard_join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def jaccard_join(docs: DataFrame, block: int = BLOCK, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, component_id, and the document of the component that stands for it (keeper, keeper_key)."""
-    rows = stored(sketched(docs), "sketched")
+    rows = stored(sketched(docs, shingle, similarity), "sketched")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc"), "text_key"))
     classes = stored(rows.filter("n_shingles > 0").groupBy("code").agg(first.alias("m")).select("code", "m.*"), "classes")
     pairs = stored(pivot_pairs(rows), "pairs")
     involved = pairs.select(F.col("pivot").alias("code")).union(pairs.select("code")).distinct()
-    sets = stored(sets_of(docs, classes.join(involved, "code").select("doc", "text_key")), "shingle_sets")
-    roots = components(links(stored(compared(pairs, sets), "compared"), sets, block))
+    sets = stored(sets_of(docs, classes.join(involved, "code").select("doc", "text_key"), shingle), "shingle_sets")
+    roots = components(links(stored(compared(pairs, sets, similarity), "compared"), sets, block, similarity=similarity))
     joined = classes.join(roots, classes["code"] == roots["node"], "left").select("code", F.coalesce("root", "code").alias("root"), "unnamed", "doc", "text_key")
     heads = joined.groupBy("root").agg(F.min(F.struct("unnamed", "doc", "text_key")).alias("h"))
     named = joined.join(heads, "root").select("code", F.col("h.doc").alias("head"), F.col("h.text_key").alias("head_key"))
@@ -223,9 +247,9 @@ def jaccard_join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                       F.when(alone, F.col("text_key")).otherwise(F.col("head_key")).alias("keeper_key"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """`docs` with one document of each component, the one with the least doc_id; documents without words all stay."""
-    found = stored(jaccard_join(docs), "components")
+    found = stored(jaccard_join(docs, shingle=shingle, similarity=similarity), "components")
     lost = found.filter(~(F.col("doc_id").eqNullSafe(F.col("keeper")) & (F.col("text_key") == F.col("keeper_key"))))
     kept = without(docs, lost)
     again = found.filter("n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key")

@@ -95,6 +95,47 @@ def test_one_of_each(spark):
     assert all(n == 1 for (d, t), n in got.items() if shingles(t))
 
 
+def linked_by_brute_force(rows, k, tenths):
+    """Sizes of the sets and the least doc_id of each set's component."""
+    words = [fx.SPACED.findall(fx.lower(t)) for _, t in rows]
+    sets = [frozenset(tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))) for w in words]
+    head = [d for d, _ in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= tenths * len(sets[i] | sets[j])]
+    for _ in rows:
+        for i, j in links:
+            head[i] = head[j] = min(head[i], head[j])
+    return {(d, len(s), h) for (d, _), s, h in zip(rows, sets, head)}
+
+
+def test_jaccard_join_with_five_words_and_lower_similarity(spark):
+    """Families of pairs of similarity 0.7 to 1, from few words to thousands, changed inside and cut or extended at the end."""
+    import random
+    rng = random.Random(8)
+    rows = []
+    for n in (5, 7, 9, 14, 20, 30, 45, 60, 100, 150, 220, 300, 500, 900, 2500):
+        for _ in range(3):
+            base = [f"w{rng.randrange(10**7)}" for _ in range(n)]
+            rows.append(" ".join(base))
+            for share in (0.01, 0.02, 0.022, 0.025):
+                rows.append(fx.changed(rng, " ".join(base), max(1, round(n * share))))
+            rows += [" ".join(base[:round(n * x)]) for x in (0.81, 0.9)] + [" ".join(base + base[::-1][:round(n * x)]) for x in (0.1, 0.24, 0.25)]
+    rows = [(i, t) for i, t in enumerate(rng.sample(rows, len(rows)))]
+    for k, tenths in ((5, 8), (3, 9)):
+        got = jaccard.jaccard_join(fx.documents(spark, rows), shingle=k, similarity=tenths / 10).collect()
+        assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == linked_by_brute_force(rows, k, tenths)
+
+
+def test_pipeline_stage_drops_copies_of_two_changed_words_in_a_hundred(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    near = [f"x{i}" if i in (30, 60) else w for i, w in enumerate(words)]  # 86/106 of five words, 92/104 of three
+    far = [f"y{i}" if i in (20, 40, 80) else w for i, w in enumerate(words)]
+    docs = fx.documents(spark, [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))])
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3]
+    assert jaccard.one_of_each(docs).count() == 3
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard.jaccard_join(fx.documents(spark, [])).collect() == []
 
