@@ -2,9 +2,11 @@
 
 All rolling word k-gram hashes of a document that occur in a template are joined with the places where templates hold
 them. A hit votes for the diagonal document place - template place; votes are counted by (document, template, diagonal).
-A base phrase stands where its diagonal has every k-gram of the phrase. For the notices, neighbouring diagonals are
-merged (inserted or missing words shift the diagonal by a few), and the share of the template's k-grams that the
-merged span holds verifies it. Null texts are empty; repeated rows are judged one by one.
+A base phrase stands where its diagonal has every k-gram of the phrase. For the notices, hits of neighbouring diagonals
+are merged in document order while they go on in the template (inserted or missing words shift the diagonal by a few).
+Each merged span is verified by itself: it must hold a share of the template's k-grams, and all of those that tell the
+license from others (name, version). A span of the name and version alone may be enough for a short notice. Null texts
+are empty; repeated rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from . import arrays
 from .tables import RowNumbers, documents_of, stored
 
 K = 3
-REACH = 2
-SHARE = 0.86  # a notice of nine words must not pass with another version number, 6 of 7 k-grams
+REACH = 6
+SHARE = 0.5  # a replaced or missing word costs K k-grams; the shortest notices with a name of three words have six
 
 # The phrases and labels that count as base.
 BASE = {
@@ -47,10 +49,36 @@ NOTICES = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
 }
 
-
-def templates() -> list[tuple[int, str, bool, int]]:
-    """(template, label, base, number of k-grams) of all phrases and notices."""
-    return [(i, label, i < len(BASE), len(text.split()) - K + 1) for i, (text, label) in enumerate([*BASE.items(), *NOTICES.items()])]
+#: By notice, in the same order: the words of it whose k-grams a span must hold.
+TELLING = [
+    ["the mit license"],
+    ["any person obtaining", "associated documentation files"],
+    ["apache license version 2"],
+    ["in compliance with"],
+    ["redistribution and use", "source and binary"],
+    ["gnu general public", "license version 3"],
+    ["gnu general public", "license version 2"],
+    ["gnu lesser general"],
+    ["gnu affero general"],
+    ["source code form", "mozilla public license"],
+    ["cc by nc"],
+    ["cc by sa"],
+    ["commons attribution 4"],
+    ["permission to use", "or without fee"],
+]
+
+
+def telling_places(text: str, phrases: list[str]) -> list[int]:
+    """Places in a notice of the k-grams of the phrases."""
+    words = text.split()
+    grams = [" ".join(words[i:i + K]) for i in range(len(words) - K + 1)]
+    return sorted({grams.index(" ".join(p[i:i + K])) for p in map(str.split, phrases) for i in range(len(p) - K + 1)})
+
+
+def templates() -> list[tuple[int, str, bool, int, list[int]]]:
+    """(template, label, base, number of k-grams, places of telling ones) of all phrases and notices."""
+    telling = [[]] * len(BASE) + TELLING
+    return [(i, label, i < len(BASE), len(text.split()) - K + 1, telling_places(text, telling[i])) for i, (text, label) in enumerate([*BASE.items(), *NOTICES.items()])]
 
 
 def template_places() -> list[tuple[int, int, int]]:
@@ -89,25 +117,29 @@ def grams(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, "uid long, doc_id long, text_key long, n_words long, hits array<struct<gram: long, place: int>>")
 
 
-def votes(found: DataFrame) -> DataFrame:
-    """(uid, template, label, base, size, diagonal, n, low, high): k-grams by diagonal, and the document places they span."""
+def hits_in(found: DataFrame) -> DataFrame:
+    """(uid, template, label, base, size, telling, diagonal, place, at): k-grams of a document with their places in templates."""
     spark = found.sparkSession
     places = spark.createDataFrame(template_places(), "gram long, template int, at int")
-    kinds = spark.createDataFrame(templates(), "template int, label string, base boolean, size int")
+    kinds = spark.createDataFrame(templates(), "template int, label string, base boolean, size int, telling array<int>")
     hits = found.filter("size(hits) > 0").select("uid", F.explode("hits").alias("h")).select("uid", "h.gram", "h.place")
     hits = hits.join(F.broadcast(places), "gram").withColumn("diagonal", F.col("place") - F.col("at"))
-    voted = hits.groupBy("uid", "template", "diagonal").agg(F.count_distinct("at").alias("n"), F.sort_array(F.collect_set("at")).alias("ats"),
-                                                            F.min("place").alias("low"), F.max("place").alias("high"))
-    return voted.join(F.broadcast(kinds), "template")
+    return hits.join(F.broadcast(kinds), "template")
+
+
+def votes(hits: DataFrame) -> DataFrame:
+    """(uid, label, diagonal): diagonals with every k-gram of a base phrase."""
+    return hits.filter("base").groupBy("uid", "template", "label", "size", "diagonal").agg(F.count_distinct("at").alias("n")).filter("n = size")
 
 
-def merged(voted: DataFrame, reach: int = REACH) -> DataFrame:
-    """Neighbouring diagonals (steps of at most `reach`) of a notice as one span, with the share of its k-grams found."""
-    w = Window.partitionBy("uid", "template").orderBy("diagonal")
-    runs = (voted.filter("not base").withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > reach).cast("int"), F.lit(1)))
-            .withColumn("run", F.sum("new").over(w)))
+def merged(hits: DataFrame, reach: int = REACH) -> DataFrame:
+    """Hits of a notice that follow each other on neighbouring diagonals (steps of at most `reach`) as one span, with the share of its k-grams and whether all telling ones are there."""
+    w = Window.partitionBy("uid", "template").orderBy("place", "at")
+    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(w)) > reach) | (F.col("at") <= F.lag("at").over(w))
+    runs = hits.filter("not base").withColumn("new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
     return runs.groupBy("uid", "template", "label", "run").agg(
-        (F.size(F.array_distinct(F.flatten(F.collect_list("ats")))) / F.first("size")).alias("share"), F.min("low").alias("low"), F.max("high").alias("high"))
+        F.collect_set("at").alias("ats"), F.first("size").alias("size"), F.first("telling").alias("telling"), F.min("place").alias("low"), F.max("place").alias("high")).select(
+        "uid", "label", (F.size("ats") / F.col("size")).alias("share"), (F.size(F.array_except("telling", "ats")) == 0).alias("told"), "low", "high")
 
 
 def scan_licenses(docs: DataFrame, share: float = SHARE) -> DataFrame:
@@ -116,12 +148,12 @@ def scan_licenses(docs: DataFrame, share: float = SHARE) -> DataFrame:
     `spans` are the verified (label, first word, last word, share). Score: the largest share of a template found, 1 with a base phrase.
     """
     found = stored(grams(docs), "license_grams")
-    voted = votes(found)
-    base = voted.filter("base AND n = size").groupBy("uid").agg(
+    hits = hits_in(found)
+    base = votes(hits).groupBy("uid").agg(
         F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"),
         F.array_sort(F.collect_set("label")).alias("base_set"))
-    spans = merged(voted).groupBy("uid").agg(
-        F.collect_list(F.when(F.col("share") >= share, F.struct("label", F.col("low").alias("first"), (F.col("high") + K - 1).alias("last"), "share"))).alias("spans"),
+    spans = merged(hits).groupBy("uid").agg(
+        F.collect_list(F.when((F.col("share") >= share) & F.col("told"), F.struct("label", F.col("low").alias("first"), (F.col("high") + K - 1).alias("last"), "share"))).alias("spans"),
         F.max("share").alias("best"))
     none = F.array().cast("array<string>")
     both = F.array_sort(F.array_distinct(F.concat(F.coalesce("base_set", none), F.coalesce(F.col("spans.label"), none))))

@@ -194,3 +194,21 @@ def test_licenses(spark):
     assert by[(8, 0)].labels == "gpl-3" and by[(8, 3)].labels == "cc-by-nc" and by[(8, 3)].last_word == 6
     assert 0 < by[(7, 0)].score < 1
     assert licences.scan_licenses(fx.documents(spark, [])).collect() == []
+
+
+def test_licenses_of_varied_notices(spark):
+    """An inserted, missing or replaced word before the name and version leaves a notice its label; another version or name does not pass."""
+    said = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+    want = [("Licensed under the terms of the GNU General Public License version 3", "gpl-3"), ("Licensed under the new GNU General Public License version 2", "gpl-2"),
+            ("Licensed under GNU General Public License version 3", "gpl-3"), ("Licensed beneath the GNU General Public License version 3", "gpl-3"),
+            ("Licensed under the GNU General Public License version 4", ""), ("Licensed under the GNU General Public License", ""),
+            ("Licensed under this Apache License, Version 2.0", "apache-2"), ("Licensed under the Apache License, Version 1.1", ""),
+            ("Licensed under the terms of the GNU Lesser General Public License", "lgpl"), ("Licensed under a GNU Affero General Public License", "agpl"),
+            (said.replace("hereby granted", "hereby also granted"), "mit"), (said.replace("charge ", ""), "mit"), (said.replace("copy", "duplicate"), "mit"),
+            (said.replace("person obtaining", "person or organization obtaining").replace("associated documentation files", "accompanying documentation"), ""),
+            ("This Source Code Form is subject to all the terms of the Mozilla Public License", "mpl-2"), ("licensed under this CC BY-SA 4.0", "cc-by-sa"),
+            ("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ""), ("Licensed under the Creative Commons Attribution 4.0 International License", "cc-by")]
+    rows = [(i, f"so {t} and") for i, (t, _) in enumerate(want)] + [(100, "licensed under the gnu general public license version 2 and " * 2)]
+    got = {r.doc_id: r for r in licences.scan_licenses(fx.documents(spark, rows)).collect()}
+    assert [got[i].labels for i in range(len(want))] == [label for _, label in want]
+    assert got[100].labels == "gpl-2" and len(got[100].spans) == 2  # each notice is a span of its own
