@@ -134,6 +134,28 @@ def test_secrets_equal_plain_patterns_and_formats_are_learnt(spark):
     assert credentials.find_credentials(fx.documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("form", ["mixed", "base64", "prefixed", "short", "dotted"])
+def test_formats_of_labelled_secrets_are_found_bare(spark, form):
+    rng = random.Random(7)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def key():
+        draw = lambda n, letters=mixed: "".join(rng.choice(letters) for _ in range(n))
+        return {"mixed": lambda: draw(32), "base64": lambda: draw(40, mixed + "+/"), "prefixed": lambda: "ghp_" + draw(36), "short": lambda: draw(14) + "7q",
+                "dotted": lambda: draw(20) + "." + draw(10) + "." + draw(20)}[form]()
+
+    names = [f"{a}_{b}{n}" for a in ("match", "player", "frame") for b in ("state", "index", "count") for n in range(1, 9)]
+    names += [f"src/{a}/{b}{n}.py" for a in ("model", "views") for b in ("test", "main", "page") for n in range(1, 9)] + [f"www.example{n}.com/docs/part-{n}" for n in range(20)]
+    names += [f"{a}{b}{n}" for a in ("get", "set") for b in ("UserName", "HttpHeader", "FileSize") for n in (2, 32, 64)]
+    texts = [f"api_key = {key()} in {rng.choice(names)}" for _ in range(150)] + [" and ".join(rng.sample(names, 12)) for _ in range(100)]
+    bare = [key() for _ in range(100)]
+    rows = list(enumerate(texts)) + [(1000 + i, f"see {k}, or {rng.choice(names)}.") for i, k in enumerate(bare)]
+    got = {r.doc_id: [(s.start, s.stop) for s in r.added] for r in credentials.find_credentials(fx.documents(spark, rows)).collect()}
+    assert sum((4, 4 + len(k)) in got[1000 + i] for i, k in enumerate(bare) if re.search("[0-9]", k)) >= 95
+    others = sum(len(got[i]) for i in range(len(texts))) + sum(span[0] != 4 for i in range(100) for span in got[1000 + i])
+    assert others <= 15  # of some 1,450 ordinary tokens
+
+
 def test_automaton_merges_states():
     rng = random.Random(1)
     strings = ["dx" * rng.randrange(5, 20) for _ in range(200)]
