@@ -38,3 +38,22 @@ ORACLES["op2_repeats"] = rf"""WITH d AS (SELECT row_number() OVER () AS uid, doc
   removed AS (SELECT uid, list(q) AS qs FROM gone GROUP BY uid)
 SELECT doc_id, len(w) AS n_words, coalesce(len(qs), 0) AS n_removed,
   sha256(array_to_string(CASE WHEN qs IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(qs, i)) END, ' ')) AS kept_sha256 FROM d LEFT JOIN removed USING (uid)"""
+
+ORACLES["op13_filter_audit"] = rf"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+  least AS (SELECT text, min(doc_id) AS m FROM t GROUP BY text),
+  lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+  f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, list_value(len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+      100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text), regexp_matches(text, '[#$%&*|]'), coalesce(m < t.doc_id, false)) AS fails
+    FROM t LEFT JOIN least USING (text) LEFT JOIN lab ON t.doc_id = lab.doc_id),
+  letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+  o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+    WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+  s AS (SELECT filter_order, step, ascii(filter_order[step]) - 64 AS own, list_transform(string_split(filter_order[1:step - 1], ''), lambda x: ascii(x) - 64) AS earlier FROM o, unnest(range(1, 6)) AS u(step)),
+  g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+  x AS (SELECT part, filter_order, step, n, good, toxic, fails[own] AS fail, step > 1 AND len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone,
+      len(list_filter(fails, lambda b: b)) = 1 AS only_one FROM g, s),
+  r AS (SELECT part, filter_order, step, sum(n) FILTER (NOT fail AND NOT gone) AS kept, sum(n) FILTER (fail AND NOT gone) AS removed, sum(n) FILTER (fail AND gone) AS redundant,
+      sum(n) FILTER (fail AND only_one) AS unique_fails, sum(good) FILTER (fail AND NOT gone) AS good_lost, sum(toxic) FILTER (fail AND NOT gone) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM r"""
