@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audit, credentials, decontam, jaccard, licences, mixing, neighbours, personal, quality, repeats, toxicity
+from . import audit, credentials, decontam, jaccard, licences, mixing, neighbours, personal, quality, ranking, repeats, toxicity
 from .sql import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def _(spark, sf_dir):
 @query("op13_filter_audit")
 def _(spark, sf_dir):
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_ranked_search")
+def _(spark, sf_dir):
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -57,3 +57,17 @@ ORACLES["op13_filter_audit"] = rf"""WITH t AS (SELECT doc_id, coalesce(lang, '')
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
   coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
   (sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM r"""
+
+_LETTERS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op12_ranked_search"] = rf"""WITH d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all({_LOWER.format(text="coalesce(text, '')")}, '{_LETTERS}') AS w FROM documents),
+  i AS (SELECT row_number() OVER () AS qid, item_id, regexp_extract_all({_LOWER.format(text="coalesce(text, '')")}, '{_LETTERS}') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+  c AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+  q AS (SELECT qid, item_id, term, count(*) AS times FROM i, unnest(w) AS u(term) GROUP BY ALL),
+  p AS (SELECT uid, doc_id, len(w) AS n, term, count(*)::BIGINT AS tf FROM d, unnest(w) AS u(term) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+  f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+  w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n + 2) / (2 * df + 1)))::BIGINT AS w FROM f, c),
+  s AS (SELECT qid, item_id, uid, doc_id, sum(times * w.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * p.n * c.n) // c.l))))::BIGINT AS score
+    FROM q JOIN w USING (term) JOIN p USING (term), c GROUP BY ALL)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS r FROM s WHERE score > 0) WHERE r <= 10"""
