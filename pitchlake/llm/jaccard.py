@@ -9,11 +9,14 @@ equal: sets meet in buckets by (band, part, bits). A set with more filled parts
 partners there. One with fewer (bands have spare parts, so few have) goes by (band, two empty parts) too, as one empty
 part alone says little. A set joins further bands too when a partner of it, of at most |A| / t elements, may lie there.
 
-Exact copies collapse first: nodes of the join are distinct sets. No bucket is expanded into pairs. Its least set is the
-pivot, and every member is compared with the pivot. Where all members are linked with their pivot, as in most groups of
-copies, that is all. Only for a pivot with strays (members not linked with it) the members are compared with each other,
-in blocks of at most `block` sets: a task gets two blocks, counts shared elements as products of 0/1 matrices, and
-returns the sets that the links connect, one row a set. Components come from alternating star contraction.
+Nodes of the join are distinct sets; copies within reach of a task are dropped before their buckets are made, others in
+the bucket. Buckets are never stored: they are taken in `passes` passes by their hash, made anew from the texts in each,
+and shuffled once. No bucket is expanded into pairs. Its least set is the pivot, and every member is compared with the
+pivot. Where all members are linked with their pivot, as in most groups of copies, that is all. Members linked with a
+pivot are connected already, so only its strays (members not linked with it) can add a link: they are compared with the
+pivot's members, in blocks of at most `block` sets: a task gets a block of strays and a block of members, counts shared
+elements as products of 0/1 matrices, and returns the sets that the links connect, one row a set. Components come from
+alternating star contraction. Tables are deleted as soon as the next step has read them.
 
 Documents without words have the empty set and are linked with nothing; fewer words than a shingle are one shingle. A null
 doc_id takes part and never names a component, unless the whole component has none. Rows that repeat are copies.
@@ -26,10 +29,10 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import arrays
-from .tables import documents_of, stored, without
+from .tables import documents_of, release, stored, without
 
 SHINGLE = 3
 RATIO = 1.4  # upper size of a band over its lower size
@@ -37,6 +40,8 @@ SIMILARITY = 0.9
 BLOCK = 1000              # members of one pivot that are compared at once
 TASK_ITEMS = 1_000_000    # elements of the sets that a task gets, about
 CELLS = 8_000_000        # entries of a matrix
+PASSES = 4               # parts in which the buckets are shuffled
+SEEN = 200_000           # sets that a task remembers, to make the buckets of copies once
 _PART = np.uint64(0xA0761D6478BD642F)
 
 
@@ -91,9 +96,23 @@ def buckets(s: np.ndarray, band: int, parts: int, apart: int) -> np.ndarray:
     return np.concatenate([arrays.mix(bits[filled] ^ label[filled]), arrays.mix(empty[one] * np.uint64(3) ^ empty[two])])
 
 
-def sketched(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, text_key, n_shingles, code, buckets) of each document; bands in which only equal sets are linked need no buckets."""
-    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("code", pa.int64()), ("buckets", pa.list_(pa.int64()))])
+def facts_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_key, n_shingles, code) of each document."""
+    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("code", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for part in arrays.slices(batch, "text"):
+                sets = shingle_sets(arrays.words_of(part.column("text"), arrays.SPACES, fold=True), shingle)
+                yield pa.record_batch([part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
+                                       pa.array([set_code(s) for s in sets], pa.int64())], schema=out)
+
+    return documents_of(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, code long")
+
+
+def sketched(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, passes: int = 1, turn: int = 0) -> DataFrame:
+    """(code, buckets): the buckets of sets whose hash belongs to the pass; bands in which only equal sets are linked need none."""
+    out = pa.schema([("code", pa.int64()), ("buckets", pa.list_(pa.int64()))])
 
     m, n = bound(similarity)
     t = Fraction(str(similarity))
@@ -104,20 +123,26 @@ def sketched(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
 
     def run(batches):
         lows, highs = bands(1 << 40)
+        seen: set[int] = set()
         for batch in batches:
             for part in arrays.slices(batch, "text"):
-                sets = shingle_sets(arrays.words_of(part.column("text"), arrays.SPACES, fold=True), shingle)
-                rows = []
-                for s in sets:
+                codes, rows = [], []
+                for s in shingle_sets(arrays.words_of(part.column("text"), arrays.SPACES, fold=True), shingle):
+                    code = set_code(s)
+                    if not len(s) or code in seen:
+                        continue
+                    if len(seen) < SEEN:
+                        seen.add(code)
                     first, last = (int(np.searchsorted(lows, x, side="right")) - 1 for x in (len(s), len(s) * t.denominator // t.numerator))
-                    apart = {b: 2 * n * int(highs[b]) // m for b in range(first, last + 1)} if len(s) else {}
+                    apart = {b: 2 * n * int(highs[b]) // m for b in range(first, last + 1)}
                     mine = [buckets(s, b, parts_of(int(highs[b]), d), most(len(s), int(highs[b]))) for b, d in apart.items() if d]
-                    rows.append(arrays.signed(np.concatenate(mine)) if mine else [])
-                yield pa.record_batch([part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
-                                       pa.array([set_code(s) for s in sets], pa.int64()), pa.array(rows, pa.list_(pa.int64()))], schema=out)
+                    if mine:
+                        mine = np.concatenate(mine)
+                        codes.append(code)
+                        rows.append(arrays.signed(mine[mine % np.uint64(passes) == turn]))
+                yield pa.record_batch([pa.array(codes, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], schema=out)
 
-    return documents_of(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(
-        run, "doc_id long, text_key long, n_shingles long, code long, buckets array<long>")
+    return documents_of(docs).select("text").mapInArrow(run, "code long, buckets array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -138,10 +163,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataF
 
 
 def pivot_pairs(rows: DataFrame) -> DataFrame:
-    """(pivot, code): each member of a bucket with the bucket's least set."""
+    """(pivot, code): each member of a bucket with the bucket's least set. Rows of a bucket are read in order, from disk if need be."""
     keys = rows.select("code", F.explode("buckets").alias("bucket"))
-    pivots = keys.groupBy("bucket").agg(F.min("code").alias("pivot"), F.max("code").alias("last")).filter("pivot < last").drop("last")
-    return keys.join(pivots, "bucket").filter("code != pivot").select("pivot", "code").distinct()
+    order = Window.partitionBy("bucket").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
+    return keys.withColumn("pivot", F.first("code").over(order)).filter("code != pivot").select("pivot", "code").distinct()
 
 
 def compared(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -153,58 +178,87 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(sets, "code").join(others, "pivot").select("pivot", "code", "n", (apart * most <= total * least).alias("linked"))
 
 
-def connected(sizes: np.ndarray, items: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
-    """For each set the first of the sets that links connect it with, all pairs counted by matrix products of bounded size."""
-    names, token, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(items)), sizes)
+def shared_counts(items: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Elements that each of the sets `rows` shares with each set, by matrix products of bounded size."""
+    token, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)[1:]
+    owner = np.repeat(np.arange(len(items)), [len(s) for s in items])
     shared = times[token] > 1
     place = np.cumsum(times > 1) - 1
     owner, token, width = owner[shared], place[token[shared]], int((times > 1).sum())
     order = np.argsort(token, kind="stable")
     owner, token = owner[order], token[order]
-    common = np.zeros((len(items), len(items)), dtype=np.float32)
+    common = np.zeros((len(rows), len(items)), dtype=np.float32)
     step = max(1, CELLS // len(items))
     for begin in range(0, width, step):
         part = slice(*np.searchsorted(token, [begin, begin + step]))
         matrix = np.zeros((len(items), min(step, width - begin)), dtype=np.float32)
         matrix[owner[part], token[part] - begin] = 1
-        common += matrix @ matrix.T
-    total = sizes[:, None] + sizes[None, :]
-    m, n = bound(similarity)
-    linked = (total - 2 * common) * m <= total * n
-    np.fill_diagonal(linked, True)
-    label = np.arange(len(items))
+        common += matrix[rows] @ matrix.T
+    return common
+
+
+def connected(linked: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each set the first of the sets that links connect it with; linked[i, j] says it of the sets rows[i] and j."""
+    n = linked.shape[1]
+    linked[np.arange(len(rows)), rows] = True
+    label = np.arange(n)
     while True:
-        least = np.where(linked, label[None, :], len(items)).min(axis=1)
-        least = least[least]
-        if (least == label).all():
+        least = np.where(linked, label[None, :], n).min(axis=1)
+        new = label.copy()
+        np.minimum.at(new, rows, least)
+        new = np.minimum(new, np.where(linked, least[:, None], n).min(axis=0))
+        new = new[new]
+        if (new == label).all():
             return label
-        label = least
+        label = new
+
+
+def in_cell(cell: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """The sets of a cell, one row each, and which of them are strays."""
+    cell = cell.sort_values("stray", ascending=False).drop_duplicates("code")
+    return cell, np.flatnonzero(cell["stray"])
 
 
 def among_members(frame: pd.DataFrame, similarity: float = SIMILARITY) -> pd.DataFrame:
-    """(a, b): sets that links connect within each cell, a pivot's pair of blocks."""
-    a, b = [], []
-    for _, cell in frame.groupby(["pivot", "low", "high"]):
-        codes = cell["code"].to_numpy()
-        label = connected(cell["n"].to_numpy(), list(cell["items"]), similarity)
-        rest = np.flatnonzero(label != np.arange(len(label)))
+    """(a, b): sets that links connect within each cell, a block of strays of a pivot and a block of its members."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    m, n = bound(similarity)
+    for _, cell in frame.groupby(["pivot", "block", "turn"]):
+        cell, strays = in_cell(cell)
+        if not len(strays):
+            continue
+        sizes = cell["n"].to_numpy()
+        total = sizes[strays, None] + sizes[None, :]
+        label = connected((total - 2 * shared_counts(list(cell["items"]), strays)) * m <= total * n, strays)
+        codes, rest = cell["code"].to_numpy(), np.flatnonzero(label != np.arange(len(label)))
         a.append(codes[label[rest]])
         b.append(codes[rest])
     return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
+def stray_cells(found: DataFrame, block: int, task_items: int) -> tuple[DataFrame, int]:
+    """(pivot, block, turn, task, code, stray): strays of each pivot against its members, and the number of tasks to deal them to.
+
+    A cell has about `block` strays and `block` members at most, and fewer if their sets (`n` elements) are large.
+    """
+    stray = F.when(~F.col("linked"), 1)
+    per = found.groupBy("pivot").agg(F.count("*").alias("members"), F.sum("n").alias("items"), F.count(stray).alias("strays"),
+                                     F.coalesce(F.sum(stray * F.col("n")), F.lit(0)).alias("stray_items")).filter("strays > 0 AND members > 1")
+    parts = lambda count, items: F.greatest(F.ceil(F.col(count) / block), F.ceil(F.col(items) / task_items)).cast("int")
+    per = stored(per.withColumns({"blocks": parts("members", "items"), "turns": parts("strays", "stray_items")}), "strays")
+    tasks = max(1, -(-int(per.agg(F.sum(F.col("items") * F.col("turns") + F.col("stray_items") * F.col("blocks"))).first()[0] or 0) // task_items))
+    rows = found.join(per.select("pivot", "blocks", "turns"), "pivot")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("code"), F.col(c)).cast("int")
+    members = rows.select("pivot", own("blocks").alias("block"), each("turns").alias("turn"), "code", F.lit(False).alias("stray"))
+    strays = rows.filter("NOT linked").select("pivot", each("blocks").alias("block"), own("turns").alias("turn"), "code", F.lit(True).alias("stray"))
+    return members.unionByName(strays).withColumn("task", F.pmod(F.xxhash64("pivot", "block", "turn"), F.lit(tasks))), tasks
+
+
 def links(found: DataFrame, sets: DataFrame, block: int = BLOCK, task_items: int = TASK_ITEMS, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): enough verified links to connect whatever is linked."""
+    """(a, b): enough verified links to connect whatever is linked, from (pivot, code, n, linked)."""
     star = found.filter("linked").select(F.col("pivot").alias("a"), F.col("code").alias("b"))
-    strays = found.groupBy("pivot").agg(F.min("linked").alias("all_linked"), F.count("*").alias("members"), F.sum("n").alias("items")).filter(
-        "NOT all_linked AND members > 1").select("pivot", F.ceil(F.col("members") / block).cast("int").alias("blocks"), "items")
-    strays = stored(strays, "strays")
-    tasks = max(1, -(-(strays.agg(F.sum(F.col("items") * F.col("blocks"))).first()[0] or 0) // task_items))
-    own, other = F.pmod(F.xxhash64("code"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    members = found.join(strays.drop("items"), "pivot").select("pivot", "code", own.alias("own"), other.alias("other"))
-    cells = members.select("pivot", "code", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    cells = cells.withColumn("task", F.pmod(F.xxhash64("pivot", "low", "high"), F.lit(tasks)))
+    cells, _ = stray_cells(found, block, task_items)
     inner = cells.join(sets, "code").groupBy("task").applyInPandas(lambda frame: among_members(frame, similarity), "a long, b long")
     return star.unionByName(inner).distinct()
 
@@ -220,33 +274,52 @@ def components(edges: DataFrame) -> DataFrame:
         large = turned.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours point to the least of them
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = stored(large.join(small, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        last, edges = edges, stored(large.join(small, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
 
 
-def jaccard_join(docs: DataFrame, block: int = BLOCK, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, text_key, n_shingles, component_id, and the document of the component that stands for it (keeper, keeper_key)."""
-    rows = stored(sketched(docs, shingle, similarity), "sketched")
+def class_heads(facts: DataFrame) -> DataFrame:
+    """(code, unnamed, doc, text_key): for each set but the empty one the document that stands for it, the one with the least doc_id."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc"), "text_key"))
-    classes = stored(rows.filter("n_shingles > 0").groupBy("code").agg(first.alias("m")).select("code", "m.*"), "classes")
-    pairs = stored(pivot_pairs(rows), "pairs")
-    involved = pairs.select(F.col("pivot").alias("code")).union(pairs.select("code")).distinct()
-    sets = stored(sets_of(docs, classes.join(involved, "code").select("doc", "text_key"), shingle), "shingle_sets")
-    roots = components(links(stored(compared(pairs, sets, similarity), "compared"), sets, block, similarity=similarity))
+    return facts.filter("n_shingles > 0").groupBy("code").agg(first.alias("m")).select("code", "m.*")
+
+
+def grouped(facts: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row per document: doc_id, text_key, n_shingles, component_id, and the document of the component that stands for it (keeper, keeper_key)."""
     joined = classes.join(roots, classes["code"] == roots["node"], "left").select("code", F.coalesce("root", "code").alias("root"), "unnamed", "doc", "text_key")
     heads = joined.groupBy("root").agg(F.min(F.struct("unnamed", "doc", "text_key")).alias("h"))
     named = joined.join(heads, "root").select("code", F.col("h.doc").alias("head"), F.col("h.text_key").alias("head_key"))
-    out = rows.drop("buckets").join(named, "code", "left")
+    out = facts.join(named, "code", "left")
     alone = F.col("n_shingles") == 0
     return out.select("doc_id", "text_key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("head")).alias("component_id"),
                       F.when(alone, F.col("doc_id")).otherwise(F.col("head")).alias("keeper"),
                       F.when(alone, F.col("text_key")).otherwise(F.col("head_key")).alias("keeper_key"))
 
 
+def jaccard_join(docs: DataFrame, block: int = BLOCK, shingle: int = SHINGLE, similarity: float = SIMILARITY, passes: int = PASSES) -> DataFrame:
+    """One row per document: doc_id, text_key, n_shingles, component_id, and the document of the component that stands for it (keeper, keeper_key)."""
+    facts = stored(facts_of(docs, shingle), "facts")
+    classes = stored(class_heads(facts), "classes")
+    parts = [stored(pivot_pairs(sketched(docs, shingle, similarity, passes, turn)), "pairs_of_pass") for turn in range(passes)]
+    pairs = parts[0]
+    for part in parts[1:]:
+        pairs = pairs.unionByName(part)
+    pairs = stored(pairs.distinct(), "pairs")
+    release(*parts)
+    involved = pairs.select(F.col("pivot").alias("code")).union(pairs.select("code")).distinct()
+    sets = stored(sets_of(docs, classes.join(involved, "code").select("doc", "text_key"), shingle), "shingle_sets")
+    found = stored(compared(pairs, sets, similarity), "compared")
+    release(pairs)
+    edges = stored(links(found, sets, block, similarity=similarity), "links")
+    release(found, sets)
+    return grouped(facts, classes, components(edges))
+
+
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """`docs` with one document of each component, the one with the least doc_id; documents without words all stay."""
     found = stored(jaccard_join(docs, shingle=shingle, similarity=similarity), "components")
@@ -256,6 +329,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     if again.isEmpty():
         return kept
     # the same doc_id and text in several rows: one of them stays
-    repeated = kept.join(again.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")),
-                         kept["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(kept["text"]) == F.col("__key")), "left_semi")
-    return without(kept, again).unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    again = again.select(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key"))
+    repeated = kept.join(again, kept["doc_id"].cast("long").eqNullSafe(again["again_id"]) & (F.xxhash64(kept["text"]) == again["again_key"]), "left_semi")
+    rest = without(kept, again.select(again["again_id"].alias("doc_id"), again["again_key"].alias("text_key")))
+    return rest.unionByName(repeated.dropDuplicates(["doc_id", "text"]))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audit, credentials, decontam, jaccard, licences, mixing, neighbours, personal, quality, ranking, repeats, toxicity
+from . import audit, credentials, decontam, jaccard, licences, mixing, neighbours, personal, quality, ranking, repeats, sketches, toxicity
 from .sql import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,9 @@ def _(spark, sf_dir):
 @query("op12_ranked_search")
 def _(spark, sf_dir):
     return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_near_duplicates")
+def _(spark, sf_dir):
+    found = sketches.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

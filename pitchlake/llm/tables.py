@@ -20,7 +20,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by `stored` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def quoted(name: str) -> str:
+    """A column name in backquotes, so that dots in it are part of the name."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def documents_of(docs: DataFrame) -> DataFrame:
