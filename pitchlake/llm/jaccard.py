@@ -11,12 +11,13 @@ part alone says little. A set joins further bands too when a partner of it, of a
 
 Nodes of the join are distinct sets; copies within reach of a task are dropped before their buckets are made, others in
 the bucket. Buckets are never stored: they are taken in `passes` passes by their hash, made anew from the texts in each,
-and shuffled once. No bucket is expanded into pairs. Its least set is the pivot, and every member is compared with the
-pivot. Where all members are linked with their pivot, as in most groups of copies, that is all. Members linked with a
-pivot are connected already, so only its strays (members not linked with it) can add a link: they are compared with the
-pivot's members, in blocks of at most `block` sets: a task gets a block of strays and a block of members, counts shared
-elements as products of 0/1 matrices, and returns the sets that the links connect, one row a set. Components come from
-alternating star contraction. Tables are deleted as soon as the next step has read them.
+and shuffled once. No bucket is expanded into pairs. Its least set is the pivot, and every member is held against the
+pivot: first by whole sketches of 1,024 bits, whose Hamming distance must not exceed what linked sets may differ in, and
+then, if it doesn't, on the full sets. Members linked with a pivot are connected already, so only its strays (members not
+linked with it) can add a link: they are held against the pivot's members in cells of bounded numbers of both, again by
+whole sketches first. The strays and members that come near any of the other kind are compared on their full sets: a
+task counts shared elements as products of 0/1 matrices and returns the sets that the links connect, one row a set.
+Components come from alternating star contraction. Tables are deleted as soon as the next step has read them.
 
 Documents without words have the empty set and are linked with nothing; fewer words than a shingle are one shingle. A null
 doc_id takes part and never names a component, unless the whole component has none. Rows that repeat are copies.
@@ -40,6 +41,7 @@ SIMILARITY = 0.9
 BLOCK = 1000              # members of one pivot that are compared at once
 TASK_ITEMS = 1_000_000    # elements of the sets that a task gets, about
 CELLS = 8_000_000        # entries of a matrix
+BITS = 1024              # of a whole sketch
 PASSES = 4               # parts in which the buckets are shuffled
 SEEN = 200_000           # sets that a task remembers, to make the buckets of copies once
 _PART = np.uint64(0xA0761D6478BD642F)
@@ -96,18 +98,26 @@ def buckets(s: np.ndarray, band: int, parts: int, apart: int) -> np.ndarray:
     return np.concatenate([arrays.mix(bits[filled] ^ label[filled]), arrays.mix(empty[one] * np.uint64(3) ^ empty[two])])
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """The whole sketch of a set: every element toggles one of its bits."""
+    odd = np.bincount((arrays.mix(s ^ _PART) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def facts_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_key, n_shingles, code) of each document."""
-    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("code", pa.int64())])
+    """(doc_id, text_key, n_shingles, code, sketch) of each document; the empty set has no sketch."""
+    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("code", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             for part in arrays.slices(batch, "text"):
                 sets = shingle_sets(arrays.words_of(part.column("text"), arrays.SPACES, fold=True), shingle)
                 yield pa.record_batch([part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
-                                       pa.array([set_code(s) for s in sets], pa.int64())], schema=out)
+                                       pa.array([set_code(s) for s in sets], pa.int64()),
+                                       pa.array([parity(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], schema=out)
 
-    return documents_of(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, code long")
+    return documents_of(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(
+        run, "doc_id long, text_key long, n_shingles long, code long, sketch array<long>")
 
 
 def sketched(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, passes: int = 1, turn: int = 0) -> DataFrame:
@@ -169,6 +179,15 @@ def pivot_pairs(rows: DataFrame) -> DataFrame:
     return keys.withColumn("pivot", F.first("code").over(order)).filter("code != pivot").select("pivot", "code").distinct()
 
 
+def screened(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(pivot, code, near): false if the Hamming distance of the whole sketches alone shows that the sets aren't linked."""
+    m, n = bound(similarity)
+    others = nodes.select(F.col("code").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
+    apart = F.expr(" + ".join(f"bit_count(sketch[{i}] ^ pivot_sketch[{i}])" for i in range(BITS // 64)))
+    both = pairs.join(nodes, "code").join(others, "pivot")
+    return both.select("pivot", "code", (apart * m <= (F.col("n") + F.col("pivot_n")) * n).alias("near"))
+
+
 def compared(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(pivot, code, n, linked): members against their pivots."""
     most, least = bound(similarity)
@@ -236,6 +255,30 @@ def among_members(frame: pd.DataFrame, similarity: float = SIMILARITY) -> pd.Dat
     return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
+def near_in_cells(frame: pd.DataFrame, similarity: float = SIMILARITY) -> pd.DataFrame:
+    """(pivot, code) of the strays and members of each cell whose whole sketches come near enough to one of the other kind."""
+    pivot, code = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    m, n = bound(similarity)
+    for (name, _, _), cell in frame.groupby(["pivot", "block", "turn"]):
+        cell, strays = in_cell(cell)
+        if not len(strays):
+            continue
+        signs = 1 - 2 * np.unpackbits(np.stack(cell["sketch"]).view(np.uint8), axis=1).astype(np.float32)
+        total = cell["n"].to_numpy()
+        near = (BITS - signs[strays] @ signs.T) / 2 * m <= (total[strays, None] + total[None, :]) * n
+        code.append(cell["code"].to_numpy()[partnered(near, strays)])
+        pivot.append(np.full(len(code[-1]), name))
+    return pd.DataFrame({"pivot": np.concatenate(pivot), "code": np.concatenate(code)})
+
+
+def partnered(near: np.ndarray, strays: np.ndarray) -> np.ndarray:
+    """Which sets of a cell are near another one; near[i, j] says it of the sets strays[i] and j."""
+    near[np.arange(len(strays)), strays] = False
+    some = near.any(axis=0)
+    some[strays] |= near.any(axis=1)
+    return some
+
+
 def stray_cells(found: DataFrame, block: int, task_items: int) -> tuple[DataFrame, int]:
     """(pivot, block, turn, task, code, stray): strays of each pivot against its members, and the number of tasks to deal them to.
 
@@ -256,11 +299,37 @@ def stray_cells(found: DataFrame, block: int, task_items: int) -> tuple[DataFram
 
 
 def links(found: DataFrame, sets: DataFrame, block: int = BLOCK, task_items: int = TASK_ITEMS, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): enough verified links to connect whatever is linked, from (pivot, code, n, linked)."""
-    star = found.filter("linked").select(F.col("pivot").alias("a"), F.col("code").alias("b"))
+    """(a, b): verified links between strays and members of a pivot, enough to connect what is linked, from (pivot, code, n, linked)."""
     cells, _ = stray_cells(found, block, task_items)
-    inner = cells.join(sets, "code").groupBy("task").applyInPandas(lambda frame: among_members(frame, similarity), "a long, b long")
-    return star.unionByName(inner).distinct()
+    return cells.join(sets, "code").groupBy("task").applyInPandas(lambda frame: among_members(frame, similarity), "a long, b long")
+
+
+def sets_named(docs: DataFrame, classes: DataFrame, codes: DataFrame, shingle: int) -> DataFrame:
+    """(code, n, items) of the full sets named in `codes`."""
+    return sets_of(docs, classes.join(codes.distinct(), "code").select("doc", "text_key"), shingle)
+
+
+def settled(docs: DataFrame, classes: DataFrame, nodes: DataFrame, pairs: DataFrame, partners, shingle: int, similarity: float,
+            block: int = BLOCK, task_items: int = TASK_ITEMS) -> DataFrame:
+    """(a, b): enough verified links to connect whatever is linked.
+
+    `nodes` has code, n and sketch; `pairs` pivot, code and near (may be linked, by their sketches); `partners` names
+    the sets of cells that are near each other by their sketches.
+    """
+    near = pairs.filter("near").select("pivot", "code")
+    sets = stored(sets_named(docs, classes, near.select("code").union(near.select("pivot")), shingle), "shingle_sets")
+    star = stored(compared(near, sets, similarity).filter("linked").select("pivot", "code", "linked"), "compared")
+    members = pairs.join(star, ["pivot", "code"], "left").select("pivot", "code", F.coalesce("linked", F.lit(False)).alias("linked"))
+    members = stored(members.join(nodes.select("code", F.size("sketch").cast("long").alias("n")), "code"), "members")
+    cells, _ = stray_cells(members, 2 * block, task_items)
+    met = stored(cells.join(nodes.select("code", "n", "sketch"), "code").groupBy("task").applyInPandas(partners, "pivot long, code long").distinct(), "met")
+    more = stored(sets_named(docs, classes, met.join(sets, "code", "left_anti").select("code"), shingle), "more_sets")
+    sets_met = sets.unionByName(more)
+    found = stored(members.drop("n").join(met, ["pivot", "code"]).join(sets_met.select("code", "n"), "code"), "found")
+    edges = links(found, sets_met, block, task_items, similarity).unionByName(star.select(F.col("pivot").alias("a"), F.col("code").alias("b")))
+    edges = stored(edges.distinct(), "links")
+    release(sets, more, star, members, met, found)
+    return edges
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,20 +372,18 @@ def grouped(facts: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
 
 def jaccard_join(docs: DataFrame, block: int = BLOCK, shingle: int = SHINGLE, similarity: float = SIMILARITY, passes: int = PASSES) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, component_id, and the document of the component that stands for it (keeper, keeper_key)."""
-    facts = stored(facts_of(docs, shingle), "facts")
-    classes = stored(class_heads(facts), "classes")
+    rows = stored(facts_of(docs, shingle), "sketched")
+    facts, classes = stored(rows.drop("sketch"), "facts"), stored(class_heads(rows), "classes")
+    nodes = stored(rows.filter("n_shingles > 0").groupBy("code").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    release(rows)
     parts = [stored(pivot_pairs(sketched(docs, shingle, similarity, passes, turn)), "pairs_of_pass") for turn in range(passes)]
     pairs = parts[0]
     for part in parts[1:]:
         pairs = pairs.unionByName(part)
-    pairs = stored(pairs.distinct(), "pairs")
+    pairs = stored(screened(pairs.distinct(), nodes, similarity), "pairs")
     release(*parts)
-    involved = pairs.select(F.col("pivot").alias("code")).union(pairs.select("code")).distinct()
-    sets = stored(sets_of(docs, classes.join(involved, "code").select("doc", "text_key"), shingle), "shingle_sets")
-    found = stored(compared(pairs, sets, similarity), "compared")
-    release(pairs)
-    edges = stored(links(found, sets, block, similarity=similarity), "links")
-    release(found, sets)
+    edges = settled(docs, classes, nodes, pairs, lambda frame: near_in_cells(frame, similarity), shingle, similarity, block)
+    release(pairs, nodes)
     return grouped(facts, classes, components(edges))
 
 

@@ -97,19 +97,11 @@ def with_partners(frame: pd.DataFrame) -> pd.DataFrame:
             continue
         sizes = np.array([len(x) for x in cell["sketch"]])
         near = 2 * jaccard.shared_counts(list(cell["sketch"]), strays) >= np.maximum(sizes[strays, None], sizes[None, :])
-        near[np.arange(len(strays)), strays] = False
-        some = near.any(axis=0)
-        some[strays] |= near.any(axis=1)
-        code.append(cell["code"].to_numpy()[some])
-        pivot.append(np.full(int(some.sum()), name))
+        code.append(cell["code"].to_numpy()[jaccard.partnered(near, strays)])
+        pivot.append(np.full(len(code[-1]), name))
     return pd.DataFrame({"pivot": np.concatenate(pivot), "code": np.concatenate(code)})
 
 
-def sets_named(docs: DataFrame, classes: DataFrame, codes: DataFrame, shingle: int) -> DataFrame:
-    """(code, n, items) of the full sets named in `codes`."""
-    return jaccard.sets_of(docs, classes.join(codes.distinct(), "code").select("doc", "text_key"), shingle)
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, kept: int = KEPT, block: int = BLOCK,
                     task_items: int = jaccard.TASK_ITEMS) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, component_id (the least doc_id that links reach) and the document that stands for it (keeper, keeper_key)."""
@@ -121,21 +113,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     nodes = stored(shapes, "nodes")
     release(rows)
     pairs = stored(estimated(held_against_pivots(generating(nodes)), nodes, kept), "pairs")
-    near = pairs.filter("near").select("pivot", "code")
-    sets = stored(sets_named(docs, classes, near.select("code").union(near.select("pivot")), shingle), "shingle_sets")
-    star = stored(jaccard.compared(near, sets, similarity), "compared")
-    # strays, by their sketches: only those that share half a sketch with a member go on to the full sets
-    linked = star.filter("linked").select("pivot", "code", "linked")
-    members = pairs.join(linked, ["pivot", "code"], "left").select("pivot", "code", F.coalesce("linked", F.lit(False)).alias("linked"))
-    sized = stored(members.join(nodes.select("code", F.size("sketch").cast("long").alias("n")), "code"), "members")
-    release(pairs)
-    cells, _ = jaccard.stray_cells(sized, block, task_items)
-    met = stored(cells.join(nodes.select("code", "sketch"), "code").groupBy("task").applyInPandas(with_partners, "pivot long, code long").distinct(), "met")
-    release(nodes)
-    more = stored(sets_named(docs, classes, met.join(sets, "code", "left_anti").select("code"), shingle), "more_sets")
-    sets_met = sets.unionByName(more)
-    found = sized.drop("n").join(met, ["pivot", "code"]).join(sets_met.select("code", "n"), "code")
-    inner = jaccard.links(stored(found, "found"), sets_met, block // 2, task_items, similarity)
-    edges = stored(inner.unionByName(linked.select(F.col("pivot").alias("a"), F.col("code").alias("b"))).distinct(), "links")
-    release(sets, more, star, sized, met)
+    edges = jaccard.settled(docs, classes, nodes, pairs, with_partners, shingle, similarity, block // 2, task_items)
+    release(pairs, nodes)
     return jaccard.grouped(facts, classes, jaccard.components(edges))
