@@ -64,7 +64,7 @@ def test_rate_limit(spark, block):
         frame += rng.choice([1, 3, 5, 40])
         rows.append((1, "a", frame, i, float(frame)))
     df = spark.createDataFrame(rows, "match_id long, alert_key string, frame long, seq long, timestamp double")
-    got = {r.seq for r in machine.rate_limit(df, 10.0, block_rows=block).collect()}
+    got = {r.seq for r in machine.rate_limit(df, 10.0, block=block).collect()}
     want = restated.limited([r[4] for r in rows], 10.0)
     assert got == {r[3] for r, ok in zip(rows, want) if ok}
 
@@ -72,10 +72,34 @@ def test_rate_limit(spark, block):
 def test_check_gate(spark):
     df = spark.createDataFrame([(1, f) for f in range(90, 2000, 90)], "match_id long, frame long")
     for block in (4, 50_000):
-        got = sorted(r.frame for r in machine.check_points(df, 500, block_rows=block).collect())
+        got = sorted(r.frame for r in machine.check_points(df, 500, block=block).collect())
         assert got == [540, 1080, 1620]
 
 
+def test_gate_over_random_times_of_many_keys(spark):
+    """Pointer doubling against one walk along each key: bursts, long gaps, keys that never reach the gate, small blocks."""
+    rng = random.Random(6)
+    times = {m: sorted(rng.sample(range(1, 40 + 400 * m), min(35 * m, 39))) for m in range(8)}
+    df = spark.createDataFrame([(m, f) for m, fs in times.items() for f in fs * 2], "match_id long, frame long")
+    want = set()
+    for m, frames in times.items():
+        last = 0
+        for f in frames:
+            if f - last >= 60:
+                last = f
+                want.add((m, f))
+    for block in (7, 1 << 20):
+        assert {(r.match_id, r.frame) for r in machine.check_points(df, 60, block=block).collect()} == want
+    assert machine.check_points(df.limit(0), 60).collect() == []
+
+
+def test_rate_limit_at_equal_times(spark):
+    rows = [("a", 5, 2, 1.0), ("a", 5, 1, 1.0), ("a", 6, 0, 1.5), ("a", 9, 0, 2.0), ("b", 1, 0, None), ("b", 2, 0, 7.0), ("b", 2, 0, 7.0)]
+    df = spark.createDataFrame(rows, "alert_key string, frame long, seq long, timestamp double")
+    got = sorted((r.alert_key, r.frame, r.seq) for r in machine.rate_limit(df, 1.0, keys=["alert_key"]).collect())
+    assert got == [("a", 5, 1), ("a", 9, 0), ("b", 2, 0)]
+
+
 def frames_of(rng, n):
     out = []
     for f in range(n):
