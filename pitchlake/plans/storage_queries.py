@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
@@ -157,21 +158,39 @@ def _(v):
         F.count(F.lit(1)).alias("observations"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
 
 
-def streamed(v):
-    """Observations written as files and streamed back through guard, possession and sinks."""
-    root = scratch_path(v.spark, "stream")
-    source = f"{root}/observations"
-    v.obs.select("match_id", "frame", "seq", "team", "player").write.parquet(source)
-    stream = v.spark.readStream.schema(live.OBSERVATION).parquet(source)
-    job = live.start_job(live.possession_stream(stream, HYSTERESIS), f"{root}/checkpoint", live.publish_stats(root))
+CHUNKS = 3
+
+
+def arrivals(rows, source):
+    """Write observations as they would arrive, a third of the time axis after the other; yields after each."""
+    last = rows.agg(F.max("frame").alias("f")).first()["f"] or 0
+    for chunk in range(CHUNKS):
+        rows.filter(F.floor(F.col("frame") * CHUNKS / (last + 1)) == chunk).select("match_id", "frame", "seq", "team", "player").write.mode("append").parquet(source)
+        yield chunk
+
+
+def drain(v, root, sink=None):
+    """Run the possession job over what has arrived, from its checkpoint."""
+    stream = live.possession_stream(live.observation_stream(v.spark, f"{root}/observations"), HYSTERESIS)
+    job = live.start_job(stream, f"{root}/checkpoint", sink or live.publish_stats(root, live.live_dominance(root, LEAD)))
     job.awaitTermination()
-    return root
+
+
+def streamed(v):
+    """Observations streamed through possession and its sinks, a micro-batch for every third of the time axis."""
+    if "streamed" not in v.folders:
+        root = v.folders["streamed"] = scratch_path(v.spark, "stream")
+        for _ in arrivals(v.obs, f"{root}/observations"):
+            drain(v, root)
+    return v.folders["streamed"]
+
+
+LEAD = 52.0
 
 
 @query("ST13_live_stats", """SELECT match_id, team, CAST(frames AS BIGINT) AS frames, passes, round(frames / 30.0::DOUBLE, 6) AS seconds FROM stats""")
 def _(v):
-    root = streamed(v)
-    return live.live_stats(v.spark, root).select("match_id", "team", "frames", "passes", R("seconds").alias("seconds"))
+    return live.live_stats(v.spark, streamed(v)).select("match_id", "team", "frames", "passes", R("seconds").alias("seconds"))
 
 
 @query("S13_publish_batch_stats", "SELECT match_id, frame, seq, current_team FROM poss")
@@ -179,6 +198,54 @@ def _(v):
     return v.spark.read.parquet(f"{streamed(v)}/possession").select("match_id", "frame", "seq", "current_team")
 
 
+_ARRIVED = f"(SELECT o.*, CAST(floor(frame * {CHUNKS} / (last + 1)) AS BIGINT) AS epoch FROM obs o, (SELECT max(frame) AS last FROM obs) m)"
+
+
+@query("U1_callbacks", f"""SELECT 'batch' AS event, match_id, epoch, count(*) AS rows, max(frame) AS last_frame FROM {_ARRIVED} GROUP BY match_id, epoch""")
+def _(v):
+    return v.spark.read.schema(live.EVENT).parquet(f"{streamed(v)}/events").select("event", "match_id", "epoch", "rows", "last_frame")
+
+
+@query("ST10_resume", "SELECT match_id, frame, seq, current_team FROM poss")
+def _(v):
+    """The job fails in its second micro-batch, after it has written, and a new one goes on from the checkpoint."""
+    root = scratch_path(v.spark, "resumed")
+    publish = live.publish_stats(root)
+
+    def failing(batch, epoch):
+        publish(batch, epoch)
+        if epoch == 1:
+            raise RuntimeError("lost between write and commit")
+
+    for chunk in arrivals(v.obs, f"{root}/observations"):
+        try:
+            drain(v, root, failing if chunk == 1 else publish)
+        except StreamingQueryException:
+            drain(v, root, publish)
+    return v.spark.read.parquet(f"{root}/possession").select("match_id", "frame", "seq", "current_team")
+
+
+_MARKS = "(SELECT match_id, max(frame) AS mark FROM obs WHERE seq % 7 <> 0 GROUP BY 1)"
+CTES["obs_t"] = f"SELECT obs.*, seq % 7 = 0 AS part FROM obs LEFT JOIN {_MARKS} m USING (match_id) WHERE NOT coalesce(seq % 7 = 0 AND frame < mark, false)"
+_PRIOR = "obs"
+for _name in ("runs0", "runs1", "runs2", "runs3", "runs4", "poss"):  # possession over the rows in time
+    CTES[f"{_name}_t"] = CTES[_name].replace(f"FROM {_PRIOR}", f"FROM {_PRIOR}_t").replace("ORDER BY frame, seq", "ORDER BY frame, part, seq")
+    _PRIOR = _name
+
+
+@query("ST11_late_rows", f"""SELECT match_id, frame, seq, false AS late, current_team FROM poss_t
+    UNION ALL SELECT obs.match_id, obs.frame, obs.seq, true, NULL FROM obs JOIN {_MARKS} m USING (match_id) WHERE seq % 7 = 0 AND frame < mark""")
+def _(v):
+    """Every seventh observation arrives after later ones of its match: the state takes none of them that it has passed."""
+    root = scratch_path(v.spark, "late")
+    rows = v.obs.select("match_id", "frame", "seq", "team", "player")
+    for part in ("seq % 7 <> 0", "seq % 7 = 0"):
+        rows.filter(part).write.mode("append").parquet(f"{root}/observations")
+        drain(v, root, live.publish_stats(root))
+    taken = v.spark.read.parquet(f"{root}/possession").select("match_id", "frame", "seq", F.lit(False).alias("late"), "current_team")
+    return taken.unionByName(v.spark.read.parquet(f"{root}/late").select("match_id", "frame", "seq", F.lit(True).alias("late"), F.lit(None).cast("long").alias("current_team")))
+
+
 @query("ST11_order_guard", """WITH m AS (SELECT match_id, max(frame) AS mark FROM obs WHERE seq % 7 <> 0 GROUP BY 1)
     SELECT obs.match_id, frame, seq, CASE WHEN seq % 7 = 0 AND frame < mark THEN 'late' ELSE 'taken' END AS fate FROM obs LEFT JOIN m USING (match_id)""")
 def _(v):
@@ -204,3 +271,11 @@ def _(v):
     writers.log_status(v.spark, path, ids.filter("match_id % 4 <> 0"), "completed")
     writers.log_status(v.spark, path, ids.filter("match_id % 4 = 0"), "failed", "source ended")
     return writers.latest_status(v.spark, path).drop("at")
+
+
+@query("S13_publish_alerts", f"""WITH a AS {_ARRIVED}, chunk_ends AS (SELECT match_id, epoch, max(frame) AS frame FROM a GROUP BY 1, 2),
+    c AS (SELECT e.match_id, e.frame, credit.team, sum(credit.frames) AS n FROM chunk_ends e JOIN credit ON credit.match_id = e.match_id AND credit.frame <= e.frame GROUP BY 1, 2, 3)
+    SELECT match_id, frame, team, round(percent, 6) AS percent FROM (SELECT *, n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY match_id, frame) AS percent FROM c) WHERE percent >= {LEAD}""")
+def _(v):
+    """Alerts that the sink wrote with every micro-batch, from the statistics up to it."""
+    return v.spark.read.parquet(f"{streamed(v)}/alerts").select("match_id", "frame", "team", R("percent").alias("percent"))

@@ -25,6 +25,7 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._written: dict[str, DataFrame] = {}
+        self.folders: dict[str, str] = {}  # what jobs left on storage
 
     def once(self, name: str, build) -> DataFrame:
         """A result several queries read, written once to the shared folder."""

@@ -50,26 +50,47 @@ def hysteresis_step(state: dict, rows, n: int) -> tuple[list[tuple], dict]:
 
 
 START = {"current": None, "player": None, "candidate": None, "run": 0, "frame": 0}
+LATE_POSSESSION = f"{POSSESSION}, late boolean"
 
 
-def possession_stream(observations: DataFrame, n: int = 5) -> DataFrame:
-    """Stateful possession, one small state per match. Rows of a micro-batch are ordered inside it;
-    rows older than the last batch of their match are handled by `guard_order` before this."""
-    names = [c.split()[0] for c in POSSESSION.split(", ")]
+def observation_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Observations from Parquet files as they arrive; `files` caps a micro-batch, so that a backlog is not one batch."""
+    reader = spark.readStream.schema(OBSERVATION)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+
+
+def possession_stream(observations: DataFrame, n: int = 5, delay: int = 0) -> DataFrame:
+    """Stateful possession with late rows told apart: POSSESSION columns and `late`, one small state per match.
+
+    The state keeps the newest frame of its match and the rows of the last `delay` frames, which wait there in case
+    earlier ones still come. Older rows are folded in order of (frame, seq) and come out. A row that is older than what
+    has been folded in an earlier micro-batch can't be folded any more: it comes out at once, flagged late and without
+    possession, and leaves the state as it is. With `delay` a row without seq closes its match: what waits comes out.
+    """
+    names = [c.split()[0] for c in LATE_POSSESSION.split(", ")]
+    unknown = (None,) * (len(names) - 6)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["frame", "seq"])
-        held = json.loads(state.get[0]) if state.exists else START
+        held = json.loads(state.get[0]) if state.exists else {"possession": START, "mark": None, "waiting": []}
+        mark, waiting, late, closed = held["mark"], held["waiting"], [], False
         none = lambda v: None if pd.isna(v) else int(v)
-        rows = ((int(m), int(f), int(q), none(t), none(p)) for m, f, q, t, p in
-                zip(pdf["match_id"], pdf["frame"], pdf["seq"], pdf["team"], pdf["player"]))
-        out, held = hysteresis_step(held, rows, n)
-        state.update((json.dumps(held),))
-        res = pd.DataFrame(out, columns=names)
-        yield res.astype({c: "Int64" for c in ("team", "player", "current_team", "prev_team", "pass_from")})
+        newest = max([mark or 0] + [r[1] for r in waiting])
+        for pdf in batches:
+            rows = [tuple(map(none, r)) for r in zip(pdf["match_id"], pdf["frame"], pdf["seq"], pdf["team"], pdf["player"])]
+            closed = closed or any(r[2] is None for r in rows)
+            rows = [r for r in rows if r[2] is not None]
+            late += [r for r in rows if mark is not None and r[1] < mark]
+            waiting += [r for r in rows if mark is None or r[1] >= mark]
+            newest = max([newest] + [r[1] for r in rows])
+        ready = sorted((tuple(r) for r in waiting if closed or r[1] <= newest - delay), key=lambda r: (r[1], r[2]))
+        out, possession = hysteresis_step(held["possession"], ready, n)
+        state.update((json.dumps({"possession": possession, "mark": ready[-1][1] if ready else mark,
+                                  "waiting": [] if closed else [r for r in waiting if r[1] > newest - delay]}),))
+        res = pd.DataFrame([(*r, False) for r in out] + [(*r, *unknown, True) for r in late], columns=names)
+        yield res.astype({c: "Int64" for c in names[3:] if c not in ("changed", "late")}).astype({"changed": "boolean"})
 
     return observations.groupBy("match_id").applyInPandasWithState(
-        step, POSSESSION, "s string", "append", GroupStateTimeout.NoTimeout)
+        step, LATE_POSSESSION, "s string", "append", GroupStateTimeout.NoTimeout)
 
 
 @dataclass
@@ -81,6 +102,15 @@ class Callbacks:
     on_error: Callable[[str], None] | None = None
 
 
+EVENT = "event string, match_id long, epoch long, rows long, last_frame long, message string"
+
+
+def batch_events(batch: DataFrame, epoch: int) -> DataFrame:
+    """What a finished micro-batch did, one row per match, as EVENT rows."""
+    return batch.groupBy("match_id").agg(F.count("*").alias("rows"), F.max("frame").alias("last_frame")).select(
+        F.lit("batch").alias("event"), "match_id", F.lit(epoch).cast("long").alias("epoch"), "rows", "last_frame", F.lit(None).cast("string").alias("message"))
+
+
 class _Listener(StreamingQueryListener):
     def __init__(self, hooks: Callbacks):
         self.hooks = hooks
@@ -102,6 +132,7 @@ class _Listener(StreamingQueryListener):
 
 
 def watch(spark: SparkSession, hooks: Callbacks) -> StreamingQueryListener:
+    """Call the hooks for progress and errors of every stream of the session, until `spark.streams.removeListener`."""
     listener = _Listener(hooks)
     spark.streams.addListener(listener)
     return listener
@@ -113,29 +144,45 @@ def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
-def publish_stats(root: str, alerts: Callable[[DataFrame], DataFrame] | None = None,
+def publish_stats(root: str, alerts: Callable[[DataFrame, int], DataFrame] | None = None,
                   hooks: Callbacks | None = None) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: possession rows, per-team increments and, if asked, alerts."""
+    """foreachBatch sink: possession rows, late rows, per-team increments, events and, if asked, alerts, an epoch at a time."""
     def sink(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
         try:
-            write_epoch(batch, f"{root}/possession", epoch)
+            taken = batch.filter("NOT late").drop("late")
+            write_epoch(taken, f"{root}/possession", epoch)
+            write_epoch(batch.filter("late").select("match_id", "frame", "seq", "team", "player"), f"{root}/late", epoch)
             credit = F.explode(F.array(
                 F.struct(F.col("prev_team").alias("team"), F.col("frames_prev").alias("frames"), F.lit(0).alias("passes")),
                 F.struct(F.col("current_team").alias("team"), F.col("frames_first").alias("frames"),
                          F.col("pass_from").isNotNull().cast("int").alias("passes"))))
-            steps = batch.select("match_id", credit.alias("c")).filter("c.team is not null").groupBy(
+            steps = taken.select("match_id", credit.alias("c")).filter("c.team is not null").groupBy(
                 "match_id", "c.team").agg(F.sum("c.frames").alias("frames"), F.sum("c.passes").alias("passes"))
             write_epoch(steps, f"{root}/live_steps", epoch)
+            write_epoch(batch_events(taken, epoch), f"{root}/events", epoch)
             if alerts is not None:
-                write_epoch(alerts(batch), f"{root}/alerts", epoch)
+                write_epoch(alerts(taken, epoch), f"{root}/alerts", epoch)
             if hooks and hooks.on_batch_complete:
-                hooks.on_batch_complete(batch, epoch)
+                hooks.on_batch_complete(taken, epoch)
         finally:
             batch.unpersist()
     return sink
 
 
+def live_dominance(root: str, limit: float = 60.0) -> Callable[[DataFrame, int], DataFrame]:
+    """Alerts for `publish_stats`: teams that hold `limit` percent of the ball so far, for the matches of a micro-batch, at its last frame."""
+    def alerts(batch: DataFrame, epoch: int) -> DataFrame:
+        steps = batch.sparkSession.read.schema("match_id long, team long, frames long, passes long, epoch int").parquet(f"{root}/live_steps")
+        ends = batch.groupBy("match_id").agg(F.max("frame").alias("frame"))
+        # a replayed epoch must not count what later ones have written
+        total = steps.filter(F.col("epoch") <= epoch).join(ends, "match_id").groupBy("match_id", "frame", "team").agg(F.sum("frames").alias("frames"))
+        whole = total.groupBy("match_id").agg(F.sum("frames").alias("all"))
+        share = total.join(whole, "match_id").withColumn("percent", F.col("frames") * 100.0 / F.col("all"))
+        return share.filter(F.col("percent") >= limit).select("match_id", "frame", "team", "percent")
+    return alerts
+
+
 def live_stats(spark: SparkSession, root: str, fps: float = 30.0) -> DataFrame:
     """Cumulative frames, seconds, passes and share per team, from the increments written so far."""
     total = spark.read.parquet(f"{root}/live_steps").groupBy("match_id", "team").agg(

@@ -186,3 +186,53 @@ def test_stream_equals_batch_with_restart(spark, tmp_path):
             possession.possession_stats(frames, pass_events=possession.passes(frames)).collect()}
     got = {(r.match_id, r.team): (r.frames, r.passes) for r in live.live_stats(spark, root).collect()}
     assert got == want
+
+
+def test_late_rows_leave_the_state_alone(spark, tmp_path):
+    """Rows come late by up to three micro-batches; with a delay those within it are put in order instead."""
+    rows = [(1, f, 0, (f // 4) % 2, f % 3) for f in range(40)]
+    arrival = [rows[0:5] + rows[6:10], rows[12:20] + rows[10:11], rows[20:30] + rows[11:12] + rows[5:6], rows[30:40] + [(1, None, None, None, None)]]
+    for delay, lost in ((0, {11, 5}), (10, {5})):
+        root = str(tmp_path / f"delay{delay}")
+        for part in arrival:
+            spark.createDataFrame([r if r[1] is not None else (1, 39, None, None, None) for r in part], live.OBSERVATION).coalesce(1).write.mode("append").parquet(f"{root}/in")
+            stream = live.possession_stream(live.observation_stream(spark, f"{root}/in", files=1), 3, delay)
+            live.start_job(stream, f"{root}/cp", live.publish_stats(root)).awaitTermination()
+        late = {r.frame for r in spark.read.parquet(f"{root}/late").collect()}
+        assert late == lost
+        kept = [r for r in rows if r[1] not in late]
+        want = possession.possession_frames(spark.createDataFrame(kept, live.OBSERVATION), 3)
+        got = {r.frame: r.current_team for r in spark.read.parquet(f"{root}/possession").collect()}
+        assert got == {r.frame: r.current_team for r in want.collect()}
+
+
+def test_errors_reach_the_hook(spark, tmp_path):
+    """A failing sink ends the job; the hook gets the message and the checkpoint lets another job go on."""
+    import time
+
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    root, errors, seen = str(tmp_path / "job"), [], []
+    spark.createDataFrame([(1, f, 0, 0, 1) for f in range(5)], live.OBSERVATION).coalesce(1).write.parquet(f"{root}/in")
+    listener = live.watch(spark, live.Callbacks(on_error=errors.append, on_progress=seen.append))
+
+    def broken(batch, epoch):
+        raise RuntimeError("disk is gone")
+
+    try:
+        for sink in (broken, live.publish_stats(root)):
+            job = live.start_job(live.possession_stream(live.observation_stream(spark, f"{root}/in"), 3), f"{root}/cp", sink)
+            if sink is broken:
+                with pytest.raises(StreamingQueryException):
+                    job.awaitTermination()
+            else:
+                job.awaitTermination()
+        deadline = time.time() + 20
+        while not (errors and seen) and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert "disk is gone" in errors[0] and seen[-1]["rows"] == 5
+    events = spark.read.schema(live.EVENT).parquet(f"{root}/events").collect()
+    assert [(r.event, r.match_id, r.epoch, r.rows, r.last_frame) for r in events] == [("batch", 1, 0, 5, 4)]
