@@ -42,7 +42,7 @@ BLOCK = 1000              # members of one pivot that are compared at once
 TASK_ITEMS = 1_000_000    # elements of the sets that a task gets, about
 CELLS = 8_000_000        # entries of a matrix
 BITS = 1024              # of a whole sketch
-PASSES = 4               # parts in which the buckets are shuffled
+PASSES = 2               # parts in which the buckets are shuffled
 SEEN = 200_000           # sets that a task remembers, to make the buckets of copies once
 _PART = np.uint64(0xA0761D6478BD642F)
 

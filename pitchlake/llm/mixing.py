@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .tables import quoted
+
 WEIGHTS = (3, 1, 2)
 WORD = r"[^\x20\x09-\x0D]+"
 KEY_DIGITS = 3  # leading hex digits of the key that name a block: 4096 blocks a source
@@ -42,7 +44,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     """The `carry` columns with size, source_size, target and taken (words that the mix takes, repeats counted)."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = docs.select(
-        F.struct(*carry).alias("kept"), F.col("doc_id").cast("long").alias("doc"), F.col("source").cast("string").alias("source"),
+        F.struct(*[F.col(quoted(c)) for c in carry]).alias("kept"), F.col("doc_id").cast("long").alias("doc"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")).alias("src"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(f"({WORD})")), F.lit(0)).cast("long").alias("size"),
         key.alias("key"), F.substring(key, 1, KEY_DIGITS).alias("block"))

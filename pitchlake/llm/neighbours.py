@@ -3,7 +3,7 @@
 Trees are fitted on a bounded sample (parameter `sample`, smallest hashes): a node splits its vectors at the median of
 a random direction. Every vector is indexed: it is routed to one leaf of each tree. A query walks all trees through one
 priority queue, nearest boundary first, and collects leaves until they hold the share `search` of all vectors as seen
-in the sample. Leaves and the queries that want them meet in Spark by (tree, leaf); large leaves and much wanted ones
+in the sample, and k other vectors at least. Leaves and the queries that want them meet in Spark by (tree, leaf); large leaves and much wanted ones
 are split into blocks. Distances are exact, in double precision on the original vectors, and the nearest of the leaf
 candidates are kept, ties to the smaller vec_id.
 
@@ -38,6 +38,7 @@ class Tree:
     threshold: np.ndarray
     children: np.ndarray
     share: np.ndarray
+    unit: float     # the share of one vector
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf of each vector, level by level."""
@@ -81,15 +82,19 @@ def grow(vectors: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
         sides = rows[~right], rows[right]
         children[node] = [add(s) for s in sides]
         todo += zip(children[node], sides)
-    return Tree(np.array(direction), np.array(threshold), np.array(children), np.array(share))
+    return Tree(np.array(direction), np.array(threshold), np.array(children), np.array(share), 1 / len(vectors))
 
 
-def walk(forest: list[Tree], vector: np.ndarray, search: float) -> list[tuple[int, int]]:
-    """Leaves as (tree, node) through one queue over all trees, nearest boundary first, until they hold `search` of the sample."""
+def walk(forest: list[Tree], vector: np.ndarray, search: float, least: float = 0.0) -> list[tuple[int, int]]:
+    """Leaves as (tree, node) through one queue over all trees, nearest boundary first.
+
+    They hold `search` of the sample, a vector counted once per tree, and those of some tree alone, which are different
+    vectors, hold `least` of it.
+    """
     margins = [t.direction @ vector - t.threshold for t in forest]
     queue = [(0.0, i, 0) for i in range(len(forest))]
-    found, held = [], 0.0
-    while queue and held < search:
+    found, held = [], np.zeros(len(forest))
+    while queue and (held.sum() < search or held.max() < least):
         far, tree, node = heapq.heappop(queue)
         t = forest[tree]
         while t.children[node, 0] >= 0:
@@ -97,7 +102,7 @@ def walk(forest: list[Tree], vector: np.ndarray, search: float) -> list[tuple[in
             heapq.heappush(queue, (max(far, abs(margin)), tree, int(t.children[node, int(margin <= 0)])))
             node = int(t.children[node, int(margin > 0)])
         found.append((tree, node))
-        held += t.share[node]
+        held[tree] += t.share[node]
     return found
 
 
@@ -181,13 +186,19 @@ def nearest(table: DataFrame, vector: str = "embedding", every: int = 100, k: in
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     forest = rows.sparkSession.sparkContext.broadcast(model)
 
+    # a query's own row and k others are among the leaves that it wants, as far as the sample has so many
+    least = (k + 1) * model[0].unit - 1e-9
+
     def to_walks(forest, vectors):
-        found = [walk(forest, v, search) for v in vectors]
+        found = [walk(forest, v, search, least) for v in vectors]
         flat = np.array([x for f in found for x in f]).reshape(-1, 2)
         return np.repeat(np.arange(len(found)), [len(f) for f in found]), flat[:, 0], flat[:, 1]
 
     index = stored(placed(rows, forest, to_leaves), "forest")
     visits = stored(placed(rows.filter(F.col("vec_id") % every == 0), forest, to_walks), "visits")
+    # of copies of one vector in a leaf only the k + 1 of least vec_id can be among a query's k nearest
+    same = Window.partitionBy("tree", "leaf", F.xxhash64("vec"), "vec").orderBy("vec_id", "row_key")
+    index = stored(index.withColumn("copy", F.row_number().over(same)).filter(F.col("copy") <= k + 1).drop("copy"), "forest_copies")
     size = index.groupBy("tree", "leaf").agg(F.count("*").alias("n")).join(visits.groupBy("tree", "leaf").agg(F.count("*").alias("q")), ["tree", "leaf"])
     size = size.select("tree", "leaf", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("turns"))
     size = stored(size, "leaf_blocks")

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .tables import quoted
+
 # Kinds in the order of the result; iban is the method's own.
 KINDS = ("email", "ip", "card", "phone", "iban")
 
@@ -66,8 +68,8 @@ def _scored(kind: str, order: int) -> str:
 
 
 def find_personal(docs: DataFrame, kinds: tuple[str, ...] = KINDS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, `kept` (struct of the `carry` columns) and `spans`: array of (start, order, kind, stop, score), by start and kind."""
-    rows = docs.select(F.struct(*carry, F.lit(0).alias("__")).alias("kept"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("given"),
+    """doc_id, text, `kept` (the `carry` columns as a struct, named c0, c1, ...) and `spans`: array of (start, order, kind, stop, score), by start and kind."""
+    rows = docs.select(F.struct(F.lit(0), *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(carry)]).alias("kept"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("given"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def when(kind: str, value: Column, other: Column) -> Column:
@@ -87,10 +89,11 @@ def joined(condition: str = "true") -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with the personal data of each text replaced; n_chars, where there is one, follows a text that changes."""
     found = find_personal(docs, carry=tuple(docs.columns)).withColumn("changed", F.when(F.size("spans") > 0, redacted()))
+    held = {c: F.col(f"kept.c{i}") for i, c in enumerate(docs.columns)}
     new = {"text": F.coalesce("changed", "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.coalesce(F.length("changed").cast(docs.schema["n_chars"].dataType), "kept.n_chars")
-    return found.select(*[new.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns])
+        new["n_chars"] = F.coalesce(F.length("changed").cast(docs.schema["n_chars"].dataType), held["n_chars"])
+    return found.select(*[new.get(c, held[c]).alias(c) for c in docs.columns])
 
 
 def redacted() -> Column:

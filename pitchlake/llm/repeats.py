@@ -59,6 +59,8 @@ def runs_of(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
 
 def with_rows(docs: DataFrame, facts: DataFrame, columns: list[str], how: str) -> DataFrame:
     """(doc_id, text, facts): documents with the facts (array of structs) known about their (doc_id, text_key)."""
+    # rows that repeat a document repeat its facts
+    facts = facts.select("doc_id", "text_key", *columns).distinct()
     grouped = facts.groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct(*columns)).alias("facts"))
     rows = documents_of(docs)
     return rows.join(grouped, (rows["doc_id"] == grouped["__doc"]) & (F.xxhash64(rows["text"]) == grouped["__key"]), how).select("doc_id", "text", "facts")
