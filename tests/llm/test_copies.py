@@ -181,3 +181,35 @@ def test_nearest_neighbours_of_few_and_none(spark):
     assert neighbours.nearest(spark.createDataFrame([], schema)).collect() == []
     few = neighbours.nearest(spark.createDataFrame([(100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0])], schema)).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in few) == [(100, 1, 1), (100, 2, 2)]
+
+
+@pytest.mark.parametrize("n", [11, 12, 19, 30])
+def test_nearest_neighbours_of_small_tables_are_complete(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i * 10, [float(x) for x in rng.standard_normal(4)]) for i in range(n)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    queries = [i for i, _ in rows if i % 100 == 0]
+    assert {(r.query_id, r["rank"]) for r in got} == {(q, k) for q in queries for k in range(1, 11)}
+
+
+def test_stages_with_awkward_column_names(spark):
+    from pitchlake.llm import mixing, personal
+
+    rows = [(1, "write to a@b.cd now", "s", 3, "x", "y", "z"), (1, "write to a@b.cd now", "s", 3, "x", "y", "z"), (2, None, None, 0, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, `a.b` string, __ string, __doc string")
+    one = jaccard.one_of_each(docs)
+    assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect()) == [1, 2]
+    clean = personal.redact(docs)
+    assert clean.columns == docs.columns and {(r.text, r.n_chars, r["a.b"], r["__"]) for r in clean.collect()} == {
+        ("write to [email] now", 20, "x", "y"), (None, 0, None, None)}
+    assert {(r["a.b"], r.size) for r in mixing.mix_sources(docs, carry=("doc_id", "a.b", "__doc")).collect()} == {("x", 4), (None, 0)}
+
+
+def test_repeated_rows_of_repeats_stay_few(spark):
+    """Rows that repeat a document share its facts instead of multiplying them."""
+    import random
+    rng = random.Random(2)
+    passage = fx.prose(rng, 70)
+    rows = [(1, passage)] + [(2, fx.prose(random.Random(3), 30) + " " + passage)] * 300
+    got = repeats.remove_repeats(fx.documents(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got) == kept_by_brute_force(rows, 50)
