@@ -457,8 +457,10 @@ def line_crossings(segments: DataFrame) -> DataFrame:
 
 def merge_collinear(segments: DataFrame, gap: float = 10.0, key: str = "orientation") -> DataFrame:
     """Join neighbouring segments of one orientation in a frame, in order of their midpoints along
-    the main axis, while midpoints are closer than twice the gap. The fold runs inside one row per
-    (frame, orientation), which holds the line segments of a single image."""
+    the main axis, while midpoints are closer than twice the gap. A joined segment runs between the two
+    end points that lie furthest apart along its main axis (x if it is flat, else y): both are end
+    points of segments that went into it. The fold runs inside one row per (frame, orientation),
+    which holds the line segments of a single image."""
     angle = F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
     rows = segments.withColumns({"mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2,
                                  "angle": angle})
@@ -469,16 +471,15 @@ def merge_collinear(segments: DataFrame, gap: float = 10.0, key: str = "orientat
         F.when(along_y, p["my"]).otherwise(p["mx"]).alias("k"), p["seq"].alias("seq"),
         p["x1"].alias("x1"), p["y1"].alias("y1"), p["x2"].alias("x2"), p["y2"].alias("y2"))))
     groups = groups.withColumn("s", ordered)
+    ends = "array(" + ", ".join(f"named_struct('along', if(abs(a) < {np.pi / 4}D, {p}.x{i}, {p}.y{i}), 'x', {p}.x{i}, 'y', {p}.y{i})"
+                                for p in ("acc.cur", "n") for i in (1, 2)) + ")"
     fold = F.expr(f"""aggregate(slice(s, 2, size(s)),
         named_struct('done', cast(array() as array<struct<x1:double,y1:double,x2:double,y2:double>>),
                      'cur', named_struct('x1', s[0].x1, 'y1', s[0].y1, 'x2', s[0].x2, 'y2', s[0].y2)),
         (acc, n) -> CASE WHEN
             pow((acc.cur.x1 + acc.cur.x2 - n.x1 - n.x2) / 2, 2) + pow((acc.cur.y1 + acc.cur.y2 - n.y1 - n.y2) / 2, 2) < pow({2 * gap}D, 2)
-          THEN named_struct('done', acc.done, 'cur', named_struct(
-            'x1', least(acc.cur.x1, acc.cur.x2, n.x1, n.x2),
-            'y1', CASE WHEN acc.cur.x1 - least(acc.cur.x1, acc.cur.x2, n.x1, n.x2) < 1 THEN acc.cur.y1 ELSE n.y1 END,
-            'x2', greatest(acc.cur.x1, acc.cur.x2, n.x1, n.x2),
-            'y2', CASE WHEN greatest(acc.cur.x1, acc.cur.x2, n.x1, n.x2) - acc.cur.x2 < 1 THEN acc.cur.y2 ELSE n.y2 END))
+          THEN named_struct('done', acc.done, 'cur', named_struct('x1', array_min({ends}).x, 'y1', array_min({ends}).y,
+                                                                  'x2', array_max({ends}).x, 'y2', array_max({ends}).y))
           ELSE named_struct('done', array_append(acc.done, acc.cur),
                             'cur', named_struct('x1', n.x1, 'y1', n.y1, 'x2', n.x2, 'y2', n.y2)) END,
         acc -> array_append(acc.done, acc.cur))""")

@@ -236,3 +236,15 @@ def test_errors_reach_the_hook(spark, tmp_path):
     assert "disk is gone" in errors[0] and seen[-1]["rows"] == 5
     events = spark.read.schema(live.EVENT).parquet(f"{root}/events").collect()
     assert [(r.event, r.match_id, r.epoch, r.rows, r.last_frame) for r in events] == [("batch", 1, 0, 5, 4)]
+
+
+def test_joined_segments_end_in_real_points(spark):
+    """Flat pieces of one line, out of order and turned round, and a steep pair; a far piece stays by itself."""
+    rows = [(1, 1, 0, "flat", 12.0, 50.0, 4.0, 51.0), (1, 1, 1, "flat", 10.0, 52.0, 20.0, 53.0), (1, 1, 2, "flat", 0.0, 400.0, 9.0, 401.0),
+            (1, 1, 3, "steep", 5.0, 10.0, 6.0, 0.0), (1, 1, 4, "steep", 7.0, 8.0, 6.5, 19.0)]
+    df = spark.createDataFrame(rows, "match_id long, frame long, seq long, orientation string, x1 double, y1 double, x2 double, y2 double")
+    # a turned piece would tilt the mean angle by half a turn
+    df = df.selectExpr("match_id", "frame", "seq", "orientation", *[
+        f"if(orientation = 'flat' AND x1 > x2 OR orientation = 'steep' AND y1 > y2, {b}, {a}) AS {a}" for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))])
+    got = sorted((r.orientation, r.x1, r.y1, r.x2, r.y2) for r in keypoints.merge_collinear(df).collect())
+    assert got == [("flat", 0.0, 400.0, 9.0, 401.0), ("flat", 4.0, 51.0, 20.0, 53.0), ("steep", 6.0, 0.0, 6.5, 19.0)]
