@@ -8,6 +8,7 @@ from ..functions import columns as fn
 from ..functions.columns import rounded as R
 from ..operators import machine
 from ..operators import ownership as ow
+from ..operators import sticky as sticky_rules
 from ..operators import tracks as tr
 from .registry import query
 from .views import CTES
@@ -137,7 +138,7 @@ def ball_frames(v):
 
 
 def sticky(v):
-    return v.once("sticky", lambda: machine.sticky_possession(
+    return v.once("sticky", lambda: sticky_rules.sticky_possession(
         v.once("ball_frames", lambda: ball_frames(v)), control=600.0, gap=10.0, hold_distance=400.0, dominance=0.4, window=4))
 
 
@@ -148,7 +149,7 @@ def _(v):
 
 @query("A37_assigned_share")
 def _(v):
-    return machine.assigned_share(sticky(v))
+    return sticky_rules.assigned_share(sticky(v))
 
 
 @query("G5_greedy_match")

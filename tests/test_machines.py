@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pitchlake.operators import machine, tracks
+from pitchlake.operators import machine, sticky, tracks
 from pitchlake.streaming import live
 from tests import restated
 
@@ -115,8 +115,8 @@ def test_sticky_possession_in_blocks(spark):
     rows = frames_of(random.Random(9), 160)
     schema = "match_id long, frame long, ball_x double, ball_y double, players array<struct<track_id:long,x:double,y:double,team:int>>"
     df = spark.createDataFrame(rows, schema)
-    whole = [tuple(r) for r in machine.sticky_possession(df).orderBy("frame").collect()]
-    cut = [tuple(r) for r in machine.sticky_possession(df, block_rows=11, block_frames=16).orderBy("frame").collect()]
+    whole = [tuple(r) for r in sticky.sticky_possession(df).orderBy("frame").collect()]
+    cut = [tuple(r) for r in sticky.sticky_possession(df, block_rows=11, block_frames=16).orderBy("frame").collect()]
     assert whole == cut
     assert {r[2] for r in whole} >= {"team_A_possession", "team_B_possession", "no_possession"}
 
@@ -201,8 +201,27 @@ def test_sticky_hold_keeps_the_owner(spark):
     rows += [(1, 9, 110.0, 100.0, near)] + [(1, f, *far, near) for f in range(10, 14)]
     rows += [(1, f, None, None, near) for f in range(14, 22)]
     schema = "match_id long, frame long, ball_x double, ball_y double, players array<struct<track_id:long,x:double,y:double,team:int>>"
-    got = {r.frame: r for r in machine.sticky_possession(spark.createDataFrame(rows, schema)).collect()}
+    got = {r.frame: r for r in sticky.sticky_possession(spark.createDataFrame(rows, schema)).collect()}
     assert got[3].state == "no_possession" and got[4].state == "team_A_possession" and got[4].player == 1
     assert [got[f].credit_0 for f in (6, 7, 8)] == [1, 1, 1]     # credited while hidden
     assert got[8].state == "team_A_possession"
     assert got[20].state == "dead_ball"                          # seventh frame without a ball
+
+
+def test_sticky_possession_of_awkward_frames(spark):
+    """No players, no teams, two players equally near, no frames at all; a stretch without the ball that is credited afterwards."""
+    schema = "match_id long, frame long, ball_x double, ball_y double, players array<struct<track_id:long,x:double,y:double,team:int>>"
+    alone = [(7, 100.0, 100.0, 1)]
+    rows = [(1, 0, 100.0, 100.0, None), (1, 1, 100.0, 100.0, []), (1, 2, None, None, alone)]
+    rows += [(2, f, 100.0, 100.0, [(7, 100.0, 100.0, 0), (8, 100.0, 105.0, 1)]) for f in range(6)]
+    rows += [(3, f, 100.0, 100.0, [(7, 100.0, 100.0, None)]) for f in range(6)]
+    got = {(r.match_id, r.frame): r for r in sticky.sticky_possession(spark.createDataFrame(rows, schema), block_rows=2, block_frames=4).collect()}
+    assert [got[1, f].state for f in range(3)] == ["no_possession"] * 3
+    assert [got[2, f].state for f in range(6)] == ["no_possession"] * 4 + ["contested"] * 2
+    assert [got[2, f].changed for f in range(6)] == [False] * 4 + [True, False]
+    assert {got[3, f].state for f in range(6)} == {"no_possession"} and {got[3, f].assigned_team for f in range(6)} == {None}
+    assert sticky.sticky_possession(spark.createDataFrame([], schema)).collect() == []
+    share = sticky.assigned_share(sticky.sticky_possession(spark.createDataFrame(
+        [(4, f, 100.0, 100.0, alone) if f not in (6, 7) else (4, f, None, None, alone) for f in range(10)], schema))).first()
+    # frames 4, 5, 8 and 9 are settled; the hidden frames 6 and 7 count as possession too
+    assert (share.frames, share.assigned_1, share.possession_1, share.of_assigned_1) == (10, 4, 6, 1.0)
