@@ -6,7 +6,7 @@ normalising work on at most a few thousand cells per team, however many points t
 
 from __future__ import annotations
 
-import math
+import numpy as np
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,35 +109,42 @@ def normalised(cells: DataFrame, frames: DataFrame) -> DataFrame:
         *CELL, share(F.col("__max")).alias("by_max"), share(F.col("__sum")).alias("by_sum"), share(F.col("num_frames")).alias("by_frames"))
 
 
-def _kernel(n: int, sigma: float) -> list[list[float]]:
-    """weight[source][target] of a truncated Gaussian on n cells with reflected edges."""
+def _kernel(n: int, sigma: float) -> np.ndarray:
+    """weight[target, source] of a truncated Gaussian on n cells with reflected edges."""
     radius = int(4.0 * sigma + 0.5)
-    raw = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-radius, radius + 1)]
-    norm = sum(raw)
-    table = [[0.0] * n for _ in range(n)]
-    for target in range(n):
-        for d in range(-radius, radius + 1):
-            source = (target + d) % (2 * n)
-            source = 2 * n - 1 - source if source >= n else source
-            table[source][target] += raw[d + radius] / norm
+    offsets = np.arange(-radius, radius + 1)
+    raw = np.exp(-0.5 * (offsets / sigma) ** 2)
+    source = (np.arange(n)[:, None] + offsets) % (2 * n)
+    table = np.zeros((n, n))
+    np.add.at(table, (np.arange(n)[:, None], np.where(source >= n, 2 * n - 1 - source, source)), raw / raw.sum())
     return table
 
 
 def gaussian(cells: DataFrame, sigma: float = 2.0, nx: int = 50, ny: int = 50) -> DataFrame:
     """Separable Gaussian smoothing over cells; every cell of a (match, team) comes out.
 
-    A column of the grid is one row with its cells as an array, smoothed along y; the columns of a
-    team are then one row, smoothed along x. A row never holds more than the grid.
+    A (match, team) is one row with its cells as an array, which the grid bounds. The grids of an Arrow batch are
+    stacked, a few million cells at a time, and smoothed by two matrix products. A null weight counts as 0.
     """
-    down, along = F.lit(_kernel(ny, sigma)), F.lit(_kernel(nx, sigma))
-    total = lambda entries, part: F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + part(e))
-    column = cells.groupBy(*GROUP, "ix").agg(F.collect_list(F.struct("iy", F.col("weight").cast("double").alias("w"))).alias("e"))
-    column = column.select(*GROUP, "ix", F.transform(F.sequence(F.lit(0), F.lit(ny - 1)), lambda t: total(
-        F.col("e"), lambda e: e["w"] * F.get(F.get(down, e["iy"]), t))).alias("col"))
-    grid = column.groupBy(*GROUP).agg(F.collect_list(F.struct("ix", "col")).alias("e"))
-    line = grid.select(*GROUP, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(ny - 1)), lambda y: F.transform(
-        F.sequence(F.lit(0), F.lit(nx - 1)), lambda t: total(F.col("e"), lambda e: F.get(e["col"], y) * F.get(F.get(along, e["ix"]), t))))).alias("iy", "line"))
-    return line.select(*GROUP, "iy", F.posexplode("line").alias("ix", "weight")).select(*CELL, "weight")
+    down, along = _kernel(ny, sigma), _kernel(nx, sigma)
+    step = max(1, (1 << 21) // (nx * ny))
+    grids = cells.groupBy(*GROUP).agg(F.collect_list(F.struct(
+        (F.col("iy") * nx + F.col("ix")).cast("int").alias("at"), F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("w"))).alias("e"))
+    kinds = ", ".join(f"{n} {cells.schema[n].dataType.simpleString()}" for n in GROUP)
+
+    def smooth(batches):
+        for pdf in batches:
+            for start in range(0, len(pdf), step):
+                part = pdf.iloc[start:start + step]
+                flat = np.zeros((len(part), ny * nx))
+                for row, at, weight in zip(flat, part["at"], part["w"]):
+                    np.add.at(row, at, weight)
+                done = down @ flat.reshape(-1, ny, nx) @ along.T
+                yield part[GROUP].assign(weight=list(done.reshape(len(part), -1)))
+
+    done = scan.spread_tasks(grids, GROUP).select(*GROUP, "e.at", "e.w").mapInPandas(smooth, f"{kinds}, weight array<double>")
+    flat = done.select(*GROUP, F.posexplode("weight").alias("__at", "weight"))
+    return flat.withColumns({"iy": F.expr(f"CAST(__at DIV {nx} AS INT)"), "ix": F.col("__at") % nx}).select(*CELL, "weight")
 
 
 def masked_cells(spark, nx: int = 50, ny: int = 50, goal_margin: float = pitch.GOAL_LINE_MARGIN,

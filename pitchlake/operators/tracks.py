@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,21 +82,47 @@ def smoothing_stats(rows: DataFrame, n: int = 30) -> DataFrame:
 
 # ---- Kalman smoothing ------------------------------------------------------------------------
 
-def _gains(noise: np.ndarray, p: float, q: float) -> np.ndarray:
-    """Gain of every update from the error before the first one; the error follows from the noise alone."""
-    out = np.empty(len(noise))
-    for i, level in enumerate(noise.tolist()):
-        out[i] = k = (p + q) / (p + q + level)
-        p = (1.0 - k) * (p + q)
-    return out
+STACK = 1 << 20  # numbers per measurement column that a task holds at a time
 
 
-def _updates(pdf: pd.DataFrame, r: float, single_update: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Noise and row number of each update of a block's rows."""
-    conf = pdf["conf"].to_numpy()
-    noise = np.where(conf < 1.0, r / (conf + 0.1), r)
-    rows = np.arange(len(pdf))
-    return (noise, rows) if single_update else (np.stack([np.full(len(noise), r), noise], axis=1).ravel(), np.repeat(rows, 2))
+def _stacks(batches, columns: list[str]):
+    """Blocks of Arrow batches, each row of which is a block with arrays, as matrices with a row per measurement.
+
+    Blocks of similar length are stacked side by side and padded, up to `STACK` numbers a matrix (or one block). Yields
+    the rows, their lengths and a matrix per column: time runs down, blocks run across.
+    """
+    for pdf in batches:
+        pdf = pdf.iloc[np.argsort(pdf["conf"].map(len).to_numpy(), kind="stable")].reset_index(drop=True)
+        size, start = pdf["conf"].map(len).to_numpy(), 0
+        while start < len(pdf):
+            stop = start + 1
+            while stop < len(pdf) and (stop + 1 - start) * size[stop] <= STACK:
+                stop += 1
+            part, length = pdf.iloc[start:stop], size[start:stop]
+            grid = {}
+            for name in columns:
+                grid[name] = np.zeros((length[-1], stop - start))
+                for i, values in enumerate(part[name]):
+                    grid[name][:len(values), i] = values
+            yield part, length, grid
+            start = stop
+
+
+def _noise(conf: np.ndarray, r: float, single_update: bool) -> list[np.ndarray]:
+    """Noise of the updates of each measurement."""
+    second = np.where(conf < 1.0, r / (conf + 0.1), r)
+    return [second] if single_update else [np.full_like(second, r), second]
+
+
+def _advance(state: np.ndarray, p: np.ndarray, z: np.ndarray, noise: list[np.ndarray], row: int, live: np.ndarray, q: float):
+    """One measurement of all blocks: `state` is (position and velocity, sequence, block); blocks that are over stay as they are."""
+    for level in noise:
+        gain = (p + q) / (p + q + level[row])
+        ahead = state[0] + state[1]
+        miss = gain * (z - ahead)
+        state = np.where(live, np.stack([ahead + miss, state[1] + miss]), state)
+        p = np.where(live, (1.0 - gain) * (p + q), p)
+    return state, p
 
 
 #: The error after a block is (a p + b) / (c p + d); summaries of blocks compose as 2 x 2 matrices, scaled to stay finite.
@@ -124,51 +149,57 @@ def kalman_smooth(rows: DataFrame, q: float = 0.01, r: float = 1.0, single_updat
     pos = scan.with_position(rows.select(*TRACK, *ORDER, "x", "y", "conf"), TRACK, ORDER,
                              scan.block_of("frame", block_frames))
     block = [*TRACK, scan.BLOCK]
-    cut = durable(scan.spread_tasks(pos.withColumn(scan.BLOCK, F.floor((F.col("__pos") - 1) / block_rows)), block))
+    cut = scan.spread_tasks(pos.withColumn(scan.BLOCK, F.floor((F.col("__pos") - 1) / block_rows)), block)
+    point = F.struct("__pos", *ORDER, *[F.col(n).cast("double").alias(n) for n in ("x", "y", "conf")])
+    # a row per block; its arrays hold at most block_rows values
+    packed = durable(cut.groupBy(*block).agg(F.array_sort(F.collect_list(point)).alias("e")).select(
+        *block, *[F.col(f"e.{n}").alias(n) for n in (*ORDER, "x", "y", "conf")]))
     keys = f"match_id long, track_id long, {scan.BLOCK} long"
 
-    def error_summary(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__pos")
-        a, b, c, d = 1.0, 0.0, 0.0, 1.0
-        for level in _updates(pdf, r, single_update)[0].tolist():  # p -> level (p + q) / (p + q + level)
-            a, b, c, d = level * (a + q * c), level * (b + q * d), a + (q + level) * c, b + (q + level) * d
-            scale = c + d
-            a, b, c, d = a / scale, b / scale, c / scale, d / scale
-        return pd.DataFrame([(*key, a, b, c, d, pdf["x"].iloc[0], pdf["y"].iloc[0])], columns=[*block, "a", "b", "c", "d", "x0", "y0"])
-
-    def filtered(pdf: pd.DataFrame, p: float, state: np.ndarray) -> np.ndarray:
-        """States after each row; `state` has position and velocity in its columns, one row per sequence to run."""
-        noise, row = _updates(pdf, r, single_update)
-        z = np.stack([pdf["x"].to_numpy(), pdf["y"].to_numpy(), np.zeros(len(pdf)), np.zeros(len(pdf))], axis=1)
-        out = np.empty((len(pdf), *state.shape))
-        for k, i in zip(_gains(noise, p, q).tolist(), row.tolist()):
-            ahead = state[:, 0] + state[:, 1]
-            miss = k * (z[i, :len(state)] - ahead)
-            state = np.stack([ahead + miss, state[:, 1] + miss], axis=1)
-            out[i] = state
-        return out
-
-    def state_summary(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def error_summary(batches):
+        for part, length, grid in _stacks(batches, ["conf"]):
+            m = np.stack([np.ones(len(part)), np.zeros(len(part)), np.zeros(len(part)), np.ones(len(part))])
+            noise = _noise(grid["conf"], r, single_update)
+            for row in range(length[-1]):
+                for level in (n[row] for n in noise):  # p -> level (p + q) / (p + q + level)
+                    a, b, c, d = m
+                    after = np.stack([level * (a + q * c), level * (b + q * d), a + (q + level) * c, b + (q + level) * d])
+                    m = np.where(row < length, after / (after[2] + after[3]), m)
+            yield part[block].assign(a=m[0], b=m[1], c=m[2], d=m[3], x0=part["x"].map(lambda v: v[0]), y0=part["y"].map(lambda v: v[0]))
+
+    def state_summary(batches):
         # x and y from rest, and the two unit states without measurements
-        end = filtered(left.sort_values("__pos"), right["p"].iloc[0], np.array([[0.0, 0], [0, 0], [1, 0], [0, 1]]))[-1]
-        (ox, ux), (oy, uy), (pp, vp), (pv, vv) = end
-        return pd.DataFrame([(*key, pp, pv, vp, vv, ox, ux, oy, uy)], columns=[*block, "pp", "pv", "vp", "vv", "ox", "ux", "oy", "uy"])
-
-    def smooth(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, s = left.sort_values("__pos"), right.iloc[0]
-        out = filtered(left, s["p"], np.array([[s["px"], s["vx"]], [s["py"], s["vy"]]]))
-        return left[[*TRACK, *ORDER]].assign(smooth_x=out[:, 0, 0], smooth_y=out[:, 1, 0], vel_x=out[:, 0, 1], vel_y=out[:, 1, 1])
-
-    groups = cut.groupBy(*block)
-    errors = groups.applyInPandas(error_summary, f"{keys}, a double, b double, c double, d double, x0 double, y0 double")
+        for part, length, grid in _stacks(batches, ["x", "y", "conf"]):
+            n, noise, p = len(part), _noise(grid["conf"], r, single_update), part["p"].to_numpy()
+            state = np.zeros((2, 4, n))
+            state[0, 2] = state[1, 3] = 1.0
+            for row in range(length[-1]):
+                z = np.stack([grid["x"][row], grid["y"][row], np.zeros(n), np.zeros(n)])
+                state, p = _advance(state, p, z, noise, row, row < length, q)
+            (ox, oy, pp, pv), (ux, uy, vp, vv) = state
+            yield part[block].assign(pp=pp, pv=pv, vp=vp, vv=vv, ox=ox, ux=ux, oy=oy, uy=uy)
+
+    def smooth(batches):
+        for part, length, grid in _stacks(batches, ["x", "y", "conf"]):
+            noise, p = _noise(grid["conf"], r, single_update), part["p"].to_numpy()
+            state = np.array([[part["px"], part["py"]], [part["vx"], part["vy"]]])
+            out = np.empty((length[-1], 4, len(part)))
+            for row in range(length[-1]):
+                state, p = _advance(state, p, np.stack([grid["x"][row], grid["y"][row]]), noise, row, row < length, q)
+                out[row] = state.reshape(4, -1)
+            names = ("smooth_x", "smooth_y", "vel_x", "vel_y")
+            yield part[[*TRACK, *ORDER]].assign(**{name: [out[:k, j, i] for i, k in enumerate(length)] for j, name in enumerate(names)})
+
+    errors = packed.mapInPandas(error_summary, f"{keys}, a double, b double, c double, d double, x0 double, y0 double")
     first = Window.partitionBy(*TRACK).orderBy(scan.BLOCK)  # one row per block
     errors = durable(errors.select(*block, F.expr(_ERROR_BEFORE).alias("p"), F.first("x0").over(first).alias("x0"), F.first("y0").over(first).alias("y0")))
-    states = groups.cogroup(errors.select(*block, "p").groupBy(*block)).applyInPandas(
+    states = packed.join(errors.select(*block, "p"), block).mapInPandas(
         state_summary, f"{keys}, pp double, pv double, vp double, vv double, ox double, ux double, oy double, uy double")
     entries = durable(states.join(errors, block).select(*block, "p", F.expr(_STATE_BEFORE).alias("s")).select(*block, "p", "s.*"))
-    return groups.cogroup(entries.groupBy(*block)).applyInPandas(
-        smooth, "match_id long, track_id long, frame long, seq long, smooth_x double, smooth_y double, "
-                "vel_x double, vel_y double")
+    names = ("smooth_x", "smooth_y", "vel_x", "vel_y")
+    done = packed.join(entries, block).mapInPandas(
+        smooth, f"match_id long, track_id long, frame array<long>, seq array<long>, {', '.join(f'{n} array<double>' for n in names)}")
+    return done.select(*TRACK, F.inline(F.arrays_zip(*ORDER, *names)))
 
 
 # ---- re-identification -----------------------------------------------------------------------

@@ -68,7 +68,7 @@ _KAL = f"""WITH RECURSIVE kal AS ({_filtered("SELECT *, zx AS x, zy AS y, 0.0::D
 
 
 def smoothed(v):
-    return v.once("smoothed", lambda: tr.kalman_smooth(pts(v), block_rows=64))
+    return v.once("smoothed", lambda: tr.kalman_smooth(pts(v)))
 
 
 @query("A28_smoothing_stats", f"""{_KAL} SELECT match_id, track_id, round(avg(sqrt(vx * vx + vy * vy)), 4) AS avg_velocity, round(max(sqrt(vx * vx + vy * vy)), 4) AS max_velocity, round(avg(conf), 6) AS avg_conf, round(min(conf), 6) AS min_conf

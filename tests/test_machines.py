@@ -56,6 +56,19 @@ def test_kalman_in_blocks(spark):
     assert [got[r[3]] for r in rows] == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("block", [7, 50_000])
+def test_kalman_of_tracks_of_many_lengths(spark, block):
+    """Blocks of different lengths run side by side; each track must come out as if alone."""
+    rng = random.Random(21)
+    rows = [r for t, n in enumerate((1, 2, 6, 7, 8, 40, 133)) for r in walk(rng, t, n)]
+    got = {(r.track_id, r.seq): r.smooth_x for r in tracks.kalman_smooth(spark.createDataFrame(rows, SCHEMA), block_rows=block).collect()}
+    assert len(got) == len(rows)
+    for t in range(7):
+        mine = [r for r in rows if r[1] == t]
+        assert [got[t, r[3]] for r in mine] == pytest.approx(restated.kalman([r[4] for r in mine], [r[6] for r in mine]), abs=1e-9)
+    assert tracks.kalman_smooth(spark.createDataFrame([], SCHEMA), block_rows=block).collect() == []
+
+
 @pytest.mark.parametrize("block", [3, 50_000])
 def test_rate_limit(spark, block):
     rng = random.Random(2)
