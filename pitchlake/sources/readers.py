@@ -1,5 +1,8 @@
 """Readers for stored match outputs. Match and batch come from the path, which may be
-`<match>/detections_batch_0007.json` or `match_id=<match>/batch_idx=7/part-*.txt`."""
+`match_id=<match>/batch_idx=7/part-*.txt` or `<match>/detections_batch_0007.json`.
+
+Folders of the first form are partitions: a filter on match_id or batch_idx lists and reads the folders it names only.
+In the second form match and batch are cut out of every path."""
 
 from __future__ import annotations
 
@@ -8,24 +11,46 @@ from pyspark.sql import functions as F
 
 from . import schema
 
-
-def _from_path(df: DataFrame) -> DataFrame:
-    path = F.col("_metadata.file_path")
-    pick = lambda pattern: F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
+PLACE = ["match_id", "batch_idx"]
+
+
+def partitioned(spark: SparkSession, path: str) -> bool:
+    """Whether the folder's first subfolder is named `match_id=...`."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    entries = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatusIterator(folder)
+    while entries.hasNext():
+        entry = entries.next()
+        if entry.isDirectory() and not entry.getPath().getName().startswith(("_", ".")):
+            return entry.getPath().getName().startswith("match_id=")
+    return False
+
+
+def _documents(spark: SparkSession, path: str, pattern: str, columns: str, form: str = "json", **options) -> DataFrame:
+    """The files that match `pattern`, with match_id and batch_idx; `columns` is the schema of a document.
+
+    Outside of partitions a batch number inside a document goes before that of its path. A folder without such files
+    reads as an empty table, so absent files are not an error.
+    """
+    reader = spark.read.option("pathGlobFilter", pattern).options(**options).format(form)
+    if partitioned(spark, path):
+        inner = columns.removeprefix("batch_idx bigint, ")
+        rows = reader.schema(f"{inner}, match_id string, batch_idx bigint").load(path)
+        return rows.select(*PLACE, *[c for c in rows.columns if c not in PLACE])
+    file = F.col("_metadata.file_path")
+    pick = lambda regex: F.nullif(F.regexp_extract(file, regex, 1), F.lit(""))
     match = F.coalesce(pick("match_id=([^/]+)/"), pick("([^/]+)/[^/]+$"))
-    batch = F.coalesce(pick("batch_idx=([0-9]+)/"), pick("_batch_([0-9]+)"))
-    return df.select(match.alias("match_id"), batch.cast("long").alias("batch_idx"), "*")
-
-
-def _reader(spark: SparkSession, pattern: str):
-    # a folder with no file of the pattern reads as an empty table, so absent files are not an error
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    batch = F.coalesce(pick("batch_idx=([0-9]+)/"), pick("_batch_([0-9]+)")).cast("long")
+    rows = reader.option("recursiveFileLookup", "true").schema(columns).load(path)
+    if "batch_idx" in rows.columns:
+        rows, batch = rows.withColumnRenamed("batch_idx", "__batch"), F.coalesce("__batch", batch)
+    return rows.select(match.alias("match_id"), batch.alias("batch_idx"), *[c for c in rows.columns if c != "__batch"])
 
 
 def read_detections(spark: SparkSession, path: str, pattern: str = "detections_batch_*") -> DataFrame:
     """Documents `{frame: record}`, one per batch, as a row per object."""
-    docs = _reader(spark, pattern).text(path, wholetext=True)
-    rec = _from_path(docs).select("match_id", "batch_idx", F.explode(
+    docs = _documents(spark, path, pattern, "value string", "text", wholetext=True)
+    rec = docs.select("match_id", "batch_idx", F.explode(
         F.from_json("value", schema.DETECTION_DOCUMENT)).alias("key", "r"))
     seq = F.posexplode("r.objects").alias("seq", "o")
     rows = rec.select("match_id", "batch_idx", F.col("key").cast("long").alias("frame"),
@@ -36,23 +61,21 @@ def read_detections(spark: SparkSession, path: str, pattern: str = "detections_b
 
 
 def read_positions(spark: SparkSession, path: str, pattern: str = "positions_batch_*") -> DataFrame:
-    rows = _reader(spark, pattern).schema(schema.POSITION).json(path, multiLine=True)
+    rows = _documents(spark, path, pattern, schema.POSITION, multiLine=True)
     xy = lambda name, i: F.get(name, F.lit(i))
-    return _from_path(rows).withColumns({
+    return rows.withColumns({
         "x": xy("position", 0), "y": xy("position", 1),
         "field_x": xy("field_position", 0), "field_y": xy("field_position", 1)}).drop("position", "field_position")
 
 
 def read_events(spark: SparkSession, path: str, pattern: str = "events_batch_*") -> DataFrame:
     """Events of all batches; batches without a file had none."""
-    return _from_path(_reader(spark, pattern).schema(schema.EVENT).json(path, multiLine=True))
+    return _documents(spark, path, pattern, schema.EVENT, multiLine=True)
 
 
 def read_chunk_stats(spark: SparkSession, path: str, pattern: str = "stats_batch_*") -> DataFrame:
-    rows = _reader(spark, pattern).schema(schema.CHUNK_STATS).json(path, multiLine=True)
-    match = _from_path(rows.withColumnRenamed("batch_idx", "__b"))
-    return match.select("match_id", F.col("__b").alias("batch_idx"), "start_frame", "end_frame",
-                        "processing_time_ms", "chunk_stats.*")
+    rows = _documents(spark, path, pattern, schema.CHUNK_STATS, multiLine=True)
+    return rows.select("match_id", "batch_idx", "start_frame", "end_frame", "processing_time_ms", "chunk_stats.*")
 
 
 def throughput(stats: DataFrame, fps: float = 30.0) -> DataFrame:
@@ -98,7 +121,7 @@ def state_summary(state: DataFrame) -> DataFrame:
 
 def read_heatmap_points(spark: SparkSession, path: str) -> DataFrame:
     """Point exports with one list per team, as one table."""
-    docs = _from_path(spark.read.option("recursiveFileLookup", "true").schema(schema.HEATMAP_POINTS).json(path, multiLine=True))
+    docs = _documents(spark, path, "*", schema.HEATMAP_POINTS, multiLine=True)
     parts = [docs.select("match_id", F.lit(t).alias("team"), F.inline(f"team_{t}")) for t in (0, 1)]
     return parts[0].unionByName(parts[1]).select(
         "match_id", "team", "frame", "track_id", F.get("position", F.lit(0)).alias("x"),

@@ -12,7 +12,9 @@ from ..operators import spatial
 
 
 def _overwrite(df: DataFrame, path: str, *partitions: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # one task writes all of a partition, or every task would write a file into every partition; a partition is a
+    # batch of frames, or a match reduced to cells or a state, so it stays small
+    (df.repartition(*partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partitions).parquet(path))
 
 

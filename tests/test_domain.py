@@ -248,3 +248,24 @@ def test_joined_segments_end_in_real_points(spark):
         f"if(orientation = 'flat' AND x1 > x2 OR orientation = 'steep' AND y1 > y2, {b}, {a}) AS {a}" for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))])
     got = sorted((r.orientation, r.x1, r.y1, r.x2, r.y2) for r in keypoints.merge_collinear(df).collect())
     assert got == [("flat", 0.0, 400.0, 9.0, 401.0), ("flat", 4.0, 51.0, 20.0, 53.0), ("steep", 6.0, 0.0, 6.5, 19.0)]
+
+
+def test_partitioned_layout_prunes_and_files_do_not_grow_with_tasks(spark, tmp_path):
+    rows = [(m, f // 10, f, f, 100 + f) for m in ("a", "b", "7") for f in range(40)]
+    df = spark.createDataFrame(rows, "match_id string, batch_idx long, frame long, seq long, track_id long").repartition(8)
+    box = df.withColumns({n: F.lit(1.0) for n in ("x1", "y1", "x2", "y2")} | {"class_id": F.lit(0), "class_name": F.lit("player"), "team_id": F.lit(1)})
+    docs, points, chunks = (str(tmp_path / n) for n in ("docs", "points", "chunks"))
+    writers.write_detection_documents(box, docs)
+    writers.write_batch_documents(box, points, "frame", F.col("track_id").alias("player_id"), F.array("x1", "y1").alias("position"))
+    for found, value in ((readers.read_detections(spark, docs, "*.txt"), "track_id"), (readers.read_positions(spark, points, "*.txt"), "player_id")):
+        assert sorted((r.match_id, r.batch_idx, r.frame, r[value]) for r in found.collect()) == sorted((r[0], r[1], r[2], r[4]) for r in rows)
+        one = found.filter("match_id = '7' AND batch_idx = 2")
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        part = plan[plan.index("PartitionFilters: ["):].split("]")[0]
+        assert "match_id" in part and "batch_idx" in part
+        assert sorted(r.frame for r in one.collect()) == list(range(20, 30))
+    assert readers.read_events(spark, docs, "*.nothing").collect() == []
+    writers.write_chunk_outputs(chunks, detections=df)
+    writers.write_chunk_outputs(chunks, detections=df.filter("batch_idx = 1"))
+    assert len(list((tmp_path / "chunks").rglob("*.parquet"))) == 3 * 4
+    assert spark.read.parquet(f"{chunks}/detections").count() == len(rows)
