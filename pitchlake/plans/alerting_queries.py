@@ -123,30 +123,70 @@ def _(v):
     return al.significant_event(checks(v), 2.0)
 
 
+CTES["sums"] = """SELECT match_id, min(frame) AS frame FROM chp GROUP BY 1
+    UNION ALL SELECT match_id, nf FROM (SELECT s.match_id, (SELECT min(e.frame) FROM chp e WHERE e.match_id = s.match_id AND e.frame >= s.frame + 2700) AS nf FROM sums s) WHERE nf IS NOT NULL"""
+CTES["basic"] = """SELECT match_id, frame, 'dominance_' || team AS alert_key FROM (SELECT * FROM chkside WHERE pct >= 60 QUALIFY row_number() OVER (PARTITION BY match_id, frame ORDER BY team) = 1)
+    UNION ALL SELECT match_id, frame, 'drought_0' FROM past WHERE n >= 2 AND passes_0 - past_0 < 4
+    UNION ALL SELECT match_id, frame, 'drought_1' FROM past WHERE n >= 2 AND passes_1 - past_1 < 4
+    UNION ALL SELECT match_id, frame, 'swing_' || team FROM (SELECT * FROM chkside WHERE n >= 2 AND abs(pct - before) >= 15 QUALIFY row_number() OVER (PARTITION BY match_id, frame ORDER BY team) = 1)
+    UNION ALL SELECT match_id, frame, 'intensity' FROM checks WHERE total_frames >= 1800 AND (changes / (total_frames / 1800.0::DOUBLE) > 15 OR changes / (total_frames / 1800.0::DOUBLE) < 4)
+    UNION ALL SELECT match_id, frame, 'summary' FROM sums WHERE frame >= 1800"""
+
+
+CTES["sumrow"] = """SELECT c.*, c.frame // 1800 AS minute FROM checks c JOIN sums s ON s.match_id = c.match_id AND s.frame = c.frame WHERE c.frame >= 1800"""
+
+
+def _json(**values: str) -> str:
+    """SQL: a JSON object of texts."""
+    return "'{' || " + " || ',' || ".join(f"""'"{name}":"' || {value} || '"'""" for name, value in values.items()) + " || '}'"
+
+
+#: every alert of every check; at 1800 frames between checks the limit of one alert in 10 seconds drops none;
+#: texts round halves up, printf alone would round them to even
+_ALERTS = f"""{tq._FOCUS_AT.format(src='zchk')},
+    press AS (SELECT match_id, frame, home AS team, sum(frames) FILTER (team <> home) / nullif(sum(frames), 0) AS share FROM (
+        SELECT match_id, frame, CASE WHEN zone_id IN (0, 3, 6, 9) THEN 0 WHEN zone_id IN (2, 5, 8, 11) THEN 1 END AS home, team, frames FROM zchk) WHERE home IS NOT NULL GROUP BY 1, 2, 3),
+    rate AS (SELECT match_id, frame, changes, changes / (total_frames / 30.0::DOUBLE / 60.0::DOUBLE) AS cpm FROM checks WHERE total_frames >= 1800),
+    best AS (SELECT c.match_id, c.frame, d.team, d.length, replace(d.zones, ',', ', ') AS zones FROM chp c JOIN done d ON d.match_id = c.match_id AND d.closed_frame <= c.frame
+        WHERE d.length >= 5 QUALIFY row_number() OVER (PARTITION BY c.match_id, c.frame, d.team ORDER BY d.length DESC, d.chain) = 1),
+    made AS (
+    SELECT match_id, frame, 'possession' AS type, CASE WHEN pct >= 75 THEN 'warning' ELSE 'info' END AS severity, 'dominance' AS key, team, printf('Team %d dominates', team) AS title,
+        printf('Team %d holds the ball %.1f%% of the time against %.1f%%.', team, round(pct, 1), round(rival, 1)) AS message, {_json(percent='pct', rival='rival', difference='(pct - rival)')} AS data
+      FROM (SELECT * FROM chkside WHERE pct >= 60 QUALIFY row_number() OVER (PARTITION BY match_id, frame ORDER BY team) = 1)
+    UNION ALL SELECT match_id, frame, 'passing', 'warning', 'drought', team, printf('Team %d is not passing', team), printf('Team %d completed %d passes in the last 30 seconds.', team, made), {_json(passes='made')}
+      FROM (SELECT match_id, frame, n, 0 AS team, CAST(passes_0 - past_0 AS BIGINT) AS made FROM past UNION ALL SELECT match_id, frame, n, 1, CAST(passes_1 - past_1 AS BIGINT) FROM past) WHERE n >= 2 AND made < 4
+    UNION ALL SELECT match_id, frame, 'tactical', 'info', 'swing', team, printf('Momentum of team %d', team), printf('Team %d moved by %.1f points of possession since the last check.', team, round(pct - before, 1)),
+        {_json(swing='(pct - before)', percent='pct', previous='before')}
+      FROM (SELECT * FROM chkside WHERE n >= 2 AND abs(pct - before) >= 15 QUALIFY row_number() OVER (PARTITION BY match_id, frame ORDER BY team) = 1)
+    UNION ALL SELECT match_id, frame, 'tactical', 'info', 'intensity', NULL, 'Play is ' || CASE WHEN cpm > 15 THEN 'fragmented' ELSE 'controlled' END, printf('%.1f changes of possession per minute.', round(cpm, 1)),
+        {_json(changes_per_minute='cpm', changes='CAST(changes AS BIGINT)')} FROM rate WHERE cpm > 15 OR cpm < 4
+    UNION ALL SELECT match_id, frame, 'tactical', 'info', 'summary', NULL, printf('Minute %d', CAST(minute AS BIGINT)), printf('Possession %.1f%% to %.1f%%, passes %d to %d.', round(percent_0, 1), round(percent_1, 1), CAST(passes_0 AS BIGINT), CAST(passes_1 AS BIGINT)),
+        {_json(minute='CAST(minute AS BIGINT)', percent_0='percent_0', percent_1='percent_1', passes_0='CAST(passes_0 AS BIGINT)', passes_1='CAST(passes_1 AS BIGINT)')} FROM sumrow
+    UNION ALL SELECT match_id, frame, 'zone', 'warning', 'pressure', team, printf('Team %d under pressure', team), printf('The rival holds %.0f%% of the time in the defence of team %d.', round(share * 100), team),
+        {_json(rival_share='share')} FROM press WHERE share >= 0.55
+    UNION ALL SELECT match_id, frame, 'zone', 'info', 'concentration', team, printf('Team %d plays in few zones', team), array_to_string(dz, ', ') || printf(' (%.0f%%)', round(concentration * 100)),
+        {_json(concentration='concentration', pattern="CASE WHEN concentration > 0.70 THEN 'concentrated' WHEN concentration > 0.50 THEN 'focused' ELSE 'distributed' END")} FROM fo WHERE concentration >= 0.60 AND len(dz) <= 3
+    UNION ALL SELECT match_id, frame, 'tactical', 'info', 'shift', team, printf('Team %d changes its zones', team),
+        concat_ws(' and ', CASE WHEN len(nz) > 0 THEN 'more in ' || array_to_string(nz, ', ') END, CASE WHEN len(lz) > 0 THEN 'less in ' || array_to_string(lz, ', ') END),
+        {_json(new="array_to_string(nz, ',')", lost="array_to_string(lz, ',')")} FROM sx WHERE len(nz) + len(lz) > 0
+    UNION ALL SELECT match_id, frame, 'passing', 'info', 'chain', team, printf('Passing chain of team %d', team), printf('%d passes through %s.', length, zones), {_json(length='length')} FROM best),
+    told AS (SELECT *, concat_ws('_', key, team) AS alert_key, concat_ws('_', 'alert', match_id, frame, key, team) AS id FROM made)"""
+
+
 def all_alerts(v):
     return v.once("alerts", lambda: al.alert_table(checks(v), tq.zone_history(v), tq.chains(v)))
 
 
-@query("AL12_alert_table")
+@query("AL12_alert_table", f"""WITH {_ALERTS} SELECT match_id, frame, type, severity, alert_key, team, title, message, data, frame / 30.0::DOUBLE AS timestamp, id FROM told""")
 def _(v):
-    return all_alerts(v)
+    return all_alerts(v).withColumn("data", F.to_json("data"))
 
 
-@query("P30_alert_text")
+@query("P30_alert_text", f"WITH {_ALERTS} SELECT id, title, message FROM told")
 def _(v):
     return all_alerts(v).select("id", "title", "message")
 
 
-CTES["sums"] = """SELECT match_id, min(frame) AS frame FROM chp GROUP BY 1
-    UNION ALL SELECT match_id, nf FROM (SELECT s.match_id, (SELECT min(e.frame) FROM chp e WHERE e.match_id = s.match_id AND e.frame >= s.frame + 2700) AS nf FROM sums s) WHERE nf IS NOT NULL"""
-CTES["basic"] = """SELECT match_id, frame, 'dominance_' || team AS alert_key FROM (SELECT * FROM chkside WHERE pct >= 60 QUALIFY row_number() OVER (PARTITION BY match_id, frame ORDER BY team) = 1)
-    UNION ALL SELECT match_id, frame, 'drought_0' FROM past WHERE n >= 2 AND passes_0 - past_0 < 4
-    UNION ALL SELECT match_id, frame, 'drought_1' FROM past WHERE n >= 2 AND passes_1 - past_1 < 4
-    UNION ALL SELECT match_id, frame, 'swing_' || team FROM (SELECT * FROM chkside WHERE n >= 2 AND abs(pct - before) >= 15 QUALIFY row_number() OVER (PARTITION BY match_id, frame ORDER BY team) = 1)
-    UNION ALL SELECT match_id, frame, 'intensity' FROM checks WHERE total_frames >= 1800 AND (changes / (total_frames / 1800.0::DOUBLE) > 15 OR changes / (total_frames / 1800.0::DOUBLE) < 4)
-    UNION ALL SELECT match_id, frame, 'summary' FROM sums WHERE frame >= 1800"""
-
-
 def basic_alerts(v):
     """Alerts that need possession figures only."""
     return v.once("basic_alerts", lambda: al.alert_table(checks(v)))

@@ -355,7 +355,21 @@ def _(v):
     return out.select("match_id", "frame", "h_seq", "v_seq", R("x").alias("x"), R("y").alias("y"))
 
 
-@query("G4_merge_collinear")
+_ENDS = "list_sort([" + ", ".join(f"{{'along': CASE WHEN flat THEN {s}x{i} ELSE {s}y{i} END, 'x': {s}x{i}, 'y': {s}y{i}}}" for s in ("", "n") for i in (1, 2)) + "])"
+CTES.update({
+    "lrow": """SELECT *, row_number() OVER (PARTITION BY match_id, frame, orientation ORDER BY CASE WHEN flat THEN (y1 + y2) / 2 ELSE (x1 + x2) / 2 END, seq) AS rn
+        FROM (SELECT match_id, frame, seq, orientation, x1, y1, x2, y2, abs(avg(atan2(y2 - y1, x2 - x1)) OVER (PARTITION BY match_id, frame, orientation)) < pi() / 4 AS flat FROM lorient)""",
+    "lmerge": f"""SELECT match_id, frame, orientation, rn, flat, 0 AS part, x1, y1, x2, y2 FROM lrow WHERE rn = 1
+        UNION ALL SELECT match_id, frame, orientation, rn, flat, CASE WHEN near THEN part ELSE part + 1 END, CASE WHEN near THEN e[1].x ELSE nx1 END, CASE WHEN near THEN e[1].y ELSE ny1 END,
+          CASE WHEN near THEN e[4].x ELSE nx2 END, CASE WHEN near THEN e[4].y ELSE ny2 END FROM (
+          SELECT *, {_ENDS} AS e, pow((x1 + x2 - nx1 - nx2) / 2, 2) + pow((y1 + y2 - ny1 - ny2) / 2, 2) < pow(80, 2) AS near FROM (
+            SELECT m.match_id, m.frame, m.orientation, n.rn, m.flat, m.part, m.x1, m.y1, m.x2, m.y2, n.x1 AS nx1, n.y1 AS ny1, n.x2 AS nx2, n.y2 AS ny2
+            FROM lmerge m JOIN lrow n ON n.match_id = m.match_id AND n.frame = m.frame AND n.orientation = m.orientation AND n.rn = m.rn + 1))""",
+})
+
+
+@query("G4_merge_collinear", """SELECT match_id, frame, orientation, part, x1, y1, x2, y2 FROM lmerge
+    QUALIFY row_number() OVER (PARTITION BY match_id, frame, orientation, part ORDER BY rn DESC) = 1""")
 def _(v):
     segs = v.lines.withColumn("orientation", fn.angle_class(fn.segment_geometry()["angle"]))
     return kpt.merge_collinear(segs, 40.0)
