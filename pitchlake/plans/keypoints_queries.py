@@ -164,11 +164,12 @@ def _(v):
     return out.select("match_id", "seq", R("field_x").alias("field_x"), R("field_y").alias("field_y"))
 
 
-@query("J7_asof_keypoints", """WITH f AS (SELECT DISTINCT match_id, frame FROM kp), p AS (SELECT match_id, frame, count(*) AS n FROM pairs WHERE frame % 3 = 0 GROUP BY 1, 2)
+@query("J7_asof_keypoints", """WITH f AS (SELECT DISTINCT match_id, frame FROM kp), p AS (SELECT match_id, frame, count(*) AS n FROM pairs GROUP BY 1, 2 HAVING count(*) >= 9)
     SELECT f.match_id, f.frame, p.frame AS points_frame, p.n FROM f ASOF LEFT JOIN p ON f.match_id = p.match_id AND f.frame >= p.frame""")
 def _(v):
+    """A frame with fewer than nine points borrows those of the last one that has them."""
     frames = v.kp.select("match_id", "frame").distinct()
-    held = kpt.last_valid_points(frames, points(v).filter("frame % 3 = 0"), block_frames=8)
+    held = kpt.last_valid_points(frames, points(v).filter(F.size("points") >= 9), block_frames=8)
     return held.select("match_id", "frame", "points_frame",
                        F.when(F.col("points").isNotNull(), F.size("points")).alias("n"))
 
@@ -294,13 +295,13 @@ def _(v):
     return rows.select("match_id", "seq", R(x, 4).alias("ax"), R(y, 4).alias("ay"))
 
 
-@query("J11_projection_fallback", """WITH f AS (SELECT match_id, seq, X AS bx, Y AS by_ FROM players WHERE seq % 2 = 0)
+@query("J11_projection_fallback", """WITH f AS (SELECT match_id, seq, X AS bx, Y AS by_ FROM players WHERE conf > 0.5)
     SELECT p.match_id, p.seq, CASE WHEN fx BETWEEN 0 AND 105 AND fy BETWEEN 0 AND 68 THEN 1.0 WHEN bx IS NOT NULL THEN 0.8 ELSE 0.0 END::DOUBLE AS conf_out,
       round(CASE WHEN fx BETWEEN 0 AND 105 AND fy BETWEEN 0 AND 68 THEN fx ELSE bx END, 6) AS out_x,
       round(CASE WHEN fx BETWEEN 0 AND 105 AND fy BETWEEN 0 AND 68 THEN fy ELSE by_ END, 6) AS out_y
     FROM projected p LEFT JOIN f ON f.match_id = p.match_id AND f.seq = p.seq""")
 def _(v):
-    spare = v.players.filter("seq % 2 = 0").select("match_id", "seq", F.col("X").alias("fb_x"), F.col("Y").alias("fb_y"))
+    spare = v.players.filter("conf > 0.5").select("match_id", "seq", F.col("X").alias("fb_x"), F.col("Y").alias("fb_y"))
     out = kpt.with_fallback(projected(v), spare, ["match_id", "seq"])
     return out.select("match_id", "seq", "conf_out", R("out_x").alias("out_x"), R("out_y").alias("out_y"))
 
@@ -335,7 +336,7 @@ def _(v):
     batch = kpt.project_rows(feet, kpt.best_of_batch(f, 10), "ax", "ay")
     tri = kpt.triangulate(kpt.local_scale(kpt.nearest_references(
         feet, kpt.orientation_votes(points(v)), 4, "ax", "ay", keep=("flip",))), "ax", "ay", flip=F.col("flip"))
-    carried = tracks.gap_fill(v.players.filter("seq % 2 = 0").select(
+    carried = tracks.gap_fill(v.players.filter("conf > 0.5").select(
         "match_id", "track_id", F.expr("frame div 3").alias("frame"), "seq", F.col("X").alias("x"), F.col("Y").alias("y")),
         feet.select("match_id", "track_id", "frame", "seq")).select(
         "match_id", "seq", F.col("x").alias("field_x"), F.col("y").alias("field_y"), "flow_conf")

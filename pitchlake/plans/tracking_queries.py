@@ -114,13 +114,13 @@ def _(v):
     return tr.lifecycle(v.det, fps=1.0, max_age_seconds=5.0, max_lost=20.0, block_frames=64)
 
 
-@query("ST8_gap_fill_confidence", """WITH w AS (SELECT match_id, track_id, frame, seq, CASE WHEN seq % 4 = 0 THEN frame END AS sf, CASE WHEN seq % 4 = 0 THEN px END AS sx, CASE WHEN seq % 4 = 0 THEN py END AS sy FROM pts),
+@query("ST8_gap_fill_confidence", """WITH w AS (SELECT match_id, track_id, frame, seq, CASE WHEN conf > 0.75 THEN frame END AS sf, CASE WHEN conf > 0.75 THEN px END AS sx, CASE WHEN conf > 0.75 THEN py END AS sy FROM pts),
     l AS (SELECT *, last_value(sf IGNORE NULLS) OVER o AS lf, last_value(sx IGNORE NULLS) OVER o AS lx, last_value(sy IGNORE NULLS) OVER o AS ly FROM w
       WINDOW o AS (PARTITION BY match_id, track_id ORDER BY frame, seq ROWS UNBOUNDED PRECEDING))
     SELECT match_id, track_id, frame, seq, round(lx, 6) AS x, round(ly, 6) AS y, round(CASE WHEN lf IS NOT NULL THEN greatest(0.1, pow(0.95, frame - lf)) END, 6) AS flow_conf FROM l""")
 def _(v):
     p = pts(v)
-    out = tr.gap_fill(p.filter("seq % 4 = 0").select("match_id", "track_id", "frame", "seq", "x", "y"),
+    out = tr.gap_fill(p.filter("conf > 0.75").select("match_id", "track_id", "frame", "seq", "x", "y"),
                       p.select("match_id", "track_id", "frame", "seq"), block_frames=64)
     return out.withColumns({n: R(n) for n in ("x", "y", "flow_conf")})
 
