@@ -204,20 +204,33 @@ def kalman_smooth(rows: DataFrame, q: float = 0.01, r: float = 1.0, single_updat
 
 # ---- re-identification -----------------------------------------------------------------------
 
-def recover_tracks(new: DataFrame, lost: DataFrame, threshold: float = 0.5, max_lost: float = 120.0) -> DataFrame:
+def salted(asked: DataFrame, held: DataFrame, keys: list[str], by: str, cell: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with a column `salt` to join on too: a key with more than `cell` rows in `asked` is dealt into
+    cells of about that many by `by`, and the rows of `held` with that key are repeated for each of its cells."""
+    hot = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > cell)
+    hot = hot.select(*keys, F.ceil(F.col("__n") / cell).cast("int").alias("__cells"))
+    cells = F.coalesce("__cells", F.lit(1))
+    dealt = asked.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64(by), cells).cast("int"))
+    repeated = held.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), cells - 1)))
+    return dealt.drop("__cells"), repeated.drop("__cells")
+
+
+def recover_tracks(new: DataFrame, lost: DataFrame, threshold: float = 0.5, max_lost: float = 120.0, cell: int = 50_000) -> DataFrame:
     """Best lost track for each new detection: same match, seen at most `max_lost` seconds before,
     highest cosine above the threshold (ties to the lower id).
 
     Time is cut into buckets of `max_lost`, so a detection meets the tracks of its own and the
-    previous bucket only. Candidates are compared inside the join's stage and reduced to the best
-    one per detection before the next shuffle. `new`: det_id, t, vec. `lost`: track_id, last_seen, vec.
+    previous bucket only; a bucket with more than `cell` detections is cut into cells of about that many. Candidates are
+    compared inside the join's stage and reduced to the best one per detection before the next shuffle.
+    `new`: match_id, det_id, t, vec. `lost`: match_id, track_id, last_seen, vec.
     """
     bucket = lambda col: F.floor(F.col(col) / max_lost).cast("long")
     unit = lambda c: F.expr(f"named_struct('v', transform({c}, x -> CAST(x AS DOUBLE)), 'n', sqrt(aggregate({c}, 0D, (s, x) -> s + x * x)))")
     held = lost.select("match_id", "track_id", "last_seen", unit("vec").alias("old"),
                        F.explode(F.array(bucket("last_seen"), bucket("last_seen") + 1)).alias("bucket"))
     asked = new.withColumn("vec", unit("vec")).withColumn("bucket", bucket("t"))
-    near = asked.join(held, ["match_id", "bucket"]).filter(
+    asked, held = salted(asked, held, ["match_id", "bucket"], "det_id", cell)
+    near = asked.join(held, ["match_id", "bucket", "salt"]).filter(
         (F.col("t") >= F.col("last_seen")) & (F.col("t") - F.col("last_seen") <= max_lost))
     scored = near.withColumn("similarity", F.expr(
         "aggregate(zip_with(vec.v, old.v, (a, b) -> a * b), 0D, (s, x) -> s + x) / (vec.n * old.n + 1e-6D)")).filter(F.col("similarity") > threshold)

@@ -238,3 +238,26 @@ def test_sticky_possession_of_awkward_frames(spark):
         [(4, f, 100.0, 100.0, alone) if f not in (6, 7) else (4, f, None, None, alone) for f in range(10)], schema))).first()
     # frames 4, 5, 8 and 9 are settled; the hidden frames 6 and 7 count as possession too
     assert (share.frames, share.assigned_1, share.possession_1, share.of_assigned_1) == (10, 4, 6, 1.0)
+
+
+def test_recovery_in_a_hot_bucket(spark):
+    """A third of all detections in one bucket: cells stay small, and the tracks found are those of one cell and of plain Python."""
+    rng = random.Random(17)
+    look = lambda: [rng.uniform(-1, 1) for _ in range(4)]
+    new = [(1, i, 130.0 + (rng.uniform(0, 5) if i % 3 == 0 else 120.0 * (i % 40)), look()) for i in range(600)]
+    lost = [(1, i, rng.uniform(100, 135) if i % 2 else rng.uniform(0, 4800), look()) for i in range(60)] + [(2, 0, 130.0, look())]
+    asked = spark.createDataFrame(new, "match_id long, det_id long, t double, vec array<double>")
+    held = spark.createDataFrame(lost, "match_id long, track_id long, last_seen double, vec array<double>")
+    found = lambda **more: {(r.det_id, r.track_id) for r in tracks.recover_tracks(asked, held, **more).collect()}
+    want = set()
+    for m, det, t, vec in new:
+        near = [(restated.cosine_of(vec, v), -track) for mm, track, seen, v in lost if mm == m and 0 <= t - seen <= 120.0]
+        best = max((n for n in near if n[0] > 0.5), default=None)
+        if best:
+            want.add((det, -best[1]))
+    assert found(cell=20) == found() == want and len(want) > 100
+    spot = asked.selectExpr("match_id", "det_id", "floor(t / 120) AS bucket")
+    dealt, repeated = tracks.salted(spot, held.selectExpr("match_id", "track_id", "floor(last_seen / 120) AS bucket"), ["match_id", "bucket"], "det_id", 20)
+    assert spot.groupBy("match_id", "bucket").count().agg({"count": "max"}).first()[0] >= 200
+    assert dealt.groupBy("match_id", "bucket", "salt").count().agg({"count": "max"}).first()[0] <= 40
+    assert dealt.count() == 600 and repeated.filter("salt = 0").count() == len(lost)
