@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and gets what its predecessor kept; all but the last return the columns of
 documents. `run` writes each stage's result as Parquet in the shared folder and rereads it as the next one's docs.
+
+End to end: documents with a null or empty text pass the filters but never come out, as the mix takes no words of them.
+Rows equal in doc_id and text are judged alike and count as one copy, of which any one row stays; of different texts that
+are near copies the least doc_id stays. A null source is a source of its own, null doc_ids are kept like others. Columns
+of documents go through under their names, but for size, source_size, target and taken, which the mix replaces. Without
+documents the result is empty, without labels or benchmark items the stage that reads them drops nothing.
 """
 
 from __future__ import annotations
