@@ -3,7 +3,8 @@
 Everything is a Spark SQL expression. Spans come from `split` and `regexp_extract_all` with one pattern: the lengths
 of the pieces and of the matches add up to code point offsets. Patterns start only where a run of their characters
 starts, or where the last match ended, and loop possessively, so that long runs cost linear time; they find the same
-matches as the plain patterns of the base rules. Null texts are empty; rows are judged one by one.
+matches as the plain patterns of the base rules. Offsets, context and redaction take time in proportion to the text
+and its matches. Null texts are empty; rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -47,24 +48,50 @@ CONTEXT = {
 START_SCORE = {"email": 0.7, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.7}
 REACH, BOOST = 40, 0.25
 
-_SPAN = "array<struct<start: int, stop: int, value: string>>"
+#: Matches and spans are put together in steps of so many, as appending copies an array; texts are cut in blocks of code points.
+STEP, TEXT_BLOCK = 256, 1024
+#: So many matches have REACH code points between them, as a match of any kind has four or more.
+BESIDE = REACH // 4
 
+_SPOT = "array<struct<start: int, stop: int, value: string, at: int>>"
+_SPAN = "array<struct<start: int, order: int, kind: string, stop: int, score: double>>"
 
-def _located(kind: str) -> str:
-    """SQL: the matches of a kind with their offsets, from the arrays of pieces and matches."""
-    return f"""CASE WHEN size(found_{kind}) = 0 THEN CAST(array() AS {_SPAN}) ELSE aggregate(
-        arrays_zip(slice(pieces_{kind}, 1, size(found_{kind})), found_{kind}),
-        named_struct('at', 0, 'out', CAST(array() AS {_SPAN})),
-        (a, m) -> named_struct('at', a.at + length(m['0']) + length(m.found_{kind}), 'out', concat(a.out, array(named_struct(
-            'start', a.at + length(m['0']), 'stop', a.at + length(m['0']) + length(m.found_{kind}), 'value', m.found_{kind})))),
-        a -> a.out) END"""
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: `body` with `name` bound to `value`, which is worked out once however often a function inside reads it."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _located() -> str:
+    """SQL: `pairs` of (piece before, match) as matches with offsets and numbers, in time that grows with their number.
+
+    Steps of STEP matches are located from their own beginning, then the lengths of the steps before are added.
+    """
+    steps = f"""transform(sequence(0, size(pairs) - 1, {STEP}), c -> aggregate(slice(pairs, c + 1, {STEP}),
+        named_struct('end', 0, 'at', c, 'out', CAST(array() AS {_SPOT})),
+        (a, m) -> named_struct('end', a.end + length(m.piece) + length(m.value), 'at', a.at + 1, 'out', concat(a.out, array(named_struct(
+            'start', a.end + length(m.piece), 'stop', a.end + length(m.piece) + length(m.value), 'value', m.value, 'at', a.at))))))"""
+    begins = """aggregate(steps, named_struct('end', 0, 'out', CAST(array() AS array<int>)),
+        (a, s) -> named_struct('end', a.end + s.end, 'out', concat(a.out, array(a.end))), a -> a.out)"""
+    return _let("steps", steps, f"""flatten(zip_with(steps, {begins}, (s, b) -> transform(s.out, m -> named_struct(
+        'start', m.start + b, 'stop', m.stop + b, 'value', m.value, 'at', m.at))))""")
 
 
 def _scored(kind: str, order: int) -> str:
-    """SQL: valid matches of a kind as (start, order, kind, stop, score); a context word within reach raises the score."""
-    near = f"substring(text, greatest(m.start - {REACH}, 0) + 1, least(m.start, {REACH})) || ' ' || substring(text, m.stop + 1, {REACH})"
-    return f"""transform(filter({_located(kind)}, m -> {VALID[kind]}), m -> named_struct('start', m.start, 'order', {order}, 'kind', '{kind}',
-        'stop', m.stop, 'score', CASE WHEN regexp({near}, r'{CONTEXT[kind]}') THEN {START_SCORE[kind] + BOOST}D ELSE {START_SCORE[kind]}D END))"""
+    """SQL: valid matches of a kind as (start, order, kind, stop, score); a context word within reach raises the score.
+
+    Context is joined from the ends of the pieces and matches beside a match, not cut from the text, where finding the
+    place takes time that grows with the text.
+    """
+    before = f"""right(array_join(transform(slice(pairs, greatest(m.at - {BESIDE}, 0) + 1, least(m.at, {BESIDE})),
+        p -> right(p.piece, {REACH}) || right(p.value, {REACH})), '') || right(element_at(pairs, m.at + 1).piece, {REACH}), {REACH})"""
+    after = f"""left(array_join(transform(slice(pairs, m.at + 2, {BESIDE}), p -> left(p.piece, {REACH}) || left(p.value, {REACH})), '')
+        || CASE WHEN m.at + {BESIDE} >= size(pairs) - 1 THEN last ELSE '' END, {REACH})"""
+    spans = f"""transform(filter({_located()}, m -> {VALID[kind]}), m -> named_struct('start', m.start, 'order', {order}, 'kind', '{kind}',
+        'stop', m.stop, 'score', CASE WHEN regexp({before} || ' ' || {after}, r'{CONTEXT[kind]}') THEN {START_SCORE[kind] + BOOST}D ELSE {START_SCORE[kind]}D END))"""
+    pairs = f"zip_with(slice(pieces_{kind}, 1, size(found_{kind})), found_{kind}, (p, v) -> named_struct('piece', p, 'value', v))"
+    return f"""CASE WHEN size(found_{kind}) = 0 THEN CAST(array() AS {_SPAN})
+        ELSE {_let("pairs", pairs, _let("last", f"left(element_at(pieces_{kind}, -1), {REACH})", spans))} END"""
 
 
 def find_personal(docs: DataFrame, kinds: tuple[str, ...] = KINDS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -97,6 +124,18 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def redacted() -> Column:
-    """The text with every span replaced by its kind in brackets; of overlapping spans the first one counts."""
-    return F.expr("""aggregate(spans, named_struct('at', 0, 'out', ''), (a, s) -> CASE WHEN s.start < a.at THEN a ELSE named_struct('at', s.stop,
-        'out', a.out || substring(text, a.at + 1, s.start - a.at) || '[' || s.kind || ']') END, a -> a.out || substring(text, a.at + 1))""")
+    """The text with every span replaced by its kind in brackets; of overlapping spans the first one counts.
+
+    What stays is joined from blocks of the text, spans are taken in steps, so that the time grows with both alone.
+    """
+    def cut(a: str, b: str) -> str:
+        return (f"substring(array_join(slice(blocks, {a} div {TEXT_BLOCK} + 1, {b} div {TEXT_BLOCK} - {a} div {TEXT_BLOCK} + 1), ''), "
+                f"{a} % {TEXT_BLOCK} + 1, {b} - {a})")
+
+    step = f"""aggregate(slice(every, c + 1, {STEP}), named_struct('at', a.at, 'out', CAST(array() AS array<string>)),
+        (d, s) -> CASE WHEN s.start < d.at THEN d ELSE named_struct('at', s.stop, 'out', concat(d.out, array({cut("d.at", "s.start")}, '[' || s.kind || ']'))) END)"""
+    steps = f"""aggregate(sequence(0, size(every) - 1, {STEP}), named_struct('at', 0, 'out', CAST(array() AS array<string>)),
+        (a, c) -> {_let("r", step, "named_struct('at', r.at, 'out', concat(a.out, array(array_join(r.out, ''))))")})"""
+    rest = cut("done.at", "n")
+    text = _let("n", "length(text)", _let("done", steps, f"array_join(done.out, '') || {rest}"))
+    return F.expr(_let("every", "spans", _let("blocks", f"regexp_extract_all(text, '(?s).{{1,{TEXT_BLOCK}}}', 0)", text)))

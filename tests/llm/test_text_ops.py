@@ -61,6 +61,43 @@ def test_iban_context_and_redaction(spark):
     assert out[2].text == "Mail: [email]" and out[2].n_chars == 13 and out[4].text is None and out[5].text == "é plain" and out[5].n_words == 4
 
 
+def redacted_by_hand(text, spans):
+    out, at = [], 0
+    for s in spans:
+        if s.start >= at:
+            out += [text[at:s.start], f"[{s.kind}]"]
+            at = s.stop
+    return "".join(out) + text[at:]
+
+
+def test_context_and_redaction_equal_plain_slices(spark):
+    rng = random.Random(7)
+    parts = ["a.b@c.de", "x@y.z…", "1.2.3.4", "4012888888881881", "+49 30 1234567", "+123", "DE89370400440532013000", "e-mail", "card", "IBAN", "call", "host", "😀", "\n", "so " * 15, "z" * 1500]
+    rows = [(i, "".join(rng.choice(parts) + rng.choice(["", " ", "… "]) for _ in range(rng.randrange(1, 900)))) for i in range(60)]
+    rows += [(90, "@"), (91, "mail a@b.cd"), (92, "a@b.cd mail"), (93, "+1 2 " * 300 + "phone +49 30 1234567 tel")]
+    docs, texts = fx.documents(spark, rows), dict(rows)
+    found = {r.doc_id: r.spans for r in personal.find_personal(docs).collect()}
+    clean = {r.doc_id: r.text for r in personal.redact(docs).collect()}
+    scores = set()
+    for d, text in rows:
+        for s in found[d]:
+            near = text[max(s.start - personal.REACH, 0):s.start] + " " + text[s.stop:s.stop + personal.REACH]
+            boosted = re.search(personal.CONTEXT[s.kind], near) is not None
+            assert s.score == personal.START_SCORE[s.kind] + personal.BOOST * boosted, (text[max(s.start - 50, 0):s.stop + 50], s)
+            scores.add((s.kind, boosted))
+        assert clean[d] == redacted_by_hand(text, found[d])
+    assert len(scores) == 2 * len(personal.KINDS)
+    assert sum(len(s) for s in found.values()) > 5000
+
+
+def test_a_text_of_very_many_matches(spark):
+    n = 50_000
+    docs = fx.documents(spark, [(1, "a@b.cd " * n), (2, "1.2.3.4,a@b.cd" * 100)])
+    found = {r.doc_id: r.spans for r in personal.find_personal(docs).collect()}
+    assert [(s.start, s.stop) for s in found[1]] == [(7 * i, 7 * i + 6) for i in range(n)] and len(found[2]) >= 100
+    assert {r.doc_id: r.text for r in personal.redact(docs).collect()}[1] == "[email] " * n
+
+
 def hits_by_hand(text, items, window=13):
     w = fx.ALNUM.findall(fx.lower(text or ""))
     hit, names = set(), set()
