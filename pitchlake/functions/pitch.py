@@ -165,8 +165,8 @@ def model_points(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "model_order int, name string, px double, py double, critical boolean")
 
 
-def pitch_outline(spark: SparkSession, origin: str = "centre", scaled: bool = False) -> DataFrame:
-    """Box corners, spots and the 11 field lines as `kind, name, part, x, y`."""
+def outline() -> list[tuple[str, str, int, float, float]]:
+    """Box corners, spots and the ends of the 11 field lines (kind, name, part, x, y), origin in the centre."""
     half_l, half_w = LENGTH / 2, WIDTH / 2
     rows: list[tuple] = []
 
@@ -196,8 +196,22 @@ def pitch_outline(spark: SparkSession, origin: str = "centre", scaled: bool = Fa
     line("sideline_top", (-half_l, half_w), (half_l, half_w))
     line("sideline_bottom", (-half_l, -half_w), (half_l, -half_w))
     line("halfway_line", (0, -half_w), (0, half_w))
+    return rows
+
+
+def pitch_lines() -> dict[str, tuple[float, float, float, float]]:
+    """Field lines as (x0, y0, x1, y1), origin in a corner, ends in ascending order. All are parallel to a side."""
+    ends: dict[str, list[tuple[float, float]]] = {}
+    for kind, name, _, x, y in outline():
+        if kind == "line":
+            ends.setdefault(name, []).append((x + LENGTH / 2, y + WIDTH / 2))
+    return {name: (*min(pair), *max(pair)) for name, pair in ends.items()}
 
-    df = spark.createDataFrame(rows, "kind string, name string, part int, x double, y double")
+
+def pitch_outline(spark: SparkSession, origin: str = "centre", scaled: bool = False) -> DataFrame:
+    """The outline as `kind, name, part, x, y`."""
+    half_l, half_w = LENGTH / 2, WIDTH / 2
+    df = spark.createDataFrame(outline(), "kind string, name string, part int, x double, y double")
     if origin == "corner" or scaled:
         df = df.withColumns({"x": F.col("x") + half_l, "y": F.col("y") + half_w})
     if scaled:

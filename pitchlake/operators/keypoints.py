@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions import pitch
 from ..functions.columns import H_COLUMNS, flip_x, inside_pitch, project
+from ..session import durable
 from . import scan
 
 FRAME = ["match_id", "frame"]
@@ -92,7 +93,7 @@ def keypoint_memory(keypoints: DataFrame, names: list[str], max_age: int = 299,
     """
     per_frame = keypoints.groupBy(*FRAME).agg(F.collect_set(F.struct("name", "x", "y")).alias("seen"))
     block = scan.block_of("frame", block_frames)
-    numbered = scan.with_position(per_frame, ["match_id"], ORDER, block, "update")
+    numbered = durable(scan.with_position(per_frame, ["match_id"], ORDER, block, "update"))
     grid = numbered.withColumn("name", F.explode(F.array(*[F.lit(n) for n in names])))
     hit = F.get(
         F.filter("seen", lambda s: s["name"] == F.col("name")), F.lit(0))
@@ -238,7 +239,8 @@ def carry_homography(frames: DataFrame, homographies: DataFrame, block_frames: i
     """Every frame with the latest homography at or before it."""
     rows = frames.join(homographies.withColumn("__f", F.col("frame")), FRAME, "left")
     held = F.when(F.col("__f").isNotNull(), F.struct("__f", *H_COLUMNS))
-    out = scan.prefix_scan(rows.select(*frames.columns, held.alias("__h")), ["match_id"], ORDER,
+    rows = durable(rows.select(*frames.columns, held.alias("__h")))  # read twice by the scan
+    out = scan.prefix_scan(rows, ["match_id"], ORDER,
                            scan.block_of("frame", block_frames), {"__held": scan.last_seen("__h")})
     return out.select(*frames.columns, *[F.col(f"__held.{n}").alias(n) for n in H_COLUMNS],
                       F.col("__held.__f").alias("h_frame"))

@@ -115,15 +115,9 @@ def vote_share(dominance: DataFrame, current_player: str = "dominant") -> DataFr
 def rows_since_change(df: DataFrame, state: list[str], keys=("match_id",), order=("frame", "seq"),
                       block_frames: int = 8192) -> DataFrame:
     """Rows since the state columns last changed (0 on the row of the change)."""
-    keys, order = list(keys), list(order)
-    block = scan.block_of(order[0], block_frames)
-    boxed = F.struct(*state)
-    one = scan.prefix_scan(df, keys, order, block, {
-        "__pos": scan.total(F.lit(1).cast("long")), "__was": scan.previous(boxed)})
-    fresh = ~F.col("__was").eqNullSafe(boxed)
-    two = scan.prefix_scan(one, keys, order, block,
-                           {"__at": scan.last_seen(F.when(fresh, F.col("__pos")))})
-    return two.withColumn("rows_since_change", F.col("__pos") - F.col("__at")).drop("__pos", "__was", "__at")
+    order = list(order)
+    return scan.prefix_scan(df, list(keys), order, scan.block_of(order[0], block_frames),
+                            {"rows_since_change": scan.run_length(F.struct(*state))})
 
 
 def attach_owner_position(players: DataFrame, owners: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ consecutive rows, run ordinary window functions inside `(key, block)`, and carry
 per block across blocks. The only window over the bare key is over those summaries, which are
 smaller than the data by the block size.
 
-* `prefix_scan`   running sums, last/first non-null, previous row: anything with an associative merge
+* `prefix_scan`   running sums, last/first non-null, previous row, rows since a mark or a change: anything with
+                  an associative merge
 * `with_position` row number inside a key
 * `halo_rows`     fixed look-back windows (`ROWS n PRECEDING`): the last n rows of a block are copied
                   into the next one
@@ -26,6 +27,8 @@ from pyspark.sql.window import Window, WindowSpec
 
 BLOCK = "__block"
 HALO = "__halo"
+PLACE, BEFORE = "__place", "__before"  # row number inside a block, rows of the key before the block
+COUNTED = ("since", "run")
 
 
 @dataclass(frozen=True)
@@ -64,6 +67,16 @@ def lowest(value, before: bool = False) -> Running:
     return Running("min", _col(value), before)
 
 
+def since(condition) -> Running:
+    """Rows since the condition last held: 0 on such a row, null before the first."""
+    return Running("since", _col(condition))
+
+
+def run_length(value) -> Running:
+    """Rows since the value last changed (nulls equal each other): 0 on the row of the change and on the first."""
+    return Running("run", _col(value))
+
+
 def _col(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
@@ -80,7 +93,14 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence, block: Colu
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prior = inside.rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    chain = Window.partitionBy(*keys).orderBy(BLOCK)
+    across = chain.rowsBetween(Window.unboundedPreceding, -1)
+
+    counted = any(agg.kind in COUNTED for agg in outputs.values())
+    if counted:  # places inside a block, and marks on them; the first row of a block learns from the carry whether it is one
+        blocked = blocked.withColumn(PLACE, F.row_number().over(inside))
+        blocked = blocked.withColumns({f"__m{i}": F.when(agg.value if agg.kind == "since" else (F.col(PLACE) > 1) & ~F.struct(
+            F.lag(agg.value).over(inside).alias("v")).eqNullSafe(F.struct(agg.value.alias("v"))), F.col(PLACE)) for i, agg in enumerate(outputs.values()) if agg.kind in COUNTED})
 
     local, partial, carry = {}, [], []
     for i, agg in enumerate(outputs.values()):
@@ -96,6 +116,16 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence, block: Colu
             local[f"__l{i}"] = fn(value).over(frame)
             partial.append(fn(value).alias(part))
             carry.append(fn(held).over(across).alias(f"__c{i}"))
+        elif agg.kind in COUNTED:
+            local[f"__l{i}"] = F.col(PLACE) - F.max(f"__m{i}").over(upto)
+            partial.append(F.max(f"__m{i}").alias(part))
+            known = F.col(BEFORE) + held
+            if agg.kind == "run":
+                state = F.struct(agg.value.alias("v"))
+                partial += [F.min_by(state, PLACE).alias(f"__first{i}"), F.max_by(state, PLACE).alias(f"__last{i}")]
+                known = F.coalesce(known, F.when(F.col(f"__new{i}"), F.col(BEFORE) + 1))
+                carry.append(F.col(f"__new{i}"))
+            carry.append((F.col(BEFORE) - F.last(known, ignorenulls=True).over(across)).alias(f"__c{i}"))
         elif agg.kind == "first":
             local[f"__l{i}"] = F.first(value, ignorenulls=True).over(frame)
             partial.append(_pick(F.min_by, value, order).alias(part))
@@ -107,7 +137,10 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence, block: Colu
 
     rows = blocked.withColumns(local)
     # partial aggregation runs before this shuffle: one row per (key, block) and map task
-    summary = blocked.groupBy(*keys, BLOCK).agg(*partial)
+    summary = blocked.groupBy(*keys, BLOCK).agg(*partial, *([F.max(PLACE).cast("long").alias("__size")] if counted else []))
+    if counted:
+        summary = summary.withColumns({BEFORE: F.coalesce(F.sum("__size").over(across), F.lit(0)), **{
+            f"__new{i}": ~F.lag(f"__last{i}").over(chain).eqNullSafe(F.col(f"__first{i}")) for i, agg in enumerate(outputs.values()) if agg.kind == "run"}})
     carried = summary.select(*keys, BLOCK, *carry)
     joined = rows.join(carried, [*keys, BLOCK])
 
@@ -122,6 +155,10 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence, block: Colu
             out = F.greatest(here, there)
         elif agg.kind == "min":
             out = F.least(here, there)
+        elif agg.kind == "since":
+            out = F.coalesce(here, there + F.col(PLACE))
+        elif agg.kind == "run":
+            out = F.coalesce(here, F.when(F.col(f"__new{i}"), F.col(PLACE).cast("long") - 1), there + F.col(PLACE))
         elif agg.kind == "first":
             out = F.coalesce(there, here)
         else:

@@ -181,15 +181,14 @@ def carry_position(owned: DataFrame, patience: int = 30, block_frames: int = 819
     """Owner rows without a position borrow the team's last one while fewer than `patience` rows in
     a row lack it. Adds `carried`."""
     keys, order, block = GROUP, ["frame", "seq"], scan.block_of("frame", block_frames)
-    pos = scan.with_position(owned, keys, order, block)
-    have = F.when(F.col("x").isNotNull(), F.struct("__pos", "x", "y", "zone_id"))
-    seen = scan.prefix_scan(pos, keys, order, block, {"__last": scan.last_seen(have)})
-    fresh = F.col("__pos") - F.col("__last.__pos") < patience
-    borrow = F.col("x").isNull() & F.coalesce(fresh, F.lit(False))
+    have = F.when(F.col("x").isNotNull(), F.struct("x", "y", "zone_id"))
+    seen = scan.prefix_scan(owned, keys, order, block, {
+        "__last": scan.last_seen(have), "__since": scan.since(F.col("x").isNotNull())})
+    borrow = F.col("x").isNull() & F.coalesce(F.col("__since") < patience, F.lit(False))
     return seen.withColumns({
         "carried": borrow,
         **{n: F.when(borrow, F.col(f"__last.{n}")).otherwise(F.col(n)) for n in ("x", "y", "zone_id")}
-    }).drop("__pos", "__last")
+    }).drop("__last", "__since")
 
 
 def prefer_source(sources: list[tuple[int, str, DataFrame]]) -> DataFrame:
@@ -203,6 +202,20 @@ def prefer_source(sources: list[tuple[int, str, DataFrame]]) -> DataFrame:
     return every.join(best, [*GROUP, "priority"], "left_semi")
 
 
+def near_shapes(positions: DataFrame, shapes: dict[str, tuple[float, float, float, float]], within: float) -> DataFrame:
+    """Positions at most `within` metres from a point, a side-parallel line or a box (x0, y0, x1, y1), one row
+    per shape as `shape`. The shapes are constants of the plan, so no join meets them."""
+    table = F.array(*[F.struct(F.lit(n).alias("n"), *[F.lit(float(v)).alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), box)])
+                      for n, box in shapes.items()])
+    gap = lambda v, low, high: F.greatest(low - v, v - high, F.lit(0.0))
+
+    def near(s):
+        dx, dy = gap(F.col("x"), s["x0"], s["x1"]), gap(F.col("y"), s["y0"], s["y1"])
+        return dx * dx + dy * dy <= within * within
+
+    return positions.withColumn("__s", F.explode(F.filter(table, near))).withColumn("shape", F.col("__s.n")).drop("__s")
+
+
 def union_teams(team_0: DataFrame, team_1: DataFrame) -> DataFrame:
     """Two per-team point lists as one table."""
     return team_0.withColumn("team", F.lit(0)).unionByName(team_1.withColumn("team", F.lit(1)))

@@ -183,3 +183,48 @@ def _(v):
 def _(v):
     ok = v.seen.groupBy("match_id", "frame").agg((F.count(F.lit(1)) >= 8).alias("ok"))
     return sp.export_totals(placed(v), v.kp, ok)
+
+
+# The lines of a pitch of 105 x 68 metres, origin in a corner.
+CTES["pitch_lines"] = """SELECT * FROM (VALUES ('penalty_area_left_top', 0.0::DOUBLE, 54.16::DOUBLE, 16.5::DOUBLE, 54.16::DOUBLE),
+    ('penalty_area_left_bottom', 0, 13.84, 16.5, 13.84), ('penalty_area_left_front', 16.5, 13.84, 16.5, 54.16), ('goal_line_left', 0, 0, 0, 68),
+    ('penalty_area_right_top', 88.5, 54.16, 105, 54.16), ('penalty_area_right_bottom', 88.5, 13.84, 105, 13.84),
+    ('penalty_area_right_front', 88.5, 13.84, 88.5, 54.16), ('goal_line_right', 105, 0, 105, 68), ('sideline_top', 0, 68, 105, 68),
+    ('sideline_bottom', 0, 0, 105, 0), ('halfway_line', 52.5, 0, 52.5, 68)) t(name, x0, y0, x1, y1)"""
+
+
+@query("S15_pitch_lines", """WITH p AS (SELECT X AS px, Y AS py FROM players)
+    SELECT name, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x1 - x0 + y1 - y0, 6) AS metres,
+      count(px) AS near FROM pitch_lines LEFT JOIN p ON greatest(x0 - px, px - x1, 0) ** 2 + greatest(y0 - py, py - y1, 0) ** 2 <= 2.25 GROUP BY ALL""")
+def _(v):
+    lines = pitch.pitch_lines()
+    near = sp.near_shapes(v.players.select(F.col("X").alias("x"), F.col("Y").alias("y")), lines, 1.5)
+    near = near.groupBy(F.col("shape").alias("name")).agg(F.count(F.lit(1)).alias("near"))
+    table = v.spark.createDataFrame([(n, *box) for n, box in lines.items()], "name string, x0 double, y0 double, x1 double, y1 double")
+    return table.join(near, "name", "left").fillna(0, ["near"]).select(
+        "name", *[R(c).alias(c) for c in ("x0", "y0", "x1", "y1")], R(F.col("x1") - F.col("x0") + F.col("y1") - F.col("y0")).alias("metres"), "near")
+
+
+@query("S15_zones", """WITH z AS (SELECT unnest(range(24))::INT AS zone_id),
+      n AS (SELECT CAST(least(floor(Y / 68 * 4), 3) * 6 + least(floor(X / 105 * 6), 5) AS INT) AS zone_id, count(*) AS n FROM players GROUP BY 1)
+    SELECT zone_id, 'zone_' || zone_id AS zone_name, round(zone_id % 6 * 17.5::DOUBLE, 6) AS x_min, round(zone_id // 6 * 17.0::DOUBLE, 6) AS y_min,
+      round((zone_id % 6 + 1) * 17.5::DOUBLE, 6) AS x_max, round((zone_id // 6 + 1) * 17.0::DOUBLE, 6) AS y_max, coalesce(n, 0) AS seen FROM z LEFT JOIN n USING (zone_id)""")
+def _(v):
+    seen = v.players.groupBy(zone_of("X", "Y", 0, "grid").alias("zone_id")).agg(F.count(F.lit(1)).alias("seen"))
+    return pitch.zones(v.spark, "grid").join(seen, "zone_id", "left").fillna(0, ["seen"]).select(
+        "zone_id", "zone_name", *[R(c).alias(c) for c in ("x_min", "y_min", "x_max", "y_max")], "seen")
+
+
+CTES["model_xy"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{n}', {x!r}::DOUBLE, {y!r}::DOUBLE, {str(n in pitch.CRITICAL_POINTS).lower()})"
+    for i, (n, (x, y)) in enumerate(pitch.calibration_points().items())) + ") t(model_order, name, px, py, critical)"
+
+
+@query("S15_model_points", """SELECT model_order, name, round(px, 6) AS px, round(py, 6) AS py, critical, count(X) AS near
+    FROM model_xy LEFT JOIN players ON (X - px) * (X - px) + (Y - py) * (Y - py) <= 9 GROUP BY ALL""")
+def _(v):
+    points = {n: (x, y, x, y) for n, (x, y) in pitch.calibration_points().items()}
+    near = sp.near_shapes(v.players.select(F.col("X").alias("x"), F.col("Y").alias("y")), points, 3.0)
+    near = near.groupBy(F.col("shape").alias("name")).agg(F.count(F.lit(1)).alias("near"))
+    return pitch.model_points(v.spark).join(near, "name", "left").fillna(0, ["near"]).select(
+        "model_order", "name", R("px").alias("px"), R("py").alias("py"), "critical", "near")

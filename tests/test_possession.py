@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchlake.operators import possession as po
+from pitchlake.operators import scan
 from tests import restated
 
 SCHEMA = "match_id long, frame long, seq long, team long, player long"
@@ -58,3 +59,23 @@ def test_no_owner_at_all(spark):
     frames = po.possession_frames(df, 3, 2)
     assert {(r.team, r.frames, r.percent) for r in po.possession_stats(frames).collect()} == {(0, 0, 0.0), (1, 0, 0.0)}
     assert not po.current_state(frames).first().initialized
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_rows_since_marks_and_changes_across_blocks(spark, block):
+    rng = random.Random(block)
+    rows = [(m, f, s, rng.choice([None, 0, 1]) if rng.random() < 0.3 else 0, rng.random() < 0.15) for m in range(3) for f in range(60) for s in range(rng.randrange(0, 3))]
+    rows += [(9, f, 0, None, False) for f in range(20)]
+    df = spark.createDataFrame(rows, "match_id long, frame long, seq long, state int, mark boolean").repartition(4)
+    got = scan.prefix_scan(df, ["match_id"], ["frame", "seq"], scan.block_of("frame", block),
+                           {"run": scan.run_length("state"), "ago": scan.since("mark"), "n": scan.total(F.lit(1))})
+    want, run, ago, n = {}, {}, {}, {}
+    for i, (m, f, s, state, mark) in enumerate(sorted(rows, key=lambda r: r[:3])):
+        before = want.get((m, "state"), "none")
+        run[m] = run[m] + 1 if before == ("is", state) else 0
+        want[m, "state"] = ("is", state)
+        ago[m] = 0 if mark else None if ago.get(m) is None else ago[m] + 1
+        n[m] = n.get(m, 0) + 1
+        want[m, f, s] = (run[m], ago[m], n[m])
+    assert {(r.match_id, r.frame, r.seq): (r.run, r.ago, r.n) for r in got.collect()} == {k: v for k, v in want.items() if len(k) == 3}
+    assert got.columns == [*df.columns, "run", "ago", "n"]
