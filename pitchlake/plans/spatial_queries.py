@@ -186,10 +186,10 @@ def _(v):
 
 
 # The lines of a pitch of 105 x 68 metres, origin in a corner.
-CTES["pitch_lines"] = """SELECT * FROM (VALUES ('penalty_area_left_top', 0.0::DOUBLE, 54.16::DOUBLE, 16.5::DOUBLE, 54.16::DOUBLE),
-    ('penalty_area_left_bottom', 0, 13.84, 16.5, 13.84), ('penalty_area_left_front', 16.5, 13.84, 16.5, 54.16), ('goal_line_left', 0, 0, 0, 68),
-    ('penalty_area_right_top', 88.5, 54.16, 105, 54.16), ('penalty_area_right_bottom', 88.5, 13.84, 105, 13.84),
-    ('penalty_area_right_front', 88.5, 13.84, 88.5, 54.16), ('goal_line_right', 105, 0, 105, 68), ('sideline_top', 0, 68, 105, 68),
+CTES["pitch_lines"] = """SELECT * FROM (VALUES ('penalty_area_left_top', 0.0::DOUBLE, 54.15::DOUBLE, 16.5::DOUBLE, 54.15::DOUBLE),
+    ('penalty_area_left_bottom', 0, 13.85, 16.5, 13.85), ('penalty_area_left_front', 16.5, 13.85, 16.5, 54.15), ('goal_line_left', 0, 0, 0, 68),
+    ('penalty_area_right_top', 88.5, 54.15, 105, 54.15), ('penalty_area_right_bottom', 88.5, 13.85, 105, 13.85),
+    ('penalty_area_right_front', 88.5, 13.85, 88.5, 54.15), ('goal_line_right', 105, 0, 105, 68), ('sideline_top', 0, 68, 105, 68),
     ('sideline_bottom', 0, 0, 105, 0), ('halfway_line', 52.5, 0, 52.5, 68)) t(name, x0, y0, x1, y1)"""
 
 
