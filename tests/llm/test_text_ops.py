@@ -271,3 +271,44 @@ def test_licenses_of_varied_notices(spark):
     got = {r.doc_id: r for r in licences.scan_licenses(fx.documents(spark, rows)).collect()}
     assert [got[i].labels for i in range(len(want))] == [label for _, label in want]
     assert got[100].labels == "gpl-2" and len(got[100].spans) == 2  # each notice is a span of its own
+
+
+def licenses_by_hand(text):
+    """(n_words, n_base, first, last, base labels, labels) with words compared one by one, no hashes and no diagonals by votes."""
+    w, k = fx.ALNUM.findall(fx.lower(text or "")), licences.K
+    places = [(i, label) for phrase, label in licences.BASE.items() for i in range(len(w)) if w[i:i + len(phrase.split())] == phrase.split()]
+    labels = {label for _, label in places}
+    for (notice, label), phrases in zip(licences.NOTICES.items(), licences.TELLING):
+        t = notice.split()
+        hits = [(i, j) for i in range(len(w) - k + 1) for j in range(len(t) - k + 1) if w[i:i + k] == t[j:j + k]]
+        runs = []
+        for i, j in hits:
+            if not runs or j <= runs[-1][-1][1] or abs((i - j) - (runs[-1][-1][0] - runs[-1][-1][1])) > licences.REACH:
+                runs.append([])
+            runs[-1].append((i, j))
+        telling = {tuple(p.split()[a:a + k]) for p in phrases for a in range(len(p.split()) - k + 1)}
+        for run in runs:
+            held = {j for _, j in run}
+            if len(held) / (len(t) - k + 1) >= licences.SHARE and telling <= {tuple(t[j:j + k]) for j in held}:
+                labels.add(label)
+    starts = [i for i, _ in places]
+    return (len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in places})), ",".join(sorted(labels)))
+
+
+def test_licenses_equal_brute_force(spark):
+    rng = random.Random(9)
+    known = [*licences.BASE, *licences.NOTICES]
+
+    def varied():
+        words = rng.choice(known).split()
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(words) + 1)
+            words[at:at + rng.randrange(0, 2)] = rng.choice([[], ["the"], ["license"], ["x", "y"], ["version"], ["2"]])
+        return " ".join(words)
+
+    rows = fx.texts() + [(1000 + i, rng.choice([" ", ", ", "\n"]).join(rng.choice([varied(), varied().upper(), fx.prose(rng, 5), "-"]) for _ in range(rng.randrange(1, 9)))) for i in range(300)]
+    rows += [(2000, "under the mit license " * 3000), (2001, "licensed under the gnu general public license version 2 0 " * 800), (2002, "ünder the mit license")]
+    got = licences.scan_licenses(fx.documents(spark, rows)).collect()
+    want = Counter((d, *licenses_by_hand(t)) for d, t in rows)
+    assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in got) == want
+    assert sum("," in r.labels for r in got) > 30 and sum(r.labels != r.base_labels for r in got) > 100
