@@ -96,8 +96,7 @@ def match_states(v):
 @query("S5_read_match_state", "SELECT match_id, team, CAST(frames AS BIGINT) AS frames, passes FROM stats")
 def _(v):
     path = scratch_path(v.spark, "states")
-    # one document per match, in a folder of its own
-    match_states(v).withColumn("m", F.col("match_id")).write.partitionBy("m").json(path)
+    writers.write_match_states(match_states(v), path)
     return readers.team_counters(readers.read_match_state(v.spark, path)).withColumn("match_id", F.col("match_id").cast("long"))
 
 
@@ -146,8 +145,8 @@ def _(v):
     path = scratch_path(v.spark, "points")
     p = placed(v).withColumn("batch_idx", F.expr("frame div 30"))
     point = F.struct("frame", "track_id", F.array("x", "y").alias("position"), F.lit("homography").alias("method"))
-    (p.groupBy("match_id", "batch_idx").agg(*[F.collect_list(F.when(F.col("team") == t, point)).alias(f"team_{t}") for t in (0, 1)])
-     .repartition("match_id", "batch_idx").write.partitionBy("match_id", "batch_idx").json(path))
+    teams = [F.collect_list(F.when(F.col("team") == t, point)).alias(f"team_{t}") for t in (0, 1)]
+    writers.write_documents(p.groupBy("match_id", "batch_idx").agg(F.to_json(F.struct(*teams)).alias("value")), path)
     out = readers.read_heatmap_points(v.spark, path)
     return out.select(F.col("match_id").cast("long").alias("match_id"), "team", "frame", "track_id", R("x").alias("x"), R("y").alias("y"))
 

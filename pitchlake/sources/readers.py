@@ -2,7 +2,8 @@
 `match_id=<match>/batch_idx=7/part-*.txt` or `<match>/detections_batch_0007.json`.
 
 Folders of the first form are partitions: a filter on match_id or batch_idx lists and reads the folders it names only.
-In the second form match and batch are cut out of every path."""
+In the second form match and batch are cut out of every path. Writers with very many matches or batches pack them
+(`writers.BUCKETS`): documents of one kind lie in Parquet files as rows of match_id, batch_idx and value."""
 
 from __future__ import annotations
 
@@ -14,26 +15,37 @@ from . import schema
 PLACE = ["match_id", "batch_idx"]
 
 
-def partitioned(spark: SparkSession, path: str) -> bool:
-    """Whether the folder's first subfolder is named `match_id=...`."""
+def folders_of(spark: SparkSession, path: str) -> str | None:
+    """Column that the folder's first subfolder is named by (`match_id=...`), "" without one, None without a folder."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
-    entries = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatusIterator(folder)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return None
+    entries = system.listStatusIterator(folder)
     while entries.hasNext():
         entry = entries.next()
         if entry.isDirectory() and not entry.getPath().getName().startswith(("_", ".")):
-            return entry.getPath().getName().startswith("match_id=")
-    return False
+            column, given, _ = entry.getPath().getName().partition("=")
+            return column if given else ""
+    return ""
 
 
 def _documents(spark: SparkSession, path: str, pattern: str, columns: str, form: str = "json", **options) -> DataFrame:
     """The files that match `pattern`, with match_id and batch_idx; `columns` is the schema of a document.
 
     Outside of partitions a batch number inside a document goes before that of its path. A folder without such files
-    reads as an empty table, so absent files are not an error.
+    reads as an empty table, so absent files are not an error. Packed documents have no files of their own to match.
     """
+    layout = folders_of(spark, path)
+    if layout == schema.BUCKET:
+        docs = spark.read.parquet(path).select(F.col("match_id").cast("string").alias("match_id"), "batch_idx", "value")
+        if form == "text":
+            return docs
+        inner = columns.removeprefix("batch_idx bigint, ")
+        return docs.select(*PLACE, F.inline(F.from_json("value", f"array<struct<{inner}>>")))
     reader = spark.read.option("pathGlobFilter", pattern).options(**options).format(form)
-    if partitioned(spark, path):
+    if layout == "match_id":
         inner = columns.removeprefix("batch_idx bigint, ")
         rows = reader.schema(f"{inner}, match_id string, batch_idx bigint").load(path)
         return rows.select(*PLACE, *[c for c in rows.columns if c not in PLACE])
@@ -89,6 +101,9 @@ def throughput(stats: DataFrame, fps: float = 30.0) -> DataFrame:
 
 
 def read_match_state(spark: SparkSession, path: str) -> DataFrame:
+    if folders_of(spark, path) == schema.BUCKET:
+        fields = f"struct<{schema.MATCH_STATE}>"
+        return spark.read.parquet(path).select(F.from_json("value", fields).alias("s")).select("s.*")
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").schema(
         schema.MATCH_STATE).json(path, multiLine=True)
 

@@ -21,3 +21,6 @@ MATCH_STATE = (
     "passes_by_team:map<string,bigint>>")
 _POINT = "array<struct<frame:bigint,track_id:bigint,position:array<double>,method:string>>"
 HEATMAP_POINTS = f"team_0 {_POINT}, team_1 {_POINT}"
+
+#: Column that names the folders of packed tables.
+BUCKET = "match_bucket"
