@@ -25,6 +25,18 @@ def test_many_documents_are_packed_and_read_alike(spark, tmp_path):
     assert len(again) == len(ROWS) and [r[2] for r in again if r[:2] == ("7", 3)] == [-1, -1] and sum(r[2] < 0 for r in again) == 2
 
 
+def test_many_states_are_packed_replaced_and_deleted(spark, tmp_path):
+    path = tmp_path / "states"
+    states = spark.range(700).select(F.when(F.col("id") < 699, F.col("id")).alias("match_id"), F.col("id").alias("n"))  # one match is null
+    writers.save_state(states, str(path))
+    assert len(files(path)) <= writers.BUCKETS
+    writers.save_state(states.filter("match_id % 2 = 0 OR match_id IS NULL").withColumn("n", -F.col("n")), str(path))
+    writers.delete_state(spark, str(path), states.filter("match_id % 5 = 3").select("match_id"))
+    assert len(files(path)) <= writers.BUCKETS
+    left = {r.match_id: r.n for r in writers.read_states(spark, str(path)).collect()}
+    assert left == {None: -699} | {m: -m if m % 2 == 0 else m for m in range(699) if m % 5 != 3}
+
+
 def test_many_match_documents_and_chunks(spark, tmp_path):
     docs, chunks = tmp_path / "docs", tmp_path / "chunks"
     counters = F.create_map(F.lit("0"), F.col("id"))
