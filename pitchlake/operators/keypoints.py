@@ -10,7 +10,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -386,6 +386,38 @@ def robust_homography(src: np.ndarray, dst: np.ndarray, threshold: float = 5.0,
 
 _FIT_SCHEMA = ("match_id long, frame long, flip boolean, num_points int, inliers int, conf double, error double, "
                "used array<string>, " + ", ".join(f"{n} double" for n in H_COLUMNS))
+_FIT_ARROW = pa.schema([("match_id", pa.int64()), ("frame", pa.int64()), ("flip", pa.bool_()), ("num_points", pa.int32()),
+                        ("inliers", pa.int32()), ("conf", pa.float64()), ("error", pa.float64()), ("used", pa.list_(pa.string())),
+                        *[(n, pa.float64()) for n in H_COLUMNS]])
+#: Frames whose points are Python objects at a time; a batch of Arrow has some thousands, which would take a gigabyte in a few tasks.
+FIT_FRAMES = 256
+
+
+def _fit_frame(match_id, frame, flip, pts, threshold, min_points, min_share) -> tuple:
+    src = np.array([[p["x"], p["y"]] for p in pts])
+    dst = np.array([[pitch.LENGTH - p["px"] if flip else p["px"], p["py"]] for p in pts])
+    central = np.array([bool(p["unambiguous"]) for p in pts])
+    names = [p["name"] for p in pts]
+    got = robust_homography(src, dst, threshold, min_points, min_share)
+    total = len(pts)
+    if got is None and central.sum() >= min_points:
+        got = robust_homography(src[central], dst[central], threshold, min_points, min_share)
+        names = [n for n, keep in zip(names, central) if keep]
+        total = int(central.sum())
+    if got is None:
+        return (match_id, frame, flip, len(pts), 0, 0.0, None, None, *[None] * 9)
+    h, mask, error = got
+    used = [n for n, keep in zip(names, mask) if keep]
+    return (match_id, frame, flip, len(pts), int(mask.sum()), float(mask.sum()) / total, error, used, *h.ravel().tolist())
+
+
+def fit_batches(batches, threshold: float, min_points: int, min_share: float):
+    """Arrow batches of (match_id, frame, flip, points) -> fits; of a batch, FIT_FRAMES frames at a time are Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, FIT_FRAMES):
+            part = batch.slice(start, FIT_FRAMES).to_pydict()
+            out = [_fit_frame(*row, threshold, min_points, min_share) for row in zip(part["match_id"], part["frame"], part["flip"], part["points"])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=True) for c, t in zip(zip(*out), _FIT_ARROW.types)], schema=_FIT_ARROW)
 
 
 def fit_homographies(points: DataFrame, threshold: float = 5.0, min_points: int = 4,
@@ -396,33 +428,7 @@ def fit_homographies(points: DataFrame, threshold: float = 5.0, min_points: int
     """
     ready = orientation_votes(points) if resolve_flip else points.withColumn("flip", F.lit(False))
     ready = scan.spread_tasks(ready.select(*FRAME, "flip", "points"), FRAME)
-    length = pitch.LENGTH
-
-    def fit(batches):
-        for pdf in batches:
-            out = []
-            for match_id, frame, flip, pts in zip(pdf.match_id, pdf.frame, pdf.flip, pdf.points):
-                src = np.array([[p["x"], p["y"]] for p in pts])
-                dst = np.array([[length - p["px"] if flip else p["px"], p["py"]] for p in pts])
-                central = np.array([bool(p["unambiguous"]) for p in pts])
-                names = [p["name"] for p in pts]
-                got = robust_homography(src, dst, threshold, min_points, min_share)
-                total = len(pts)
-                if got is None and central.sum() >= min_points:
-                    got = robust_homography(src[central], dst[central], threshold, min_points, min_share)
-                    names = [n for n, keep in zip(names, central) if keep]
-                    total = int(central.sum())
-                if got is None:
-                    out.append((match_id, frame, flip, len(pts), 0, 0.0, None, None, *[None] * 9))
-                    continue
-                h, mask, error = got
-                used = [n for n, keep in zip(names, mask) if keep]
-                out.append((match_id, frame, flip, len(pts), int(mask.sum()), float(mask.sum()) / total, error,
-                            used, *h.ravel().tolist()))
-            yield pd.DataFrame(out, columns=["match_id", "frame", "flip", "num_points", "inliers", "conf",
-                                             "error", "used", *H_COLUMNS])
-
-    return ready.mapInPandas(fit, _FIT_SCHEMA)
+    return ready.mapInArrow(lambda batches: fit_batches(batches, threshold, min_points, min_share), _FIT_SCHEMA)
 
 
 def calibration_info(fits: DataFrame) -> DataFrame:
