@@ -5,9 +5,11 @@ the state the previous rows left behind, so no window expresses them. `run_block
 a whole key into one task. Rows of a key are cut into blocks of consecutive rows, and
 
 * rules that forget their past run all blocks at once from a guessed entry state; a block whose true
-  entry (the exit of the block before) differs from the guess runs again, until none differs. The
-  first block is always right and each round settles at least one more per key, so the result is
-  exact; such rules settle in two or three rounds;
+  entry (the exit of the block before) differs from the guess runs again. The first block is always
+  right. Every round joins COARSER blocks to one, up to MOST_ROWS rows, so a rule that forgets slowly
+  (a moving average, whose last digits keep the past for some hundred rows) does not take a round
+  for every small block: the rounds grow with the logarithm of the rows it remembers. Each round
+  settles at least one block more per key, so the result is exact;
 * rules that never forget (`forgets=False`, running ids) advance one block per key and round, all
   keys side by side; the blocks are stored by their number, so a round reads those due only.
 
@@ -25,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegralType
 from pyspark.sql.window import Window
 
 from ..session import durable, scratch_path
@@ -32,6 +35,7 @@ from . import chains, scan
 
 Step = Callable[[dict, pd.DataFrame], tuple[pd.DataFrame, dict]]
 RANK, ENTRY, EXIT = "__rank", "__entry", "__exit"
+COARSER, MOST_ROWS = 8, 50_000
 
 
 def dump(state: dict) -> str:
@@ -58,20 +62,49 @@ def run_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step:
     kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
     schema = f"{out_schema}, {', '.join(f'{m} {kinds[b]}' for m, b in zip(marks, block))}, {ENTRY} string, {EXIT} string"
     columns = [c.split()[0] for c in out_schema.split(", ")]
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        entry = right[ENTRY].iloc[0]
-        out, state = step(json.loads(entry), left.sort_values("__pos").reset_index(drop=True))
-        out = out.assign(**{m: k for m, k in zip(marks, key)}, **{ENTRY: None, EXIT: None})
+    # a row in front of each block brings its entry state; whole numbers and flags must not become floats for its sake
+    blank = {f.name: F.lit(0).cast(f.dataType) if isinstance(f.dataType, (IntegralType, BooleanType)) else F.lit(None).cast(f.dataType)
+             for f in cut.schema.fields if f.name not in block}
+
+    def run(batches):
+        held = []  # what has come of the last block, which may go on in the next batch
+        for pdf in batches:
+            starts = np.flatnonzero(pdf[ENTRY].notna())
+            if not len(starts):
+                held.append(pdf)
+                continue
+            whole = pd.concat([*held, pdf.iloc[:starts[-1]]], ignore_index=True)
+            if len(whole):
+                yield blocks_of(whole)
+            held = [pdf.iloc[starts[-1]:]]
+        whole = pd.concat(held, ignore_index=True) if held else ()
+        if len(whole):
+            yield blocks_of(whole)
+
+    def blocks_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Output of whole blocks and, per block, a row with its entry and exit."""
         # objects and None throughout: a missing value of a map or array column must not become a float
-        last = pd.DataFrame([(*[None] * len(columns), *key, entry, dump(state))], columns=[*columns, *marks, ENTRY, EXIT], dtype=object)
-        return pd.concat([out.astype(object)[last.columns], last]) if len(out) else last
+        found = {c: [] for c in (*columns, *marks, ENTRY, EXIT)}
+        edges = [*np.flatnonzero(pdf[ENTRY].notna()), len(pdf)]
+        keyed = [pdf[b].tolist() for b in block]
+        given = pdf[ENTRY].tolist()
+        bare = pdf.drop(columns=ENTRY)
+        for begin, end in zip(edges, edges[1:]):
+            out, state = step(json.loads(given[begin]), bare.iloc[begin + 1:end].reset_index(drop=True))
+            for c in columns:
+                found[c] += [*out[c].tolist(), None]
+            for m, k in zip(marks, keyed):
+                found[m] += [k[begin]] * (len(out) + 1)
+            found[ENTRY] += [None] * len(out) + [given[begin]]
+            found[EXIT] += [None] * len(out) + [dump(state)]
+        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in found.items()})
 
     def evaluate(source: DataFrame, entries: DataFrame) -> DataFrame:
         """Output rows, and a row with entry and exit per block; `entries`: block columns and entry."""
-        given = entries.select(*[F.col(b).alias(m) for b, m in zip(block, marks)], ENTRY)
-        wanted = source.join(entries.select(*block), block, "left_semi")
-        return durable(scan.spread_tasks(wanted, block).groupBy(*block).cogroup(given.groupBy(*marks)).applyInPandas(run, schema))
+        wanted = source.join(entries.select(*block), block, "left_semi").select(*cut.columns).withColumn(ENTRY, F.lit(None).cast("string"))
+        given = entries.select(*[blank[c].alias(c) if c in blank else F.col(c).cast(kinds[c]).alias(c) for c in cut.columns], ENTRY)
+        parts = scan.spread_tasks(wanted.unionByName(given), block)
+        return durable(parts.sortWithinPartitions(*block, F.col(ENTRY).isNull(), "__pos").mapInPandas(run, schema))
 
     def exits(done: DataFrame) -> DataFrame:
         return done.filter(F.col(EXIT).isNotNull()).select(*[F.col(m).alias(b) for b, m in zip(block, marks)], ENTRY, EXIT)
@@ -80,16 +113,26 @@ def run_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step:
         return done.filter(F.col(EXIT).isNull()).select(*columns)
 
     if forgets:
-        done = evaluate(cut, names.select(*block, F.lit(first).alias(ENTRY)))
+        done, size = evaluate(cut, names.select(*block, F.lit(first).alias(ENTRY))), block_rows
         while True:
-            states = exits(done)
-            before = names.join(states.select(*block, EXIT), block).select(*keys, (F.col(RANK) + 1).alias(RANK), F.col(EXIT).alias("__true"))
-            due = names.join(before, [*keys, RANK]).join(states.select(*block, ENTRY), block)
-            stale = durable(due.filter(F.col("__true") != F.col(ENTRY)).select(*block, F.col("__true").alias(ENTRY)))
+            states = names.join(exits(done), block)
+            before = states.select(*keys, (F.col(RANK) + 1).alias(RANK), F.col(EXIT).alias("__true"))
+            due = durable(states.join(before, [*keys, RANK], "left").withColumn("__true", F.coalesce("__true", F.lit(first))))
+            stale = due.filter(F.col("__true") != F.col(ENTRY))
             if stale.isEmpty():
                 return output(done)
-            old = stale.select(*[F.col(b).alias(m) for b, m in zip(block, marks)])
-            done = durable(done.join(old, marks, "left_anti").unionByName(evaluate(cut, stale)))
+            by = 1 if whole_frames else max(1, min(COARSER, MOST_ROWS // size))
+            size, joined = size * by, F.floor(F.col(scan.BLOCK) / by).cast("long")
+            # blocks that hold a stale one run again from the true entry of their first part, the others keep their rows
+            parts = due.withColumn(scan.BLOCK, joined).join(stale.select(*keys, joined.alias(scan.BLOCK)).distinct(), block, "left_semi")
+            entries = durable(parts.groupBy(*block).agg(F.min_by("__true", RANK).alias(ENTRY)))
+            whole = due.withColumn(scan.BLOCK, joined).groupBy(*block).agg(F.min_by(ENTRY, RANK).alias(ENTRY), F.max_by(EXIT, RANK).alias(EXIT))
+            cut = cut.withColumn(scan.BLOCK, joined)
+            names = durable(names.select(*keys, joined.alias(scan.BLOCK)).distinct().withColumn(RANK, F.row_number().over(chain)))
+            old = entries.select(*[F.col(b).alias(m) for b, m in zip(block, marks)])
+            kept = done.filter(F.col(EXIT).isNull()).withColumn(marks[-1], F.floor(F.col(marks[-1]) / by).cast("long"))
+            ends = whole.select(*[F.lit(None).cast(done.schema[c].dataType).alias(c) for c in columns], *[F.col(b).alias(m) for b, m in zip(block, marks)], ENTRY, EXIT)
+            done = durable(kept.unionByName(ends).join(old, marks, "left_anti").select(*done.columns).unionByName(evaluate(cut, entries)))
 
     path = scratch_path(rows.sparkSession, "blocks")
     ranked = cut.join(names, block)
