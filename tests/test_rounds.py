@@ -30,3 +30,14 @@ def test_rounds_of_a_rule_that_forgets_slowly(spark, monkeypatch):
     got = {(r.match_id, r.seq): r.team for r in machine.drifting_centroids(df, start, limit=60.0, block_rows=10).collect()}
     assert got == {(m, s): t for m, some in rows.items() for s, t in drift_by_hand(some, start, 0.2, 60.0).items()}
     assert len(written) < 40  # 120 blocks; before, a round for each block or two
+
+
+def test_rounds_of_many_short_tracks(spark, monkeypatch):
+    """After one point the rest lies far off and is rejected, which no block can tell from its own rows."""
+    rows = [(1, t, f, f, 0.0 if f == 0 else 1e6 + t, 0.0) for t in range(40) for f in range(24)]
+    df = spark.createDataFrame(rows, "match_id long, track_id long, frame long, seq long, x double, y double")
+    written = []
+    monkeypatch.setattr(machine, "durable", lambda df, f=machine.durable: written.append(1) or f(df))
+    got = {(r.track_id, r.seq): (r.valid, r.reason) for r in machine.validate_trajectories(df, block_rows=3).collect()}
+    assert got == {(t, f): (True, None) if f == 0 else (False, "velocity") for t in range(40) for f in range(24)}
+    assert len(written) < 20  # before, a round for each of the 9 blocks of a track
