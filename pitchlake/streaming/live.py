@@ -150,8 +150,9 @@ def publish_stats(root: str, alerts: Callable[[DataFrame, int], DataFrame] | Non
     def sink(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
         try:
-            taken = batch.filter("NOT late").drop("late")
-            write_epoch(taken, f"{root}/possession", epoch)
+            write_epoch(batch.filter("NOT late").drop("late"), f"{root}/possession", epoch)
+            # read back: tasks over the batch itself report the figures of all state partitions to the driver every time
+            taken = batch.sparkSession.read.schema(POSSESSION).parquet(f"{root}/possession/epoch={epoch}")
             write_epoch(batch.filter("late").select("match_id", "frame", "seq", "team", "player"), f"{root}/late", epoch)
             credit = F.explode(F.array(
                 F.struct(F.col("prev_team").alias("team"), F.col("frames_prev").alias("frames"), F.lit(0).alias("passes")),
@@ -215,9 +216,20 @@ def guard_order(root: str, accept: Callable[[DataFrame, int], None]) -> Callable
 
 
 def start_job(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None],
-              seconds: float | None = None) -> StreamingQuery:
+              seconds: float | None = None, tasks: int | None = None) -> StreamingQuery:
     """Run a foreachBatch sink; the checkpoint folder is what a restarted job resumes from. Without
-    `seconds` it drains what is there and stops."""
+    `seconds` it drains what is there and stops.
+
+    `tasks` is the number of state partitions of a new checkpoint, by default twice the cores, 64 at least, and never more
+    than the session's shuffle partitions. Every task reports a figure for each of them to the driver, so those reports
+    grow with the square of that number; it follows the cluster and not the input.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    wanted = int(conf.get(name))
     writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
-    return writer.trigger(**trigger).start()
+    conf.set(name, str(min(wanted, tasks or max(64, 2 * stream.sparkSession.sparkContext.defaultParallelism))))
+    try:
+        return writer.trigger(**trigger).start()  # the job keeps a copy of the settings
+    finally:
+        conf.set(name, str(wanted))
