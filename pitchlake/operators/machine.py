@@ -15,16 +15,21 @@ a whole key into one task. Rows of a key are cut into blocks of consecutive rows
 
 A run of a block yields its output and its exit state together. States must leave out running
 totals: those are summed afterwards.
+
+A rule that gives every row some values of its own (`RowRule`) gets the columns of a block as lists; the other columns of
+its rows stay in Arrow, so a small block costs little more than its rows. Other rules get a frame of pandas per block.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegralType
@@ -36,13 +41,61 @@ from . import chains, scan
 Step = Callable[[dict, pd.DataFrame], tuple[pd.DataFrame, dict]]
 RANK, ENTRY, EXIT = "__rank", "__entry", "__exit"
 COARSER, MOST_ROWS = 8, 50_000
+ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+@dataclass(frozen=True)
+class RowRule:
+    """`step(state, *columns read) -> (columns given, next state)` over the rows of a block, all columns as lists.
+
+    A missing number is None where numbers are whole and NaN where they are not.
+    """
+
+    reads: tuple[str, ...]
+    gives: tuple[str, ...]
+    step: Callable[..., tuple[Sequence[list], dict]]
 
 
 def dump(state: dict) -> str:
     return json.dumps(state, sort_keys=True)
 
 
-def run_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, out_schema: str,
+def whole_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole blocks; a row with an entry state begins a block."""
+    held = []  # what has come of the last block, which may go on in the next batch
+    for batch in batches:
+        starts = np.flatnonzero(batch.column(ENTRY).is_valid())
+        if not len(starts):
+            held.append(batch)
+            continue
+        whole = pa.Table.from_batches([*held, batch.slice(0, starts[-1])])
+        if len(whole):
+            yield whole
+        held = [batch.slice(starts[-1])]
+    if held and len(whole := pa.Table.from_batches(held)):
+        yield whole
+
+
+def rows_of(rule: RowRule, whole: pa.Table, out: dict[str, str], block: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Output of whole blocks, `out` giving the type of each column; a block's first row takes its exit state."""
+    listed = lambda c: c.to_numpy().tolist() if pa.types.is_floating(c.type) else c.to_pylist()
+    read, given = [listed(whole[c]) for c in rule.reads], whole[ENTRY].to_pylist()
+    edges = [*np.flatnonzero(whole[ENTRY].is_valid()).tolist(), len(whole)]
+    found, exits = [[] for _ in rule.gives], []
+    for begin, end in zip(edges, edges[1:]):
+        values, state = rule.step(json.loads(given[begin]), *[c[begin + 1:end] for c in read])
+        for f, value in zip(found, values):
+            f.append(None)
+            f += value
+        exits.append(dump(state))
+        exits += [None] * (end - begin - 1)
+    new = dict(zip(rule.gives, found))
+    columns = {c: pa.array(new[c], ARROW[kind]) if c in new else whole[c].cast(ARROW[kind]) for c, kind in out.items()}
+    columns |= {f"__of_{b}": whole[b] for b in block} | {ENTRY: whole[ENTRY], EXIT: pa.array(exits, pa.string())}
+    yield from pa.table(columns).combine_chunks().to_batches()
+
+
+def run_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step | RowRule, out_schema: str,
                start: dict, block_rows: int = 50_000, block_frames: int = 8192, forgets: bool = True,
                whole_frames: int | None = None) -> DataFrame:
     """Apply `step(state, ordered rows) -> (output rows, next state)` along each key.
@@ -61,11 +114,16 @@ def run_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step:
     marks = [f"__of_{b}" for b in block]
     kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
     schema = f"{out_schema}, {', '.join(f'{m} {kinds[b]}' for m, b in zip(marks, block))}, {ENTRY} string, {EXIT} string"
-    columns = [c.split()[0] for c in out_schema.split(", ")]
+    out = dict(c.split() for c in out_schema.split(", "))
+    columns = list(out)
     # a row in front of each block brings its entry state; whole numbers and flags must not become floats for its sake
     blank = {f.name: F.lit(0).cast(f.dataType) if isinstance(f.dataType, (IntegralType, BooleanType)) else F.lit(None).cast(f.dataType)
              for f in cut.schema.fields if f.name not in block}
 
+    def run_rows(batches):
+        for whole in whole_blocks(batches):
+            yield from rows_of(step, whole, out, block)
+
     def run(batches):
         held = []  # what has come of the last block, which may go on in the next batch
         for pdf in batches:
@@ -99,12 +157,14 @@ def run_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step:
             found[EXIT] += [None] * len(out) + [dump(state)]
         return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in found.items()})
 
-    def evaluate(source: DataFrame, entries: DataFrame) -> DataFrame:
-        """Output rows, and a row with entry and exit per block; `entries`: block columns and entry."""
-        wanted = source.join(entries.select(*block), block, "left_semi").select(*cut.columns).withColumn(ENTRY, F.lit(None).cast("string"))
+    def evaluate(source: DataFrame, entries: DataFrame, every: bool = False) -> DataFrame:
+        """Output rows, and a row with entry and exit per block; `entries`: block columns and entry, of `every` block or some."""
+        some = source if every else source.join(entries.select(*block), block, "left_semi")
+        wanted = some.select(*cut.columns).withColumn(ENTRY, F.lit(None).cast("string"))
         given = entries.select(*[blank[c].alias(c) if c in blank else F.col(c).cast(kinds[c]).alias(c) for c in cut.columns], ENTRY)
         parts = scan.spread_tasks(wanted.unionByName(given), block)
-        return durable(parts.sortWithinPartitions(*block, F.col(ENTRY).isNull(), "__pos").mapInPandas(run, schema))
+        ordered = parts.sortWithinPartitions(*block, F.col(ENTRY).isNull(), "__pos")
+        return durable(ordered.mapInArrow(run_rows, schema) if isinstance(step, RowRule) else ordered.mapInPandas(run, schema))
 
     def exits(done: DataFrame) -> DataFrame:
         return done.filter(F.col(EXIT).isNotNull()).select(*[F.col(m).alias(b) for b, m in zip(block, marks)], ENTRY, EXIT)
@@ -113,7 +173,7 @@ def run_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step:
         return done.filter(F.col(EXIT).isNull()).select(*columns)
 
     if forgets:
-        done, size = evaluate(cut, names.select(*block, F.lit(first).alias(ENTRY))), block_rows
+        done, size = evaluate(cut, names.select(*block, F.lit(first).alias(ENTRY)), every=True), block_rows
         while True:
             states = names.join(exits(done), block)
             before = states.select(*keys, (F.col(RANK) + 1).alias(RANK), F.col(EXIT).alias("__true"))
@@ -149,12 +209,12 @@ def run_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step:
 
 # ---- trajectory validation -------------------------------------------------------------------
 
-def validity_step(fps: float = 30.0, max_speed: float = 10.0, max_accel: float = 5.0) -> Step:
+def validity_step(fps: float = 30.0, max_speed: float = 10.0, max_accel: float = 5.0) -> RowRule:
     """Compare with the last accepted point; too fast or too sudden is rejected and not remembered."""
-    def step(state, pdf):
+    def step(state, xs, ys, frames):
         trail = state["trail"]  # last two accepted (x, y, frame)
         verdicts = []
-        for x, y, frame in zip(pdf["x"], pdf["y"], pdf["frame"]):
+        for x, y, frame in zip(xs, ys, frames):
             reason = None
             if trail:
                 ax, ay, at = trail[-1]
@@ -170,10 +230,8 @@ def validity_step(fps: float = 30.0, max_speed: float = 10.0, max_accel: float =
             if reason is None:
                 trail = [*trail[-1:], [float(x), float(y), int(frame)]]
             verdicts.append(reason)
-        out = pdf[["match_id", "track_id", "frame", "seq"]].assign(
-            valid=[v is None for v in verdicts], reason=verdicts)
-        return out, {"trail": trail}
-    return step
+        return ([v is None for v in verdicts], verdicts), {"trail": trail}
+    return RowRule(("x", "y", "frame"), ("valid", "reason"), step)
 
 
 def validate_trajectories(rows: DataFrame, fps: float = 30.0, max_speed: float = 10.0, max_accel: float = 5.0,
@@ -213,19 +271,20 @@ def check_points(batch_ends: DataFrame, gate: int, block: int = 65536 * 64) -> D
 def hold_team(rows: DataFrame, hold: int = 12, factor: float = 0.85, block_rows: int = 50_000) -> DataFrame:
     """Confirmed team per track. Within `hold` frames of the last confirmation another team must be
     closer by `factor`; a vote of -1 (no team) changes nothing. Rows: match_id, track_id, frame, seq, team (majority), d0, d1."""
-    def step(state, pdf):
+    def step(state, frames, votes, *distances):
         team, since, out = state["team"], state["since"], []
-        for frame, vote, d0, d1 in zip(pdf["frame"], pdf["team"], pdf["d0"], pdf["d1"]):
+        for frame, vote, d0, d1 in zip(frames, votes, *distances):
             dist = (d0, d1)
             free = team is None or since is None or frame - since >= hold
             if vote in (0, 1) and vote != team and (free or dist[vote] < factor * dist[team]):
                 team, since = int(vote), int(frame)
             out.append(team)
-        if since is not None and len(pdf) and pdf["frame"].iloc[-1] - since >= hold:
+        if since is not None and frames and frames[-1] - since >= hold:
             since = None  # the hold is over, when it began no longer matters
-        return pdf[["match_id", "track_id", "frame", "seq"]].assign(held_team=out), {"team": team, "since": since}
+        return (out,), {"team": team, "since": since}
 
-    return run_blocks(rows, ["match_id", "track_id"], ["frame", "seq"], step,
+    rule = RowRule(("frame", "team", "d0", "d1"), ("held_team",), step)
+    return run_blocks(rows, ["match_id", "track_id"], ["frame", "seq"], rule,
                       "match_id long, track_id long, frame long, seq long, held_team long",
                       {"team": None, "since": None}, block_rows)
 
@@ -234,9 +293,9 @@ def drifting_centroids(rows: DataFrame, start: tuple, alpha: float = 0.2, limit:
                        block_rows: int = 50_000) -> DataFrame:
     """Nearest of two colour centroids within `limit` (else -1); the winner moves by `alpha`.
     `start` holds the two initial (L, a, b)."""
-    def step(state, pdf):
+    def step(state, *channels):
         pair, out = [list(p) for p in state["pair"]], []
-        for sample in zip(pdf["L"], pdf["a"], pdf["b"]):
+        for sample in zip(*channels):
             dist = [math.dist(sample, p) for p in pair]
             best = 0 if dist[0] <= dist[1] else 1
             if dist[best] > limit:
@@ -244,9 +303,9 @@ def drifting_centroids(rows: DataFrame, start: tuple, alpha: float = 0.2, limit:
             else:
                 pair[best] = [(1 - alpha) * p + alpha * float(s) for p, s in zip(pair[best], sample)]
             out.append(best)
-        return pdf[["match_id", "seq"]].assign(team=out), {"pair": pair}
+        return (out,), {"pair": pair}
 
-    return run_blocks(rows, ["match_id"], ["seq"], step, "match_id long, seq long, team long",
+    return run_blocks(rows, ["match_id"], ["seq"], RowRule(("L", "a", "b"), ("team",), step), "match_id long, seq long, team long",
                       {"pair": [list(p) for p in start]}, block_rows)
 
 

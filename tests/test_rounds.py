@@ -2,6 +2,10 @@
 
 import math
 import random
+import time
+
+import pyarrow as pa
+import pytest
 
 from pitchlake.operators import machine
 
@@ -41,3 +45,35 @@ def test_rounds_of_many_short_tracks(spark, monkeypatch):
     got = {(r.track_id, r.seq): (r.valid, r.reason) for r in machine.validate_trajectories(df, block_rows=3).collect()}
     assert got == {(t, f): (True, None) if f == 0 else (False, "velocity") for t in range(40) for f in range(24)}
     assert len(written) < 20  # before, a round for each of the 9 blocks of a track
+
+
+def test_very_many_small_blocks_cost_little_more_than_their_rows(spark):
+    """Two steps a track, the second too fast, in blocks of one row: a frame of pandas for each took over two milliseconds."""
+    tracks = 40_000
+    rows = spark.range(2 * tracks, numPartitions=8).selectExpr(
+        "CAST(1 AS LONG) AS match_id", "id div 2 AS track_id", "id % 2 AS frame", "id AS seq", "CAST(100 * (id % 2) AS DOUBLE) AS x", "0D AS y")
+    machine.validate_trajectories(rows.limit(64)).collect()  # starts the workers
+    start = time.monotonic()
+    got = machine.validate_trajectories(rows, block_rows=1)
+    spent = time.monotonic() - start  # the rounds run before the result is read
+    assert {(r.frame, r.valid, r.reason, r["count"]) for r in got.groupBy("frame", "valid", "reason").count().collect()} == {
+        (0, True, None, tracks), (1, False, "velocity", tracks)}
+    assert spent < 25
+
+
+@pytest.mark.parametrize("cut", [1, 3, 7, 100])
+def test_blocks_across_batches(cut):
+    """A block may go on in the next Arrow batch; its rows keep their columns and its first row takes the exit state."""
+    rule = machine.RowRule(("n", "w"), ("total",), lambda state, ns, ws: (([sum(ns[:i + 1]) + state["s"] for i in range(len(ns))],), {"s": state["s"] + len([w for w in ws if w != w])}))
+    sizes, lines = [2, 0, 5, 1], []
+    for b, size in enumerate(sizes):
+        lines.append((b, 0, None, '{"s": %d}' % (100 * b)))
+        lines += [(b, n, None if n % 2 else float(n), None) for n in range(1, size + 1)]
+    table = pa.table({c: pa.array(values, kind) for c, values, kind in zip(
+        ("key", "n", "w", machine.ENTRY), zip(*lines), (pa.int64(), pa.int32(), pa.float64(), pa.string()))})
+    out = {"n": "long", "total": "long"}
+    got = [r for whole in machine.whole_blocks(table.to_batches(max_chunksize=cut)) for batch in machine.rows_of(rule, whole, out, ["key"]) for r in batch.to_pylist()]
+    assert [(r["__of_key"], r["n"], r["total"]) for r in got if r[machine.EXIT] is None] == [
+        (b, n, 100 * b + n * (n + 1) // 2) for b, size in enumerate(sizes) for n in range(1, size + 1)]
+    assert [(r["__of_key"], r[machine.ENTRY], r[machine.EXIT]) for r in got if r[machine.EXIT] is not None] == [
+        (b, '{"s": %d}' % (100 * b), '{"s": %d}' % (100 * b + (size + 1) // 2)) for b, size in enumerate(sizes)]
