@@ -9,7 +9,7 @@ from ..functions import columns as fn
 from ..functions.columns import rounded as R
 from ..operators import possession as po
 from ..operators import spatial as sp
-from ..session import scratch_path
+from ..session import durable, scratch_path
 from ..sources import readers, writers
 from ..streaming import live
 from . import possession_queries as pq  # noqa: F401  (its CTEs)
@@ -119,7 +119,7 @@ def _(v):
 @query("S8_upsert_delete_state", """SELECT match_id, max(frame) + CASE WHEN match_id % 2 = 0 THEN 1 ELSE 0 END AS last_frame FROM obs WHERE match_id % 5 <> 3 GROUP BY 1""")
 def _(v):
     path = scratch_path(v.spark, "state_table")
-    states = v.obs.groupBy("match_id").agg(F.max("frame").alias("last_frame"))
+    states = durable(v.obs.groupBy("match_id").agg(F.max("frame").alias("last_frame")))  # a row a match, read by every step below
     writers.save_state(states, path)
     writers.save_state(states.filter("match_id % 2 = 0").withColumn("last_frame", F.col("last_frame") + 1), path)
     writers.delete_state(v.spark, path, states.filter("match_id % 5 = 3").select("match_id"))

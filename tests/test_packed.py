@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from pitchlake.plans import registry
+from pitchlake.plans.views import Views
 from pitchlake.sources import readers, writers
 
 ROWS = [(m, b, 10 * b + f, f % 2, m + f) for m in range(60) for b in range(10) for f in range(2)]
@@ -51,3 +53,21 @@ def test_many_match_documents_and_chunks(spark, tmp_path):
     assert len(files(chunks)) <= writers.BUCKETS
     back = spark.read.parquet(f"{chunks}/detections").select("match_id", "batch_idx", "frame", "team", "from_player").collect()
     assert sorted(map(tuple, back)) == sorted((m, b, -1 if b == 1 else f, t, p) for m, b, f, t, p in ROWS)
+
+
+def test_upserts_and_tombstones_read_the_observations_once(spark, tmp_path):
+    """Every save and delete works on the states of the matches, not on the rows they come from."""
+    registry.load()
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(m, f) for m in range(400) for f in range(1 + m % 4)]
+    v = Views(spark, str(tmp_path))
+    v.__dict__["obs"] = spark.createDataFrame(rows, "match_id long, frame long").mapInArrow(counted, "match_id long, frame long")
+    got = sorted(map(tuple, registry.QUERIES["S8_upsert_delete_state"](v).collect()))
+    assert got == [(m, m % 4 + (m % 2 == 0)) for m in range(400) if m % 5 != 3]
+    assert read.value == len(rows)  # before, four times
